@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspec.llm import simhash
+from lumenspec.llm import decontaminate, linededup, simhash
 from lumenspec.llm.common import table
 
 
@@ -13,5 +13,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) fingerprint", "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, ratio=20)
+    return out.selectExpr("doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(items, ','), 256) items_sha256", "contaminated")
+
+
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return out.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(coalesce(text, ''), 256) kept_sha256")
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, "op8_linededup": op8_linededup}
 SQL: dict[str, str] = {}
