@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspec.llm import decontaminate, linededup, simhash
+from lumenspec.llm import decontaminate, linededup, packing, secrets, simhash
 from lumenspec.llm.common import table
 
 
@@ -23,5 +23,20 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(coalesce(text, ''), 256) kept_sha256")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, "op8_linededup": op8_linededup}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+    return out.selectExpr("doc_id", "start", "length", "crc32(ids) ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def _spans(col: str) -> str:
+    return f"array_join(transform({col}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [f"cast(size(filter(base, x -> x.kind = '{k}')) as long) n_{k}" for k in secrets.KINDS]
+    return out.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
