@@ -19,6 +19,8 @@ from lumenspec.llm.common import components, saved, shared_dir, ship
 
 #: A segment value held by more fingerprints than this is compared in blocks.
 HOT_BUCKET, BLOCK = 64, 2048
+#: Up to so many hot values are broadcast (8 bytes each); beyond, they are joined by shuffle.
+FEW_KEYS = 500_000
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -96,13 +98,21 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     # A pair that differs in one bit of the segment is found from the side that has 0 there.
     ball = halves.selectExpr("fp", "node", "explode(concat(array(key), filter(transform(sequence(0, 31), i -> if(shiftright(h, i) & 1 = 0, key + shiftleft(1L, i), null)), x -> x is not null))) key")
     hot = held.groupBy("key").count().where(F.col("count") > HOT_BUCKET).checkpoint()
-    probe, mate = ball.join(hot.select("key"), "key", "left_anti").alias("p"), held.join(hot.select("key"), "key", "left_anti").alias("t")
-    found = probe.join(mate, "key").where(f"p.fp <> t.fp and bit_count(p.fp ^ t.fp) <= {distance}").selectExpr("p.node a", "t.node b")
-
-    hot_ball = ball.join(hot, "key")
+    n_hot = hot.count()
+    probe, mate = ball, held
+    if n_hot:
+        known = F.broadcast(hot.select("key")) if n_hot <= FEW_KEYS else hot.select("key")
+        probe, mate = ball.join(known, "key", "left_anti"), held.join(known, "key", "left_anti")
+    # The merge hint keeps one plan at every size.
+    found = probe.alias("p").join(mate.alias("t").hint("merge"), "key").where(f"p.fp <> t.fp and bit_count(p.fp ^ t.fp) <= {distance}").selectExpr("p.node a", "t.node b")
+    if not n_hot:
+        return found
+
+    hot_ball = ball.join(F.broadcast(hot) if n_hot <= FEW_KEYS else hot, "key")
     dealt = hot.join(hot_ball.groupBy("key").agg(F.count("*").alias("probes")), "key").selectExpr("key", f"cast(ceil(count / {BLOCK}) as int) nt", f"cast(ceil(probes / {BLOCK}) as int) np").checkpoint()
+    dealt = F.broadcast(dealt) if n_hot <= FEW_KEYS else dealt
     t = held.join(dealt, "key").selectExpr("key", "fp", "node", "1 held", "cast(pmod(xxhash64(fp), nt) as int) i", "explode(sequence(0, np - 1)) j")
-    p = hot_ball.drop("count").join(dealt, "key").selectExpr("key", "fp", "node", "0 held", "explode(sequence(0, nt - 1)) i", "cast(pmod(xxhash64(fp, 7), np) as int) j")
+    p = ball.join(dealt, "key").selectExpr("key", "fp", "node", "0 held", "explode(sequence(0, nt - 1)) i", "cast(pmod(xxhash64(fp, 7), np) as int) j")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         is_held = pdf["held"].to_numpy() == 1
