@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspec.llm import decontaminate, linededup, packing, secrets, simhash
+from lumenspec.llm import decontaminate, langid, linededup, packing, secrets, simhash, toxicity
 from lumenspec.llm.common import table
 
 
+def _remainder(n: int) -> str:
+    return f"coalesce(crc32(cast(cast(doc_id as string) as binary)) % {n}, -1)"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs.where(f"{_remainder(4)} <> 2"), labels.where(f"{_remainder(4)} <> 2"))
+    out = toxicity.score(docs, model)
+    return out.selectExpr("doc_id", f"{_remainder(4)} = 2 held_out", "score", "cast(score >= 0.3 as int) predicted", "size(passages) n_passages")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.learn(docs.where(f"{_remainder(3)} <> 1"))
+    out = langid.identify(docs, prototypes)
+    return out.selectExpr("doc_id", f"{_remainder(3)} = 1 held_out", "lang_pred", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
     return out.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) fingerprint", "component_id")
@@ -38,5 +56,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
