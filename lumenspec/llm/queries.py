@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspec.llm import decontaminate, langid, linededup, packing, secrets, simhash, toxicity
+from lumenspec.llm import chat, decontaminate, langid, linededup, packing, secrets, simhash, toxicity
 from lumenspec.llm.common import table
 
 
@@ -31,6 +31,33 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) fingerprint", "component_id")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    out = chat.read_back(chat.format_trees(chat.chain(rows.unionByName(extra))))
+    said = "array_join(transform(turns, t -> concat(t.role, '\n', t.text, '\n')), '')"
+    return out.selectExpr("tree conv_id", "cast(size(turns) as long) n_turns", f"sha2({said}, 256) turns_sha256", "cast(length(learned) as long) loss_chars", "sha2(learned, 256) loss_sha256", "cast(length(formatted) as long) formatted_chars")
+
+
+OP4_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length(role) + length(role) - length(replace(replace(replace(role, chr(92), ''), '<', ''), '>', '')) AS role_chars,
+    length(text) + length(text) - length(replace(replace(replace(text, chr(92), ''), '<', ''), '>', '')) AS text_chars FROM m
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(role_chars + text_chars + 15) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, ratio=20)
     return out.selectExpr("doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(items, ','), 256) items_sha256", "contaminated")
@@ -56,5 +83,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
+SQL: dict[str, str] = {"op4_chat": OP4_SQL}
