@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenspec.llm import chat, decontaminate, langid, linededup, packing, secrets, simhash, toxicity
+from lumenspec.llm import chat, decontaminate, langid, linededup, packing, pii, secrets, simhash, toxicity
 from lumenspec.llm.common import table
 
 
@@ -63,6 +64,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(items, ','), 256) items_sha256", "contaminated")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(table(spark, sf_dir, "documents"))
+    named = out.select("doc_id", *(F.transform(c, lambda x: F.struct(F.element_at(F.array(*map(F.lit, pii.KINDS)), x["rank"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias(c) for c in ("base", "spans")))
+    counts = [f"cast(size(filter(base, x -> x.kind = '{k}')) as long) n_{k}" for k in pii.KINDS]
+    return named.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
+
+
+def _spans(col: str) -> str:
+    return f"array_join(transform({col}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return out.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(coalesce(text, ''), 256) kept_sha256")
@@ -73,15 +85,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "start", "length", "crc32(ids) ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def _spans(col: str) -> str:
-    return f"array_join(transform({col}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
-
-
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     counts = [f"cast(size(filter(base, x -> x.kind = '{k}')) as long) n_{k}" for k in secrets.KINDS]
     return out.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op7_pii": op7_pii, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {"op4_chat": OP4_SQL}
