@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspec.llm import chat, decontaminate, langid, linededup, packing, pii, secrets, simhash, toxicity
+from lumenspec.llm import chat, decontaminate, embeddings, langid, linededup, packing, pii, secrets, simhash, toxicity
 from lumenspec.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) fingerprint", "component_id")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
@@ -91,5 +95,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op7_pii": op7_pii, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_embeddings": op3_embeddings, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op7_pii": op7_pii, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {"op4_chat": OP4_SQL}
