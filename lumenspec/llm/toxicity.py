@@ -225,4 +225,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, shape).withColumnRenamed("i", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, below: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below a limit; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = held.value
+        tokens = Tokens(m.weights)
+        for batch in batches:
+            fine = [m.score(tokens.of(t.as_py() or "")) < below for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row")], ["row"]).filter(pa.array(fine, pa.bool_()))
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, rows.select("row").schema).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 ship(__name__)
