@@ -10,7 +10,8 @@ import duckdb
 def number(v):
     if v is None or v != v or str(v) == "<NA>":
         return None
-    return round(float(v), 9) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iufb" else str(v)
+    numeric = isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "-") in "iufb"
+    return round(float(v), 9) if numeric else str(v)
 
 
 def rows(df):
