@@ -95,5 +95,36 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT a AS vec_id, (SELECT count(*) FROM link WHERE link.a = reach.a) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach GROUP BY a
+"""
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + 12], ' ') AS g FROM s),
+sizes AS (SELECT DISTINCT n FROM win),
+place AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hit AS (SELECT a.doc_id, a.i, a.n, win.item_id FROM place a JOIN win ON win.n = a.n AND win.g = array_to_string(a.w[a.i : a.i + a.n - 1], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP8_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+k AS (SELECT *, {LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+hot AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, coalesce(keeper <> doc_id, false) AS gone FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_embeddings": op3_embeddings, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op7_pii": op7_pii, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
-SQL: dict[str, str] = {"op4_chat": OP4_SQL}
+SQL: dict[str, str] = {"op3_embeddings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op8_linededup": OP8_SQL}

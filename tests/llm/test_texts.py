@@ -113,12 +113,13 @@ def test_long_chain_and_escapes(spark):
     assert [t["text"] for t in out["turns"]] == texts and out["learned"] == "".join(texts[1::2])
 
 
-def test_chat_query(spark):
+@pytest.mark.parametrize("name", ["op3_embeddings", "op4_chat", "op5_decontaminate", "op8_linededup"])
+def test_query_matches_sql(spark, name):
     from oracle import same
 
     from lumenspec.llm.queries import QUERIES, SQL
 
-    same(spark, QUERIES["op4_chat"], SQL["op4_chat"], SF)
+    same(spark, QUERIES[name], SQL[name], SF)
 
 
 # --- decontamination
