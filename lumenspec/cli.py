@@ -40,12 +40,13 @@ def main(argv: list[str] | None = None) -> int:
         print("these filters are for archives", file=sys.stderr)
         return 1
     spark = session()
+    read = mzml.read_imzml if kind == "imzml" else mzml.read_mzml
     if args.inspect:
         if kind == "archive":
             for name, df in archive.read_archive(spark, args.input).items():
                 print(name, df.count())
         else:
-            print("spectra", mzml.read_mzml(spark, args.input).count())
+            print("spectra", read(spark, args.input).count())
         return 0
     if not args.output:
         print("an output is needed", file=sys.stderr)
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     if kind == "archive":
         archive.filter_archive(spark, args.input, args.output, args.rt, tuple(args.ms_level), tuple(args.drop), args.force)
         return 0
-    spectra = mzml.read_mzml(spark, args.input)
+    spectra = read(spark, args.input)
     if args.max_spectra:
         spectra = spectra.orderBy("index").limit(args.max_spectra)
     if args.output.lower().endswith(".mzml"):

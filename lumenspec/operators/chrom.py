@@ -13,7 +13,8 @@ def tic_bpc(spectra: DataFrame, points: DataFrame) -> DataFrame:
     moves one row per spectrum.
     """
     sums = points.groupBy(F.col("spectrum_index").alias("index")).agg(F.sum("intensity").alias("tic"), F.max("intensity").alias("bpc"))
-    return spectra.where(F.col("ms_level") == 1).select("index", "time").join(sums, "index", "left").fillna(0.0, ["tic", "bpc"])
+    met = spectra.where(F.col("ms_level") == 1).select("index", "time").join(sums, "index", "left")
+    return met.select("index", "time", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("tic", "bpc")))
 
 
 def chromatogram_points(curves: DataFrame) -> DataFrame:

@@ -42,11 +42,10 @@ def survivors(spectra: DataFrame, rt: tuple[float, float] | None = None, levels:
 def facet_rows(facet: DataFrame, chosen: DataFrame, key: str, keep_null: bool = False) -> DataFrame:
     """Rows of a facet whose key survives; metadata facets also keep rows without a key.
 
-    The key range of the survivors goes to the scan as a plain predicate, so
-    row groups outside it are skipped; which side is broadcast is Spark's choice
-    by measured size.
+    Which side is broadcast, if any, is Spark's choice by measured size; for
+    facets sorted by key, with_key_range also skips row groups.
     """
-    keys = chosen.select(F.col("index").alias(key)).distinct()
+    keys = chosen.select(F.col("index").alias(key))
     met = facet.join(keys, key, "left_semi")
     return met.unionByName(facet.where(F.col(key).isNull())) if keep_null else met
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 import gzip
 import mmap
 import re
+import zlib
 from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,6 +27,7 @@ RANGE = 8 << 20
 LEVEL, POSITIVE, NEGATIVE, CENTROID, PROFILE = "MS:1000511", "MS:1000130", "MS:1000129", "MS:1000127", "MS:1000128"
 START, MINUTE, MZ, INTENSITY = "MS:1000016", "UO:0000031", "MS:1000514", "MS:1000515"
 DOUBLE, FLOAT, LONG, INT, ZLIB = "MS:1000523", "MS:1000521", "MS:1000522", "MS:1000519", "MS:1000574"
+X, Y, OFFSET, COUNT, ENCODED = "IMS:1000050", "IMS:1000051", "IMS:1000102", "IMS:1000103", "IMS:1000104"
 TARGET, SELECTED, CHARGE = "MS:1000827", "MS:1000744", "MS:1000041"
 
 
@@ -46,7 +49,24 @@ def _params(node, groups: dict) -> dict[str, tuple[str, str]]:
     return out | {p.get("accession"): (p.get("value", ""), p.get("unitAccession", "")) for p in node.findall("cvParam")}
 
 
-def _row(node, groups: dict) -> tuple:
+def _array(q: dict, text: str, outside) -> list[float]:
+    """An array from its base64 text, or from the place in the binary companion that its parameters name."""
+    bits, whole = 64 if DOUBLE in q or LONG in q else 32, LONG in q or INT in q
+    if outside is None or OFFSET not in q:
+        return array_of(text, bits, whole, ZLIB in q and bool(text.strip())).tolist()
+    n = int(q[COUNT][0])
+    outside.seek(int(q[OFFSET][0]))
+    data = zlib.decompress(outside.read(int(q[ENCODED][0]))) if ZLIB in q else outside.read(n * bits // 8)
+    return np.frombuffer(data, f"<{'i' if whole else 'f'}{bits // 8}").astype(np.float64).tolist()
+
+
+def _pixel(node, groups: dict) -> tuple[int | None, int | None]:
+    scan = node.find("scanList/scan")
+    p = _params(scan, groups) if scan is not None else {}
+    return tuple(int(p[k][0]) if k in p and p[k][0] else None for k in (X, Y))
+
+
+def _row(node, groups: dict, outside=None) -> tuple:
     p = _params(node, groups)
     scan = node.find("scanList/scan")
     start = _params(scan, groups).get(START) if scan is not None else None
@@ -54,9 +74,7 @@ def _row(node, groups: dict) -> tuple:
     arrays = {}
     for a in node.findall("binaryDataArrayList/binaryDataArray"):
         q = _params(a, groups)
-        bits = 64 if DOUBLE in q or LONG in q else 32
-        text = a.findtext("binary") or ""
-        arrays[MZ if MZ in q else INTENSITY if INTENSITY in q else None] = array_of(text, bits, LONG in q or INT in q, ZLIB in q and bool(text.strip())).tolist()
+        arrays[MZ if MZ in q else INTENSITY if INTENSITY in q else None] = _array(q, a.findtext("binary") or "", outside)
     pre = node.find("precursorList/precursor")
     iso = _params(pre.find("isolationWindow"), groups) if pre is not None and pre.find("isolationWindow") is not None else {}
     ion = pre.find("selectedIonList/selectedIon") if pre is not None else None
@@ -100,7 +118,7 @@ class MzmlReader(DataSourceReader):
             end = data.rfind(b"</spectrum") + len(b"</spectrum>")
         return [Range(self.path, a, b, header) for a, b in zip(cuts, [*cuts[1:], max(end, cuts[-1])], strict=True)]
 
-    def read(self, partition):
+    def spectra(self, partition):
         if partition.end < 0:
             text = _content(partition.path).decode("utf-8", "replace")
             groups = _groups(text[: text.find("<spectrum ") if "<spectrum " in text else len(text)])
@@ -110,7 +128,20 @@ class MzmlReader(DataSourceReader):
                 text = f.read(partition.end - partition.start).decode("utf-8", "replace")
             groups = _groups(partition.groups)
         for m in re.finditer(r"<spectrum\s.*?</spectrum>", text, re.DOTALL):
-            yield _row(ElementTree.fromstring(m[0]), groups)
+            yield ElementTree.fromstring(m[0]), groups
+
+    def read(self, partition):
+        for node, groups in self.spectra(partition):
+            yield _row(node, groups)
+
+
+class ImzmlReader(MzmlReader):
+    """Imaging runs: arrays lie in the ``.ibd`` beside the file, each spectrum has a pixel."""
+
+    def read(self, partition):
+        with open(re.sub(r"(?i)\.imzml$", ".ibd", partition.path), "rb") as outside:
+            for node, groups in self.spectra(partition):
+                yield (*_row(node, groups, outside), *_pixel(node, groups))
 
 
 class MzmlSource(DataSource):
@@ -125,6 +156,23 @@ class MzmlSource(DataSource):
         return MzmlReader(self.options["path"])
 
 
+class ImzmlSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "imzml"
+
+    def schema(self):
+        return SCHEMA + ", x int, y int"
+
+    def reader(self, schema):
+        return ImzmlReader(self.options["path"])
+
+
+def read_imzml(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(ImzmlSource)
+    return spark.read.format("imzml").load(path)
+
+
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(MzmlSource)
     return spark.read.format("mzml").load(path)

@@ -152,3 +152,24 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("tic").collect()] == [(1, 7.0, 5.0, 2)]
+
+
+def test_imzml(spark, tmp_path):
+    (tmp_path / "a.ibd").write_bytes(b"\0" * 16 + struct.pack("<2d", 100.0, 101.5) + struct.pack("<2f", 7.0, 8.0))
+    arrays = "".join(f'<binaryDataArray><cvParam accession="{kind}" value=""/><cvParam accession="{size}" value=""/><cvParam accession="IMS:1000102" value="{at}"/><cvParam accession="IMS:1000103" value="2"/><binary/></binaryDataArray>' for kind, size, at in (("MS:1000514", "MS:1000523", 16), ("MS:1000515", "MS:1000521", 32)))
+    (tmp_path / "a.imzML").write_text(f'<mzML><run><spectrumList><spectrum index="0" id="a"><scanList><scan><cvParam accession="IMS:1000050" value="3"/><cvParam accession="IMS:1000051" value="4"/></scan></scanList><binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum></spectrumList></run></mzML>')
+    row = mzml.read_imzml(spark, str(tmp_path / "a.imzML")).first()
+    assert (row["x"], row["y"], row["mz"], row["intensity"]) == (3, 4, [100.0, 101.5], [7.0, 8.0])
+
+
+def test_cli(spark, tmp_path, capsys):
+    from lumenspec import cli
+
+    path = str(tmp_path / "a.mzML")
+    sinks.write_mzml(spark.createDataFrame(SPECTRA, mzml.SCHEMA), path)
+    assert cli.main([path, "--inspect"]) == 0 and "2" in capsys.readouterr().out
+    assert cli.main([path, "--rt", "1-2", "-o", "x"]) == 1
+    (tmp_path / "y.raw").touch()
+    assert cli.main([str(tmp_path / "y.raw"), "--inspect"]) == 3
+    assert cli.main([path, "-o", str(tmp_path / "b.zip")]) == 0
+    assert archive.read_archive(spark, str(tmp_path / "b.zip"))["spectra_data.parquet"].count() == 2
