@@ -276,6 +276,7 @@ def test_base_secrets_and_layers(spark, odd, empty):
         t = f"h\u00e9 {form} end"
         base, spans = secrets.scan(t)
         assert base == [] and len(spans) == 1 and 3 <= spans[0][1] < spans[0][2] <= 3 + len(form)
+    assert len(secrets.scan("blob-" + forms[0] + " end")[1]) == 1 == len(secrets.scan("my_key_" + forms[1])[1])
     url = "q=1 %70assword%3Dabcdefgh1234 z"
     assert secrets.scan(url)[1] == [("assign", 4, 29)]
     out = secrets.scan_secrets(odd)
