@@ -102,8 +102,34 @@ def exact_in_float32(count: Column) -> Column:
     return count <= (1 << 24)
 
 
+def checked_int(value: Column) -> Column:
+    """A whole number in 32 bits; beyond is an error, whatever the session's mode."""
+    fits = value.between(-(2**31), 2**31 - 1)
+    return F.when(value.isNull() | fits, F.when(fits, value).cast("int")).otherwise(F.raise_error(F.concat(F.lit("beyond 32 bits: "), value.cast("string"))).cast("int"))
+
+
+def line_calibration(low: float, high: float, samples: float, wider: bool = False) -> tuple[float, float]:
+    """(a, b) of sqrt(mz) = a + b * tof from an acquisition range, 5 Th wider on each side for some software."""
+    low, high = (low - 5, high + 5) if wider else (low, high)
+    if not (0 < low <= high < float("inf")) or not 0 < samples < float("inf"):
+        raise ValueError(f"no calibration from range {low} to {high} and {samples} samples")
+    return low**0.5, (high**0.5 - low**0.5) / samples
+
+
+def model_of_converter(mz0: Column, mz1: Column) -> tuple[Column, Column]:
+    """(a, b) of the same model from a converter's m/z at 0 and at 1."""
+    return F.sqrt(mz0), F.sqrt(mz1) - F.sqrt(mz0)
+
+
+def linear_mobility(scan: Column, scans: Column, low: Column, high: Column) -> Column:
+    """1/K0 where there is no rational model: a line that falls from ``high`` at scan 0 to ``low`` at the last scan."""
+    return high - (high - low) * scan / F.nullif(scans, F.lit(0))
+
+
 def human_bytes(n: Column) -> Column:
-    out = F.concat(F.format_number(n / 1e9, "0.00"), F.lit(" GB"))
-    for limit, unit, size in ((1e9, " MB", 1e6), (1e6, " kB", 1e3)):
-        out = F.when(n < limit, F.concat(F.format_number(n / size, "0.00"), F.lit(unit))).otherwise(out)
-    return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
+    """Sizes in steps of 1024 with one decimal, halves to even, whole bytes below."""
+    units = ["KB", "MB", "GB", "TB"]
+    out = F.format_string(f"%.1f {units[-1]}", F.bround(n / float(1024 ** len(units)), 1))
+    for k in range(len(units) - 1, 0, -1):
+        out = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {units[k - 1]}", F.bround(n / float(1024**k), 1))).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)

@@ -475,6 +475,39 @@ def line_spectra(spark, sf):
     return calibration.line_spectra(s, keys).select("index", "ms_level", "continuity")
 
 
+@query("WITH a AS (SELECT DISTINCT p_retailprice AS x FROM part), p AS (SELECT l_extendedprice / 10 AS x FROM lineitem), d AS (SELECT p.x, least(coalesce(p.x - l.x, 1e300), coalesce(u.x - p.x, 1e300)) AS d FROM p ASOF LEFT JOIN a l ON p.x >= l.x ASOF LEFT JOIN a u ON p.x <= u.x) SELECT count(*) AS n, max(d) AS max_delta, round(avg(d), 6) AS mean_delta, avg(CAST(d <= 1 AS DOUBLE)) AS within FROM d")
+def axis_agreement(spark, sf):
+    probe = read(spark, sf, "lineitem").selectExpr("l_extendedprice / 10 x")
+    out = calibration.axis_agreement(probe, read(spark, sf, "part").selectExpr("p_retailprice x").distinct(), 1.0)
+    return out.withColumn("mean_delta", F.round("mean_delta", 6))
+
+
+@query("SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS c0 FROM supplier WHERE s_nationkey % 3 = 2 ORDER BY s_suppkey LIMIT 1")
+def mobility_model(spark, sf):
+    return calibration.mobility_model(read(spark, sf, "supplier").selectExpr("s_suppkey id", "s_nationkey % 3 model_type", "cast(s_acctbal as double) c0")).select("id", "c0")
+
+
+@query("SELECT p_partkey AS part, 1.6::DOUBLE - (1.6::DOUBLE - 0.6::DOUBLE) * p_size / 50 AS k0, 90::DOUBLE AS widened FROM part")
+def linear_mobility(spark, sf):
+    a, b = S.line_calibration(100, 1000, 900, wider=True)
+    lit = lambda v: F.lit(float(v))
+    k0 = S.linear_mobility(F.col("p_size"), F.lit(50), lit(0.6), lit(1.6))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("part"), k0.alias("k0"), F.lit(round(a * a) - 5.0).alias("widened"))
+
+
+@query("SELECT p_partkey AS part, sqrt(CAST(p_size AS DOUBLE)) AS a, sqrt(CAST(p_size + 1 AS DOUBLE)) - sqrt(CAST(p_size AS DOUBLE)) AS b FROM part")
+def model_of_converter(spark, sf):
+    size = F.col("p_size").cast("double")
+    a, b = S.model_of_converter(size, size + 1)
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("part"), a.alias("a"), b.alias("b"))
+
+
+@query("SELECT spectrum_index, row_number() OVER (PARTITION BY spectrum_index ORDER BY tof, ordinal) - 1 AS place, ordinal, CAST(tof AS INTEGER) AS tof FROM points")
+def points_by_tof(spark, sf):
+    p = points(spark, sf).withColumn("tof", S.checked_int(F.col("tof")))
+    return encode.reindexed(p, ["tof", "ordinal"], within=["spectrum_index"]).selectExpr("spectrum_index", "index place", "ordinal", "tof")
+
+
 # --- names, files, images
 
 
@@ -507,6 +540,12 @@ def start_times(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.timestamp(t).cast("timestamp_ntz").alias("started"))
 
 
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS pixels, CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' ELSE printf('%.1f KB', size / 1024.0::DOUBLE) END AS size FROM (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages)")
+def sizes_and_parameters(spark, sf):
+    xml = F.concat(F.lit('<cvParam cvRef="IMS" accession="IMS:1000042" name="max count of pixels x" value="'), F.col("page_id").cast("string"), F.lit('"/>'))
+    return read(spark, sf, "pages").select("page_id", X.cv_value(xml, "IMS:1000042").alias("pixels"), S.human_bytes(F.octet_length("html").cast("long")).alias("size"))
+
+
 # --- reports
 
 

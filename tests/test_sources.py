@@ -24,13 +24,35 @@ def test_lzf():
     assert binary.lzf(bytes([2]) + b"abc" + bytes([(4 << 5), 2]), 9) == b"abcabcabc"
 
 
-def test_line_frame():
+def frame(n):
     import zstandard
 
-    raw = np.arange(3, dtype="<f8").tobytes() + np.ones(3, "<f4").tobytes()
-    z = zstandard.ZstdCompressor().compress(raw)
-    tof, inten = binary.line_frame(struct.pack("<II", len(z), 3) + z)
+    z = zstandard.ZstdCompressor().compress(np.arange(n, dtype="<f8").tobytes() + np.ones(n, "<f4").tobytes())
+    return struct.pack("<II", len(z) + 8, len(z)) + z
+
+
+def test_line_frame():
+    tof, inten = binary.line_frame(frame(3), 3)
     assert tof.tolist() == [0, 1, 2] and inten.tolist() == [1, 1, 1]
+    with pytest.raises(ValueError):
+        binary.line_frame(frame(3), 2)
+
+
+def test_line_run(spark, tmp_path):
+    import sqlite3
+
+    from lumenspec.sources import lineframes
+
+    with sqlite3.connect(tmp_path / "analysis.tsf") as db:
+        db.execute("CREATE TABLE GlobalMetadata (Key TEXT, Value TEXT)")
+        db.executemany("INSERT INTO GlobalMetadata VALUES (?, ?)", [("MzAcqRangeLower", "100"), ("MzAcqRangeUpper", "400"), ("DigitizerNumSamples", "10")])
+        db.execute("CREATE TABLE Frames (Id INT, Time REAL, MsMsType INT, Polarity TEXT, NumPeaks INT, TimsId INT)")
+        db.executemany("INSERT INTO Frames VALUES (?, ?, ?, ?, ?, ?)", [(1, 60.0, 0, "+", 3, 0), (2, 90.0, 3, "-", 0, 0)])
+    (tmp_path / "analysis.tsf_bin").write_bytes(frame(3))
+    assert detect.detect(str(tmp_path)) == "tsf"
+    rows = lineframes.read_lines(spark, str(tmp_path)).orderBy("index").collect()
+    assert rows[0]["mz"] == pytest.approx([100, 121, 144]) and (rows[0]["time"], rows[0]["ms_level"], rows[0]["polarity"]) == (1.0, 1, "Positive")
+    assert (rows[1]["mz"], rows[1]["ms_level"], rows[1]["id"]) == ([], 3, "frame=2")
 
 
 def test_images():
