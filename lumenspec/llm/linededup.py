@@ -27,6 +27,12 @@ def _hash(line: Column, seed: str = "") -> Column:
     return F.xxhash64(F.concat(F.lit(seed), key)) if seed else F.xxhash64(key)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with text_col rewritten, plus n_lines and n_dropped (long).
 
@@ -36,7 +42,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them. Other lines stay as they are, in order, joined by a newline. A null
     or empty text is one empty line (null stays null). Rows that repeat an id
     count as one document; rows with a null id count for no key and keep all
-    lines. Other columns pass through, whatever their names.
+    lines. Other columns pass through, whatever their names; if n_lines or
+    n_dropped is taken, the new column's name gets underscores at its end.
 
     Lines are told apart by 128 hash bits. Counting shuffles only hashes and
     ids and combines before the shuffle, so a line that most documents hold
@@ -51,5 +58,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter(lines, lambda x: (F.length(stripped(x)) < min_chars) | ~F.array_contains("gone", _hash(x)))
     met = d.join(drops, "id", "left").select("row", "text", "gone", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNotNull(), kept).alias("kept"))
     new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
-    rest = [F.col("row")[c].alias(c) if c != text_col else new.alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return met.select(*rest, "n_lines", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"))
+    rest = [F.col("row")[c].alias(c) if c != text_col else new.alias(c) for c in docs.columns]
+    dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long")
+    return met.select(*rest, F.col("n_lines").alias(free_name(docs, "n_lines")), dropped.alias(free_name(docs, "n_dropped")))

@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Wide fingerprints for similar texts: segments and bits of each; the first 64 bits also give a quick distance.
 SEGMENTS, SEGMENT_BITS = 12, 24
 #: Quick distances that make a candidate, and that make a link without comparing shingles.
-MAYBE, SURE = 14, 2
+MAYBE, SURE = 14, 1
 #: A segment value held by more texts than this is handled in blocks, by spanning forests.
 HOT_SEGMENT = 16
 
@@ -248,7 +248,7 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, s array<int>")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, features: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, features: int = 2) -> DataFrame:
     """(id_col, component_id) of the rows that have a similar one: groups of texts whose sets of ``shingle``-word shingles link at a Jaccard similarity of ``similarity``.
 
     Texts of equal words (A-Z lower-cased) are one node. A wide fingerprint

@@ -133,6 +133,8 @@ def test_lines(spark, odd, empty):
     out = linededup.dedup_lines(odd)
     assert out.count() == odd.count() and set(odd.columns) < set(out.columns) and out.agg({"n_dropped": "sum"}).first()[0] == 0
     assert linededup.dedup_lines(empty).count() == 0
+    taken = linededup.dedup_lines(spark.createDataFrame([(1, "a", 9)], "doc_id long, text string, n_lines int")).first()
+    assert (taken["n_lines"], taken["n_lines_"]) == (9, 1)
     twice = spark.createDataFrame([(1, line)] * 9, "doc_id long, text string")
     assert linededup.dedup_lines(twice).where("n_dropped > 0").count() == 0  # one document, however often it comes
 

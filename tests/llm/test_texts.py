@@ -291,11 +291,38 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in c.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
-    kept = docs
+    kept, all_, texts = docs, [], lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
     for _, stage in c.STAGES[:-1]:
         out = stage(spark, kept, SF)
         assert out.columns == docs.columns and out.count() <= kept.count()
         kept = out.cache()
+        all_.append(texts(kept))
+    toxic, lined, single, clean = all_
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert sum(labels.get(i) == 0 for i in set(texts(docs)) - set(toxic)) <= 1
+    # Lines: the brute-force rule over what the first stage kept.
+    key, held = lambda x: low(x.strip(" \t\n\x0b\x0c\r")), defaultdict(set)
+    for i, t in toxic.items():
+        for x in (t or "").split("\n"):
+            held[key(x)].add(i)
+    gone = lambda i, x: len(key(x)) >= 40 and len(held[key(x)]) >= 5 and max(held[key(x)]) != i
+    assert lined == {i: t and "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in toxic.items()}
+    # Copies: no two similar documents stay, and each that went has a similar one of a smaller id.
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in lined.items() if (w := low(t or "").split())}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert not [(a, b) for a in single for b in single if a < b and a in sets and b in sets and alike(a, b)]
+    assert all(any(b != a and alike(a, b) for b in sets) for a in set(lined) - set(single))
+    # Contamination: the contract's rule.
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
+    items = [words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    win = {tuple(w[k : k + 13]) for w in items if w for k in range(max(1, len(w) - 12))}
+
+    def dirty(t):
+        w = words(t)
+        hit = {p for n in {len(x) for x in win} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in win for p in range(k, k + n)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    assert set(clean) == {i for i, t in single.items() if not dirty(t)}
     packed = c.run(spark, SF)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").collect()}
 
