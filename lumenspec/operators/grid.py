@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,13 +51,25 @@ def least_squares(points: DataFrame, step: float, low: float | None = None) -> D
     return s.select(F.when(flat, base).otherwise((F.col("kk") * F.col("y") - F.col("k") * F.col("ky")) / safe).alias("c0"), F.when(flat, F.lit(step)).otherwise((F.col("n") * F.col("ky") - F.col("k") * F.col("y")) / safe).alias("c1"))
 
 
-def evaluated(points: DataFrame, c0: float, c1: float) -> DataFrame:
-    """(max_ppm, median_ppm, max_k) of a grid over all points: the median is the upper one; infinity without points."""
+def _errors(points: DataFrame, c0: float, c1: float) -> DataFrame:
     k = F.round((F.sqrt("mz") - c0) / c1)
-    rows = points.where("mz > 0").select("mz", k.alias("k")).select("k", ppm(grid_mz(F.lit(c0), F.lit(c1), F.col("k")), F.col("mz")).alias("e"))
-    s = rows.agg(F.max("e").alias("max_ppm"), F.array_sort(F.collect_list("e")).alias("all"), F.max("k").alias("k"))
-    inf = F.lit(float("inf"))
-    return s.select(F.coalesce("max_ppm", inf).alias("max_ppm"), F.when(F.size("all") > 0, F.try_element_at("all", F.floor(F.size("all") / 2).cast("int") + 1)).otherwise(inf).alias("median_ppm"), F.coalesce(F.greatest(F.col("k"), F.lit(0.0)), F.lit(0.0)).cast("long").alias("max_k"))
+    return points.where("mz > 0").select("mz", k.alias("k")).select("k", ppm(grid_mz(F.lit(c0), F.lit(c1), F.col("k")), F.col("mz")).alias("e"))
+
+
+def worst(points: DataFrame, c0: float, c1: float) -> DataFrame:
+    """(max_ppm, max_k, n) of a grid over all points, by partial sums; infinity without points."""
+    s = _errors(points, c0, c1).agg(F.max("e").alias("max_ppm"), F.max("k").alias("k"), F.count("*").alias("n"))
+    return s.select(F.coalesce("max_ppm", F.lit(float("inf"))).alias("max_ppm"), F.coalesce(F.greatest(F.col("k"), F.lit(0.0)), F.lit(0.0)).cast("long").alias("max_k"), "n")
+
+
+def evaluated(points: DataFrame, c0: float, c1: float) -> DataFrame:
+    """(max_ppm, median_ppm, max_k): the upper median comes from a distributed sort, so no task holds all errors."""
+    from lumenspec.operators.encode import reindexed
+
+    ordered = reindexed(_errors(points, c0, c1).select("e"), ["e"])
+    total = worst(points, c0, c1)
+    middle = ordered.join(F.broadcast(total), F.col("index") == F.floor(F.col("n") / 2)).select("e")  # one row is broadcast
+    return total.join(middle).select("max_ppm", F.col("e").alias("median_ppm"), "max_k").unionByName(total.where("n = 0").select("max_ppm", F.col("max_ppm").alias("median_ppm"), "max_k"))
 
 
 def median_steps(points: DataFrame, c0: float, c1: float) -> DataFrame:
@@ -70,6 +82,7 @@ def median_steps(points: DataFrame, c0: float, c1: float) -> DataFrame:
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
+    """The upper median of a few rows: one for each sampled spectrum."""
     s = df.agg(F.array_sort(F.collect_list(column)).alias("v"))
     return s.select(F.try_element_at("v", F.floor(F.size("v") / 2).cast("int") + 1).alias("median"))
 
@@ -105,20 +118,23 @@ def fit(sample: DataFrame, min_probes: int = MIN_PROBES) -> Fit | None:
             c0, c1 = least_squares(pts, step, low).first()
             if not c1 > 0:
                 return None
-            most, median, k = evaluated(pts, c0, c1).first()
-            return Fit(c0, c1, most, median, k, upper_median(median_steps(dense, c0, c1), "dk").first()[0])
+            most, k, _ = worst(pts, c0, c1).first()
+            return Fit(c0, c1, most, float("nan"), k, upper_median(median_steps(dense, c0, c1), "dk").first()[0])
+
+        def finished(got: Fit) -> Fit:
+            return replace(got, median_ppm=evaluated(pts, got.c0, got.c1).first()["median_ppm"])
 
         base = steps[0]["step"]
         for times in (4, 2, 1):
             got = trial(base * times)
             if got and got.median_dk == 1 and got.max_ppm <= PPM_TOLERANCE and got.max_k <= MAX_INDEX:
-                return got
+                return finished(got)
         for halving in range(HALVINGS):
             got = trial(base / 2**halving)
             if got and got.max_k > MAX_INDEX:
                 return None
             if got and got.max_ppm <= PPM_TOLERANCE:
-                return got if got.median_dk <= MAX_STEP else None
+                return finished(got) if got.median_dk <= MAX_STEP else None
         return None
     finally:
         pts.unpersist()
