@@ -8,7 +8,7 @@ import duckdb
 
 
 def number(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or str(v) in ("<NA>", "NaT") or isinstance(v, float) and v != v:
         return None
     numeric = isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "-") in "iufb"
     return round(float(v), 9) if numeric else str(v)
