@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspec.llm.common import components, saved, shared_dir, ship
+from lumenspec.llm.common import components, forest, saved, shared_dir, ship
 
 #: A segment value held by more fingerprints than this is compared in blocks.
 HOT_BUCKET, BLOCK = 64, 2048
@@ -144,139 +144,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp", "left").select(id_col, "fp", "component_id")
 
 
-#: Wide fingerprints for similar texts: segments and bits of each; the first 64 bits also give a quick distance.
-SEGMENTS, SEGMENT_BITS = 12, 24
-#: Quick distances that make a candidate, and that make a link without comparing shingles.
-MAYBE, SURE = 14, 1
-#: A segment value held by more texts than this is handled in blocks, by spanning forests.
-HOT_SEGMENT = 16
+#: One text in so many is read to learn which shingles are common, and a shingle counts as common in so many of them.
+SAMPLE, COMMON = 8, 4
+#: Rounds in which the texts of a bucket are first compared with one of them; a bucket of more texts than CROWD
+#: is then compared in blocks of about BLOCK_HASHES shingle hashes.
+ROUNDS, CROWD, BLOCK_HASHES = 2, 64, 100_000
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Further 64-bit hashes from XXH64 ones (the finishing steps of splitmix64)."""
-    x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
 
 
-def _wide(docs: DataFrame, id_col: str, text_col: str, features: int) -> DataFrame:
-    """(node, c1, c2, fp, segments): two hashes of the words, a 64-bit fingerprint and segment values; texts without words are left out."""
-    longs = -(-SEGMENTS * SEGMENT_BITS // 64)
+def _common(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
+    """Shingles that a sample of the texts has often, at most FEW_KEYS of them, the commonest last."""
 
     def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), shingle).view(np.int64))], ["h"])
+
+    part = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(SAMPLE)) == 0).select(F.col(text_col))
+    often = part.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    held = often.orderBy(F.desc("count"), "h").limit(FEW_KEYS).select("h").toArrow()["h"].to_numpy()
+    return held[::-1].copy().view(np.uint64)
+
+
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(node, c1, c2, n, prefix): two hashes of the words, the size of the shingle set and its first shingles; texts without words are left out.
+
+    All sets are ordered alike, common shingles last. Two sets of the given
+    similarity share one of their first ``n - ceil(similarity * n) + 1``.
+    """
+    common = _common(docs, id_col, text_col, shingle)
+    order = np.argsort(common)
+    ranks = docs.sparkSession.sparkContext.broadcast((common[order], order))
+
+    def run(batches):
+        known, rank = ranks.value
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                h = shingle_hashes(text, features)
+                h = _shingle_set(text, shingle)
                 if not len(h):
                     continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, rank[at], -1), kind="stable")]
                 whole = b" ".join(text.encode("utf-8", "replace").lower().split())
-                fp = majority(h)
-                bits = np.concatenate([[fp >> k & 1 for k in range(64)], *([v >> k & 1 for k in range(64)] for v in (majority(_mixed(h, n)) for n in range(longs - 1)))])
-                parts = bits[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS) @ (1 << np.arange(SEGMENT_BITS))
-                signed = [x - 2**64 if x >= 2**63 else x for x in (xxhash.xxh64_intdigest(whole, 1), xxhash.xxh64_intdigest(whole, 2), fp)]
-                rows.append((i, *signed, parts.tolist()))
+                c1, c2 = (x - 2**64 if x >= 2**63 else x for x in (xxhash.xxh64_intdigest(whole, 1), xxhash.xxh64_intdigest(whole, 2)))
+                # A bit below the product, so that rounding never shortens a prefix.
+                rows.append((i, c1, c2, len(h), h[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1].view(np.int64)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int32()))], ["node", "c1", "c2", "fp", "segments"])
-
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "node long, c1 long, c2 long, fp long, segments array<int>")
-
-
-def _forest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest (indexes into a and b, distance) of the pairs between a and b at most ``most`` bits apart."""
-    n = len(a) + len(b)
-    all_ = np.concatenate([a, b])
-    side = np.arange(n) < len(a)
-    best, via = np.full(n, 99, np.uint8), np.zeros(n, np.int64)
-    out, left = ([], [], []), np.ones(n, bool)
-    at = 0
-    for _ in range(n):
-        left[at] = False
-        d = np.bitwise_count(all_ ^ all_[at])
-        near = left & (side != side[at]) & (d <= most) & (d < best)
-        best[near], via[near] = d[near], at
-        todo = np.where(left, best, 100)
-        new = int(todo.argmin())
-        if todo[new] >= 99:
-            if not left.any():
-                break
-            new = int(left.argmax())
-        else:
-            i, j = (new, via[new]) if side[new] else (via[new], new)
-            out[0].append(i)
-            out[1].append(j - len(a))
-            out[2].append(int(best[new]))
-        at = new
-    return tuple(np.array(x, np.int64) for x in out)
-
-
-def _segment_links(nodes: DataFrame) -> DataFrame:
-    """Candidates (a, b, d) from balls of radius 1 around the segments; in hot values a minimum spanning forest of them."""
-    value = nodes.select("fp", "node", F.posexplode("segments").alias("s", "v")).selectExpr("fp", "node", f"cast(s as long) * {1 << SEGMENT_BITS} + v key", "v")
-    held = value.select("key", "fp", "node")
-    ball = value.selectExpr("fp", "node", f"explode(concat(array(key), filter(transform(sequence(0, {SEGMENT_BITS - 1}), i -> if(shiftright(v, i) & 1 = 0, key + shiftleft(1L, i), null)), x -> x is not null))) key")
-    hot = held.groupBy("key").count().where(F.col("count") > HOT_SEGMENT).checkpoint()
-    n_hot = hot.count()
-    small = (lambda x: F.broadcast(x)) if n_hot <= FEW_KEYS else (lambda x: x)
-    probe, mate = ball.join(small(hot.select("key")), "key", "left_anti"), held.join(small(hot.select("key")), "key", "left_anti")
-    found = probe.alias("p").join(mate.alias("t").hint("merge"), "key").where(f"p.node <> t.node and bit_count(p.fp ^ t.fp) <= {MAYBE}").selectExpr("p.node a", "t.node b", "cast(bit_count(p.fp ^ t.fp) as long) d")
-    if not n_hot:
-        return found
-    counted = ball.join(small(hot), "key").groupBy("key").agg(F.count("*").alias("probes"))
-    dealt = small(hot.join(counted, "key").selectExpr("key", f"cast(ceil(count / {BLOCK}) as int) nt", f"cast(ceil(probes / {BLOCK}) as int) np").checkpoint())
-    t = held.join(dealt, "key").selectExpr("key", "fp", "node", "1 held", "cast(pmod(xxhash64(node), nt) as int) i", "explode(sequence(0, np - 1)) j")
-    p = ball.join(dealt, "key").selectExpr("key", "fp", "node", "0 held", "explode(sequence(0, nt - 1)) i", "cast(pmod(xxhash64(node, 7), np) as int) j")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_held = pdf["held"].to_numpy() == 1
-        fp, node = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
-        i, j, d = _forest(fp[~is_held], fp[is_held], MAYBE)
-        a, b = node[~is_held][i], node[is_held][j]
-        return pd.DataFrame({"a": a, "b": b, "d": d})[a != b]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], ["node", "c1", "c2", "n", "prefix"])
 
-    return found.unionByName(p.unionByName(t.select(p.columns)).groupBy("key", "i", "j").applyInPandas(block, "a long, b long, d long"))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "node long, c1 long, c2 long, n long, prefix array<long>")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle).astype(np.uint32)).view(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["node", "s"])
+            sets = [_shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, s array<int>")
+    return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, features: int = 2) -> DataFrame:
+def _compared(similarity: float):
+    """The links of one pair of blocks, as stars: every text of one is compared with every text of the other that has another label."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        a, b = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        size = np.fromiter(map(len, b["s"]), np.int64, len(b))
+        flat, starts = np.concatenate(b["s"].to_list()), np.cumsum(size) - size
+        node, label, out = b["node"].to_numpy(np.int64), b["l"].to_numpy(np.int64), ([], [])
+        for x, l, s in zip(a["node"].tolist(), a["l"].tolist(), a["s"], strict=True):
+            s = np.sort(s)
+            k = np.add.reduceat((s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat).astype(np.int64), starts)
+            near = node[(k >= similarity * (len(s) + size - k)) & (label != l)]
+            out[0].append(np.full(len(near), x))
+            out[1].append(near)
+        x, y = (np.concatenate(v) for v in out)
+        x, y = forest(x, y) if len(x) else (x, y)
+        return pd.DataFrame({"a": x, "b": y})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id) of the rows that have a similar one: groups of texts whose sets of ``shingle``-word shingles link at a Jaccard similarity of ``similarity``.
 
-    Texts of equal words (A-Z lower-cased) are one node. A wide fingerprint
-    of ``features``-word features, which an edit disturbs less than longer
-    ones, finds candidates: multi-index hashing with balls of radius 1 in
-    SEGMENTS segments of SEGMENT_BITS bits. Fingerprints at most SURE of 64
-    bits apart link; for candidates between the groups that these make, the
-    shingle sets are compared exactly. Segment values that many texts share
-    give a minimum spanning forest instead of all pairs, which connects at
-    every distance what all their pairs connect. Texts without words and rows
-    with a null id belong to no group.
+    Texts of equal words (A-Z lower-cased) are one node. Prefix filtering
+    finds the candidates: under one order of all shingles, every two sets
+    that link share one of their first ones, so no link is missed. Every
+    other link is decided by the shingle sets (of 64-bit hashes). Where a
+    shingle is shared by many texts, they are first compared with one of
+    them, another each round, and links join them to groups; all pairs of
+    different groups that are then left are compared, in blocks that return
+    only what connects their links. Texts without words and
+    rows with a null id belong to no group.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    prints = saved(_wide(docs, id_col, text_col, features), "wide")
-    nodes = saved(prints.groupBy("c1", "c2").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("segments").alias("segments")), "texts")
-    pairs = saved(_segment_links(nodes).selectExpr("greatest(a, b) a", "least(a, b) b", "d").groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
-    sure = pairs.where(f"d <= {SURE}").select("a", "b")
-    label = components(sure).checkpoint()
-    name = lambda c: label.withColumnsRenamed({"node": c, "component": f"l{c}"})
-    open_ = pairs.where(f"d > {SURE}").join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b").checkpoint()
-    wanted = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
-    sets = saved(_shingle_sets(texts, shingle), "shingles")
-    both = open_.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").where("size(sa) > 0").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
-    both = both.where(F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))).withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    linked = saved(both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "similar")
-    found = components(sure.unionByName(linked))
+    prints = saved(_prefixes(docs, id_col, text_col, shingle, similarity), "prefixes")
+    nodes = saved(prints.groupBy("c1", "c2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
+    several = entries.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("h")
+    shared = saved(entries.join(several, "h"), "shared")
+    wanted = shared.select("node").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
+    # An id that comes with several texts has several sets, and links by any of them.
+    sets = saved(_shingle_sets(texts.distinct(), shingle), "shingles")
+    size = f"least(p.n, t.n) >= {similarity} * greatest(p.n, t.n) - 1e-6"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
+        both = both.withColumn("k", F.size(F.array_intersect("sa", "sb")))
+        return saved(both.where(F.col("k") >= similarity * (F.size("sa") + F.size("sb") - F.col("k"))).select("a", "b").distinct(), "similar")
+
+    def tidy(pairs: DataFrame) -> DataFrame:
+        return pairs.selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
+
+    linked = None
+    for turn in range(ROUNDS + 1):
+        if linked is None:
+            open_ = shared.withColumn("l", F.col("node"))
+        else:
+            open_ = shared.join(saved(components(linked), "labels"), "node", "left").withColumn("l", F.coalesce("component", "node")).drop("component")
+        parts = open_.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("hashes"), F.min("l").alias("m"), F.max("l").alias("x")).where("m <> x").select("h", "c", "hashes")
+        left = saved(open_.join(parts, "h"), "open")
+        crowded = left.where(f"c > {CROWD}")
+        if turn == ROUNDS or not crowded.head(1):
+            break
+        pivot = crowded.groupBy("h").agg(F.min_by(F.struct("node", "n", "l"), F.xxhash64("node", F.lit(turn))).alias("t"))
+        stars = crowded.alias("p").join(pivot, "h").where("p.l <> t.l").where(size).selectExpr("p.node a", "t.node b")
+        new = verified(tidy(stars))
+        linked = new if linked is None else linked.unionByName(new)
+    small = left.where(f"c <= {CROWD}")
+    rest = small.alias("p").join(small.alias("t").hint("merge"), "h").where("p.node > t.node and p.l <> t.l").where(size).selectExpr("p.node a", "t.node b")
+    new = verified(tidy(rest))
+    if crowded.head(1):
+        dealt = crowded.withColumn("blocks", F.expr(f"cast(ceil(hashes / {BLOCK_HASHES}) as int)")).withColumn("i0", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i0")).alias("i"), F.greatest(j, F.col("i0")).alias("j"), (j < F.col("i0")).cast("int").alias("side"))))
+        dealt = dealt.select("h", "node", "l", pair.alias("x")).select("h", "node", "l", "x.i", "x.j", "x.side").join(sets, "node")
+        new = new.unionByName(saved(dealt.groupBy("h", "i", "j").applyInPandas(_compared(similarity), "a long, b long").distinct(), "crowded"))
+    found = components(new if linked is None else linked.unionByName(new))
     of = nodes.select("c1", "c2", F.col("node").alias("first")).join(found.withColumnRenamed("node", "first"), "first", "left")
     return prints.select("node", "c1", "c2").join(of, ["c1", "c2"]).select(F.col("node").alias(id_col), F.coalesce("component", "first").alias("component_id"))
 

@@ -115,6 +115,22 @@ def test_similar_groups(spark, odd, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def similar(spark, texts, **kw):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x[0]: x[1] for x in simhash.similar_groups(rows, **kw).collect()}
+
+
+def test_repeated_words_link_nothing(spark):
+    """Unrelated texts that repeat one word a lot stay apart."""
+    r = random.Random(21)
+    texts = []
+    for k in range(30):
+        words = [f"own{k}x{j}" for j in range(240)]
+        at = r.randrange(240)
+        texts.append(" ".join(words[:at] + ["ha"] * 60 + words[at:]))
+    assert similar(spark, texts) == {k: k for k in range(30)}
+
+
 def test_lines(spark, odd, empty):
     line, short = "  The SAME line that many documents hold, é included ", "short line"
     rows = [(k, f"{prose(6, k)}\n{line if k % 2 else line.lower().strip()}\n{short}\n{line}") for k in range(1, 6)]
