@@ -131,6 +131,26 @@ def test_repeated_words_link_nothing(spark):
     assert similar(spark, texts) == {k: k for k in range(30)}
 
 
+def test_crowded_copies_link_exactly(spark, monkeypatch):
+    """Many copies of one text, of which some pairs are similar and some are not: the groups are those of brute force."""
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", 20_000, raising=False)
+    r, base = random.Random(22), prose(300, 22).split()
+    texts = []
+    for k in range(200):
+        copy = list(base)
+        for at in r.sample(range(300), 6):
+            copy[at] = f"edit{k}x{at}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:150] + [f"tail{k}x{j}" for j in range(150)]) for k in range(40)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    u = Union()
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                u.join(a, b)
+    assert similar(spark, texts) == {k: u.find(k) for k in range(len(texts))}
+
+
 def test_lines(spark, odd, empty):
     line, short = "  The SAME line that many documents hold, é included ", "short line"
     rows = [(k, f"{prose(6, k)}\n{line if k % 2 else line.lower().strip()}\n{short}\n{line}") for k in range(1, 6)]
