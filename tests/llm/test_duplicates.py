@@ -151,6 +151,16 @@ def test_crowded_copies_link_exactly(spark, monkeypatch):
     assert similar(spark, texts) == {k: u.find(k) for k in range(len(texts))}
 
 
+def test_block_edits_are_found(spark):
+    """Text added at the end, or cut from it, down to the similarity that links: every pair is found."""
+    texts = []
+    for k in range(150):
+        words, n = prose(300, 3000 + k).split(), 62 + k % 11
+        texts += [" ".join(words), " ".join(words + prose(n, 7000 + k).split() if k % 2 else words[: 300 - n])]
+    got = similar(spark, texts)
+    assert {k: got[2 * k + 1] == 2 * k for k in range(150)} == {k: jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8 for k in range(150)}
+
+
 def test_lines(spark, odd, empty):
     line, short = "  The SAME line that many documents hold, é included ", "short line"
     rows = [(k, f"{prose(6, k)}\n{line if k % 2 else line.lower().strip()}\n{short}\n{line}") for k in range(1, 6)]
