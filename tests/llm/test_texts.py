@@ -283,6 +283,14 @@ def test_base_secrets_and_layers(spark, odd, empty):
     assert out.count() == odd.count() and secrets.scan_secrets(empty).count() == 0
 
 
+def test_every_place_of_a_form_has_spans():
+    s = b"password=abcdefgh1234 "
+    one, two = base64.b64encode(s).decode(), base64.b64encode(gzip.compress(s)).decode()
+    for a, b in ((one, one), (one, two), (two, two), (two, "".join(f"%{c:02x}" for c in s))):
+        spans = secrets.scan(f"{a} and {b} end")[1]
+        assert len(spans) == 2 and spans[0][2] <= len(a) and len(a) + 5 <= spans[1][1] < spans[1][2] <= len(a) + 5 + len(b), (a, b)
+
+
 # --- the pipeline
 
 
