@@ -19,10 +19,16 @@ GROUP_CHARS = 4_000_000
 CACHE_WORDS = 200_000
 #: A space that white space or the end follows.
 LOOSE = re.compile(r" (?:\s|\Z)")
+#: The vocabulary file's only special token and its id.
+END, END_ID = "<|endoftext|>", 50256
 
 
 class Encoder:
-    """Ids of the byte-level BPE vocabulary, equal to those of the ``tokenizers`` file without special tokens.
+    """Ids of the byte-level BPE vocabulary, equal to those of the ``tokenizers`` file (computed by tiktoken, from the same ranks).
+
+    With ``specials``, the literal END in a text is one token, as in that
+    file's default state; without, it is text like any other, as with its
+    ``encode_special_tokens``.
 
     A space before a character that is no white space always begins a token
     of the vocabulary's pattern, so a text with no other spaces falls into
@@ -30,7 +36,7 @@ class Encoder:
     cached.
     """
 
-    def __init__(self, ranks_path: str | None = None):
+    def __init__(self, ranks_path: str | None = None, specials: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -38,8 +44,18 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, list[int]] = {}
+        self.specials = specials
 
     def encode(self, text: str) -> list[int]:
+        if self.specials and END in text:
+            first, *rest = text.split(END)
+            out = self._plain(first)
+            for part in rest:
+                out += [END_ID, *self._plain(part)]
+            return out
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[int]:
         if LOOSE.search(text):
             return self.bpe.encode_ordinary(text)
         first, *rest = text.split(" ")
@@ -87,11 +103,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): each document's ids plus end_id, cut after every ``capacity`` ids; ids are unsigned 32-bit little-endian bytes."""
+    """(doc_id, start, length, doc_tokens, ids): each document's ids (END_ID for a literal END in it) plus end_id, cut after every ``capacity`` ids; ids are unsigned 32-bit little-endian bytes."""
     shape = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary()}
 
     def run(batches):
-        encoder = Encoder(ranks_path)
+        encoder = Encoder(ranks_path, specials=True)
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

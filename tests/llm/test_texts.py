@@ -257,6 +257,19 @@ def test_packing_round_trip(spark, odd, empty, tokenizer):
     assert packing.pack(empty).count() == 0
 
 
+def test_special_token_in_texts(spark):
+    """Packed ids are those of the vocabulary file's tokenizer in its default state."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, r, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(8), packing.Encoder(specials=True)
+    for _ in range(2000):
+        x = "".join(r.choice(["a", "B", " ", "\n", ".", "'s", "é", "the", "<|endoftext|>", "<|endoftext|>", "<|endof"]) for _ in range(r.randrange(14)))
+        assert e.encode(x) == t.encode(x, add_special_tokens=False).ids, repr(x)
+    got = packing.pack(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")).first()
+    assert np.frombuffer(got["ids"], "<u4").tolist() == [64, 220, 50256, 275, 1]
+
+
 # --- secrets
 
 
