@@ -27,10 +27,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest id stays."""
-    groups = simhash.similar_groups(docs, shingle=5, similarity=0.8)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of similar documents (five-word shingles, 0.8) the one with the smallest id stays.
+
+    A null id counts as the largest; of rows equal in id and text one stays; documents without words all stay.
+    """
+    return simhash.first_of_groups(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

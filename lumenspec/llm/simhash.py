@@ -12,10 +12,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspec.llm.common import components, forest, saved, shared_dir, ship
+from lumenspec.llm.common import components, saved, shared_dir, ship
 
 #: A segment value held by more fingerprints than this is compared in blocks.
 HOT_BUCKET, BLOCK = 64, 2048
@@ -145,155 +145,324 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: One text in so many is read to learn which shingles are common, and a shingle counts as common in so many of them.
-SAMPLE, COMMON = 8, 4
-#: Rounds in which the texts of a bucket are first compared with one of them; a bucket of more texts than CROWD
-#: is then compared in blocks of about BLOCK_HASHES shingle hashes.
-ROUNDS, CROWD, BLOCK_HASHES = 2, 64, 100_000
+SAMPLE, COMMON = 16, 3
+#: Texts, and shingle hashes, of a crowded shingle that one task compares with as many others.
+BLOCK_TEXTS, BLOCK_HASHES = 4096, 1_000_000
+#: Bits of the smallest sketch; a text of more shingles has the next power of two.
+SKETCH_BITS = 512
+PROFILE = "c long, n long, fp long, sketch binary, prefix array<long>"
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def _common(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
-    """Shingles that a sample of the texts has often, at most FEW_KEYS of them, the commonest last."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of the number of hashes in each of about as many cells as there are hashes.
+
+    Cells in which two sketches differ are never more than the shingles in
+    which the sets differ, so a sketch rules pairs out and never wrongly.
+    """
+    bits = max(SKETCH_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Differing cells of two sketches, the longer one folded to the shorter one's cells."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    m, n = len(a) * 8, len(b) * 8
+    while m != n:
+        if m > n:
+            m //= 2
+            x = (x & ((1 << m) - 1)) ^ (x >> m)
+        else:
+            n //= 2
+            y = (y & ((1 << n) - 1)) ^ (y >> n)
+    return (x ^ y).bit_count()
+
+
+def _most_apart(similarity: float) -> float:
+    """Shingles in which two linked sets may differ, as a share of the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts (c, text) has often, at most FEW_KEYS of them, the commonest last, and about how many texts hold each."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), shingle).view(np.int64))], ["h"])
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if c not in seen:
+                    seen.add(c)
+                    yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), shingle).view(np.int64))], ["h"])
 
-    part = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(SAMPLE)) == 0).select(F.col(text_col))
-    often = part.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    held = often.orderBy(F.desc("count"), "h").limit(FEW_KEYS).select("h").toArrow()["h"].to_numpy()
-    return held[::-1].copy().view(np.uint64)
+    often = docs.where(f"pmod(c, {SAMPLE}) = 0").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    held = often.orderBy(F.desc("count"), "h").limit(FEW_KEYS).toArrow()
+    return held["h"].to_numpy()[::-1].copy().view(np.uint64), held["count"].to_numpy()[::-1].copy() * SAMPLE
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(node, c1, c2, n, prefix): two hashes of the words, the size of the shingle set and its first shingles; texts without words are left out.
+def _profiles(docs: DataFrame, common: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """Of each text (c, text) with words: its number of distinct shingles, their fingerprint, their sketch and the first of them.
 
     All sets are ordered alike, common shingles last. Two sets of the given
     similarity share one of their first ``n - ceil(similarity * n) + 1``.
     """
-    common = _common(docs, id_col, text_col, shingle)
     order = np.argsort(common)
     ranks = docs.sparkSession.sparkContext.broadcast((common[order], order))
 
     def run(batches):
         known, rank = ranks.value
+        seen = set()
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                h = _shingle_set(text, shingle)
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if c in seen:
+                    continue
+                seen.add(c)
+                h = _shingle_set(text.as_py(), shingle)
                 if not len(h):
                     continue
+                fp, cells = majority(h), sketch(h)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, rank[at], -1), kind="stable")]
-                whole = b" ".join(text.encode("utf-8", "replace").lower().split())
-                c1, c2 = (x - 2**64 if x >= 2**63 else x for x in (xxhash.xxh64_intdigest(whole, 1), xxhash.xxh64_intdigest(whole, 2)))
                 # A bit below the product, so that rounding never shortens a prefix.
-                rows.append((i, c1, c2, len(h), h[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1].view(np.int64)))
+                first = h[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]
+                rows.append((c, len(h), fp - 2**64 if fp >= 2**63 else fp, cells, first.view(np.int64)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], ["node", "c1", "c2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], ["c", "n", "fp", "sketch", "prefix"])
+
+    return docs.mapInArrow(run, PROFILE)
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "node long, c1 long, c2 long, n long, prefix array<long>")
 
+def _some(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(c, s) the shingle sets of the wanted texts, each once."""
+    few = wanted.limit(FEW_KEYS + 1).count() <= FEW_KEYS
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
+        seen = set()
         for batch in batches:
-            sets = [_shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+            fresh = []
+            for k, c in enumerate(batch.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    fresh.append(k)
+            part = batch.take(pa.array(fresh, pa.int64()))
+            sets = [_shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["c", "s"])
+
+    met = docs.join(F.broadcast(wanted) if few else wanted, "c").select("c", "text")
+    return met.mapInArrow(run, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s"))
+
+
+def _near_rows(n: np.ndarray, label: np.ndarray, cells: list[bytes], similarity: float, first: int | None = None):
+    """Yields (i, j) arrays: rows with other labels whose sizes and sketches let them link, i before j; with ``first``, i below and j from it on."""
+    share, width = _most_apart(similarity), np.fromiter(map(len, cells), np.int64, len(cells))
+    side = np.arange(len(cells)) >= first if first is not None else None
+    held = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    rows = {w: np.frombuffer(b"".join(cells[k] for k in at.tolist()), np.uint64).reshape(len(at), w // 8) for w, at in held.items()}
+    for w, at in held.items():
+        for other in (w, 2 * w):
+            if other not in held:
+                continue
+            there, x, y = held[other], rows[w], rows[other]
+            if other != w:
+                y = y[:, : w // 8] ^ y[:, w // 8 :]
+            step = max(1, 2_000_000 // max(1, len(there) * (w // 8)))
+            for low in range(0, len(at), step):
+                i = at[low : low + step]
+                far = np.zeros((len(i), len(there)), np.int64)
+                for k in range(w // 8):
+                    far += np.bitwise_count(x[low : low + step, k][:, None] ^ y[:, k][None, :])
+                both = n[i][:, None] + n[there][None, :]
+                fine = (far <= share * both + 1e-6) & (label[i][:, None] != label[there][None, :])
+                fine &= np.minimum(n[i][:, None], n[there][None, :]) >= similarity * np.maximum(n[i][:, None], n[there][None, :]) - 1e-6
+                a, b = np.nonzero(fine)
+                a, b = i[a], there[b]
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                keep = a < b if first is None else side[a] != side[b]
+                if keep.any():
+                    yield a[keep], b[keep]
+
+
+def _linked(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the similarity."""
+    k = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return k >= similarity * (len(a) + len(b) - k) - 1e-9
+
+
+def _buckets(pdf: pd.DataFrame):
+    """The pairs of blocks of a task: rows, and where the second block begins (None: a block with itself)."""
+    for _, g in pdf.groupby(["h", "i", "j"], sort=False):
+        if g["i"].iloc[0] == g["j"].iloc[0]:
+            yield g, None
+        elif g["side"].min() != g["side"].max():
+            g = g.sort_values("side", kind="stable")
+            yield g, int((g["side"] == 0).sum())
+
+
+def _near_texts(similarity: float):
+    """The rows of a task that have a partner which sizes and sketches let link."""
 
-    return docs.select("node", "text").mapInArrow(run, "node long, s array<long>")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g, first in _buckets(pdf):
+            some = np.zeros(len(g), bool)
+            for a, b in _near_rows(g["n"].to_numpy(), g["l"].to_numpy(), g["sketch"].to_list(), similarity, first):
+                some[a] = some[b] = True
+            if some.any():
+                out.append(g[some].drop(columns="sketch"))
+        return pd.concat(out) if out else pdf.iloc[:0].drop(columns="sketch")
+
+    return run
 
 
-def _compared(similarity: float):
-    """The links of one pair of blocks, as stars: every text of one is compared with every text of the other that has another label."""
+def _links(similarity: float):
+    """Verified links of a task that connect all that its links connect."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        a, b = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
-        size = np.fromiter(map(len, b["s"]), np.int64, len(b))
-        flat, starts = np.concatenate(b["s"].to_list()), np.cumsum(size) - size
-        node, label, out = b["node"].to_numpy(np.int64), b["l"].to_numpy(np.int64), ([], [])
-        for x, l, s in zip(a["node"].tolist(), a["l"].tolist(), a["s"], strict=True):
-            s = np.sort(s)
-            k = np.add.reduceat((s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat).astype(np.int64), starts)
-            near = node[(k >= similarity * (len(s) + size - k)) & (label != l)]
-            out[0].append(np.full(len(near), x))
-            out[1].append(near)
-        x, y = (np.concatenate(v) for v in out)
-        x, y = forest(x, y) if len(x) else (x, y)
-        return pd.DataFrame({"a": x, "b": y})
+        out = []
+        for g, first in _buckets(pdf):
+            c, l, sets = g["c"].to_numpy(), g["l"].to_numpy(), [np.sort(s) for s in g["s"]]
+            up = {x: x for x in l.tolist()}
+
+            def root(x: int, up: dict[int, int] = up) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for a, b in _near_rows(g["n"].to_numpy(), l, [sketch(s.view(np.uint64)) for s in sets], similarity, first):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    x, y = root(int(l[i])), root(int(l[j]))
+                    if x != y and _linked(sets[i], sets[j], similarity):
+                        up[x] = y
+                        out.append((int(c[i]), int(c[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, component_id) of the rows that have a similar one: groups of texts whose sets of ``shingle``-word shingles link at a Jaccard similarity of ``similarity``.
-
-    Texts of equal words (A-Z lower-cased) are one node. Prefix filtering
-    finds the candidates: under one order of all shingles, every two sets
-    that link share one of their first ones, so no link is missed. Every
-    other link is decided by the shingle sets (of 64-bit hashes). Where a
-    shingle is shared by many texts, they are first compared with one of
-    them, another each round, and links join them to groups; all pairs of
-    different groups that are then left are compared, in blocks that return
-    only what connects their links. Texts without words and
-    rows with a null id belong to no group.
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (h, blocks, c, ...) dealt to the pairs of blocks of their shingle: (h, i, j, side, key), small shingles sharing a key."""
+    tasks = max(1, rows.count() // BLOCK_TEXTS)
+    mine = rows.withColumn("i0", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i0")).alias("i"), F.greatest(j, F.col("i0")).alias("j"), (j < F.col("i0")).cast("int").alias("side"))))
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("h"), F.lit(tasks))).otherwise(F.xxhash64("h", "x.i", "x.j"))
+    return mine.withColumn("x", pair).withColumn("key", key).select("key", "h", "c", "n", "l", "x.i", "x.j", "x.side")
+
+
+def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(c, component) of the texts that link with another one; c is xxhash64 of a text, component the smallest c of its group.
+
+    Texts link at a Jaccard similarity of ``similarity`` or more of their
+    sets of ``shingle``-word shingles (A-Z lower-cased, 64-bit hashes).
+    Candidates come from two searches. Multi-index hashing finds fingerprints
+    at most 3 bits apart. As texts at the limit differ in about ten bits, a
+    prefix search finds all the rest: under one order of all shingles, two
+    sets that link share one of their first ones. Every candidate is
+    decided by the sets themselves; sketches only rule out.
+
+    Where texts share a first shingle, all are compared with one of them, the
+    same one wherever they meet. What is left between different groups is
+    compared pair by pair in blocks of bounded size, by sketches, and only
+    the texts that these leave are met by their sets. Null texts and texts
+    without words link with nothing; equal texts are one.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    prints = saved(_prefixes(docs, id_col, text_col, shingle, similarity), "prefixes")
-    nodes = saved(prints.groupBy("c1", "c2").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
-    entries = nodes.select("node", "n", F.explode("prefix").alias("h"))
-    several = entries.groupBy("h").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("h")
-    shared = saved(entries.join(several, "h"), "shared")
-    wanted = shared.select("node").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
-    # An id that comes with several texts has several sets, and links by any of them.
-    sets = saved(_shingle_sets(texts.distinct(), shingle), "shingles")
-    size = f"least(p.n, t.n) >= {similarity} * greatest(p.n, t.n) - 1e-6"
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("c"), F.col(text_col).alias("text"))
+    common, held_by = _common(texts, shingle)
+    profile = _profiles(texts, common, shingle, similarity)
+    nodes = saved(profile.groupBy("c").agg(*(F.first(x).alias(x) for x in profile.columns[1:])), "profiles")
+    thin = nodes.select("c", "n", "sketch")
+    size = f"least(n, pn) >= {similarity} * greatest(n, pn) - 1e-6"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
-        both = both.withColumn("k", F.size(F.array_intersect("sa", "sb")))
-        return saved(both.where(F.col("k") >= similarity * (F.size("sa") + F.size("sb") - F.col("k"))).select("a", "b").distinct(), "similar")
+        share = _most_apart(similarity)
+
+        def run(batches):
+            for batch in batches:
+                fine = [_apart(x, y) <= share * (m + n) + 1e-6 for x, y, m, n in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+        met = pairs.join(thin.toDF("a", "na", "ka"), "a").join(thin.toDF("b", "nb", "kb"), "b").select("a", "b", "ka", "kb", "na", "nb")
+        near = saved(met.mapInArrow(run, "a long, b long"), "near")
+        sets = saved(_some(texts, near.selectExpr("a c").union(near.selectExpr("b c")).distinct(), shingle), "sets")
+        both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("k", F.size(F.array_intersect("sa", "sb")))
+        return saved(both.where(F.col("k") >= similarity * (F.size("sa") + F.size("sb") - F.col("k")) - 1e-9).select("a", "b"), "similar")
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b")
+
+    # Equal fingerprints stand for one another in the search by segments.
+    prints = saved(nodes.groupBy("fp").agg(F.min("c").alias("node")), "prints")
+    alike = nodes.join(prints, "fp").selectExpr("c a", "node b").unionByName(links(prints))
+    # A crowded shingle's texts are dealt to several groups, each with a pivot of its own.
+    crowd = np.flatnonzero(held_by > BLOCK_TEXTS)
+    hot = spark.createDataFrame(pd.DataFrame({"h": common[crowd].view(np.int64), "salts": -(-held_by[crowd] // BLOCK_TEXTS)}), "h long, salts long")
+    entries = nodes.select("c", "n", F.explode("prefix").alias("h")).join(F.broadcast(hot), "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    meet = Window.partitionBy("h", F.pmod(F.xxhash64("c"), F.col("salts")))
+    starred = entries.withColumn("pivot", F.min(F.struct(F.xxhash64("c", F.lit(1)), "c", "n")).over(meet)).withColumn("k", F.count("*").over(meet))
+    shared = saved(starred.where("k > 1 or salts > 1").selectExpr("h", "c", "n", "salts", "pivot.c p", "pivot.n pn"), "shared")
+    stars = shared.where("c <> p").where(size).selectExpr("c a", "p b")
+    linked = verified(pairs_of(alike.unionByName(stars)).distinct())
+    labels = saved(components(linked), "labels")
+
+    rest = shared.where("c <> p or salts > 1").join(labels.toDF("c", "l"), "c", "left").select("h", "c", "n", F.coalesce("l", "c").alias("l"))
+    blocks = f"cast(ceil(greatest(count(*) / {BLOCK_TEXTS}, sum(n) / {BLOCK_HASHES})) as int) blocks"
+    parts = rest.groupBy("h").agg(F.expr(blocks), F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("h", "blocks")
+    open_ = saved(rest.join(parts, "h"), "open")
+    dealt = _blocks(open_).join(nodes.select("c", "sketch"), "c")
+    near = "key long, h long, c long, n long, l long, i int, j int, side int"
+    left = saved(dealt.select("key", "h", "c", "n", "l", "i", "j", "side", "sketch").groupBy("key").applyInPandas(_near_texts(similarity), near), "left")
+    sets = saved(_some(texts, left.select("c").distinct(), shingle), "sets")
+    more = saved(left.join(sets, "c").select("key", "h", "c", "n", "l", "i", "j", "side", "s").groupBy("key").applyInPandas(_links(similarity), "a long, b long"), "more")
+    return components(linked.unionByName(more)).toDF("c", "component")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, c, k, g) of the distinct (id, text) with words: how often the row comes, and its group."""
+    groups = saved(similar_texts(docs, text_col, shingle, similarity), "groups")
+    some = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    ids = some.groupBy(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("c")).agg(F.count("*").alias("k"))
+    return saved(ids.join(groups, "c", "left").select("id", "c", "k", F.coalesce("component", "c").alias("g")), "ids")
 
-    def tidy(pairs: DataFrame) -> DataFrame:
-        return pairs.selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
 
-    linked = None
-    for turn in range(ROUNDS + 1):
-        if linked is None:
-            open_ = shared.withColumn("l", F.col("node"))
-        else:
-            open_ = shared.join(saved(components(linked), "labels"), "node", "left").withColumn("l", F.coalesce("component", "node")).drop("component")
-        parts = open_.groupBy("h").agg(F.count("*").alias("c"), F.sum("n").alias("hashes"), F.min("l").alias("m"), F.max("l").alias("x")).where("m <> x").select("h", "c", "hashes")
-        left = saved(open_.join(parts, "h"), "open")
-        crowded = left.where(f"c > {CROWD}")
-        if turn == ROUNDS or not crowded.head(1):
-            break
-        pivot = crowded.groupBy("h").agg(F.min_by(F.struct("node", "n", "l"), F.xxhash64("node", F.lit(turn))).alias("t"))
-        stars = crowded.alias("p").join(pivot, "h").where("p.l <> t.l").where(size).selectExpr("p.node a", "t.node b")
-        new = verified(tidy(stars))
-        linked = new if linked is None else linked.unionByName(new)
-    small = left.where(f"c <= {CROWD}")
-    rest = small.alias("p").join(small.alias("t").hint("merge"), "h").where("p.node > t.node and p.l <> t.l").where(size).selectExpr("p.node a", "t.node b")
-    new = verified(tidy(rest))
-    if crowded.head(1):
-        dealt = crowded.withColumn("blocks", F.expr(f"cast(ceil(hashes / {BLOCK_HASHES}) as int)")).withColumn("i0", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i0")).alias("i"), F.greatest(j, F.col("i0")).alias("j"), (j < F.col("i0")).cast("int").alias("side"))))
-        dealt = dealt.select("h", "node", "l", pair.alias("x")).select("h", "node", "l", "x.i", "x.j", "x.side").join(sets, "node")
-        new = new.unionByName(saved(dealt.groupBy("h", "i", "j").applyInPandas(_compared(similarity), "a long, b long").distinct(), "crowded"))
-    found = components(new if linked is None else linked.unionByName(new))
-    of = nodes.select("c1", "c2", F.col("node").alias("first")).join(found.withColumnRenamed("node", "first"), "first", "left")
-    return prints.select("node", "c1", "c2").join(of, ["c1", "c2"]).select(F.col("node").alias(id_col), F.coalesce("component", "first").alias("component_id"))
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id) of every distinct (id, text) with words and an id: the smallest id of its group of ``similar_texts``, its own if it has none."""
+    rows = _grouped(docs, id_col, text_col, shingle, similarity).where("id is not null")
+    low = rows.groupBy("g").agg(F.min("id").alias("component_id"))
+    return rows.join(low, "g").select(F.col("id").cast("long").alias(id_col), F.col("component_id").cast("long").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each group of similar texts.
+
+    The row with the smallest id stays, a null id counting as the largest and
+    the smaller text hash deciding a tie; of rows that are equal in id and
+    text one stays, whichever. Rows are judged by id and text together, so
+    one that merely shares an id with another stays. Null texts and texts
+    without words belong to no group and stay.
+    """
+    rows = _grouped(docs, id_col, text_col, shingle, similarity)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "c")
+    first = rows.groupBy("g").agg(F.min(order).alias("f"), F.sum("k").alias("rows")).where("rows > 1")
+    met = saved(rows.join(first, "g").select("id", "c", "k", ((F.col("c") == F.col("f.c")) & F.col("id").eqNullSafe(F.col("f.id"))).alias("stays")), "met")
+    gone, twice = met.where("not stays").select("id", "c"), met.where("stays and k > 1").select("id", "c")
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("c"))
+
+    def without(rows: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+        few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+        keys = (F.broadcast(keys) if few else keys).alias("k")
+        return rows.alias("r").join(keys, F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.c") == F.col("k.c")), how)
+
+    out = without(d, gone)
+    if twice.head(1):
+        one = without(out, twice, "left_semi").groupBy("id", "c").agg(F.first("row").alias("row"))
+        out = without(out, twice).select("row").unionByName(one.select("row"))
+    return out.select(*(F.col("row")[x].alias(x) for x in docs.columns))
 
 
 ship(__name__)
