@@ -13,13 +13,20 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labels of the stage's documents; rejected documents go."""
+    """Learns from all labels of the stage's documents; rejected documents go.
+
+    Every row is judged by its text alone, so null ids, repeated ids and repeated rows are kept or go like any other;
+    null and empty texts have no passage and stay. Without labels nothing goes. Labels of null ids are ignored.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.accepted(docs, model, TOXIC)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 40 characters that five documents hold stay in one of them; n_chars follows."""
+    """Lines of 40 characters that five documents hold stay in the one with the largest id; n_chars follows.
+
+    Rows that repeat an id are one document; a row with a null id keeps all its lines. Null texts stay null. No row goes.
+    """
     out = linededup.dedup_lines(docs, min_chars=40, min_docs=5)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(linededup.free_name(docs, "n_dropped")) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -35,13 +42,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth go."""
-    found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"), window=13, ratio=20)
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents of which benchmark windows cover a twentieth go.
+
+    Every row is judged by its text, so equal texts go or stay together, whatever their ids; null and empty texts stay.
+    """
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), window=13, ratio=20)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 token ids."""
+    """Sequences of 2048 token ids. Null ids stay null, repeated rows are packed as often as they come, a null text is empty."""
     return packing.pack(docs, capacity=2048, end_id=1)
 
 

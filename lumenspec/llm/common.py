@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a few bytes that are broadcast at most; beyond, they are joined by shuffle.
+FEW_KEYS = 500_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A table of thin rows with a broadcast hint if a count of it shows FEW_KEYS rows at most, as it is otherwise."""
+    return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
+
+
 def ship(module: str) -> None:
     """Send the functions of a module to executors by value, so executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -15,12 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspec.llm.common import components, saved, shared_dir, ship
+from lumenspec.llm.common import FEW_KEYS, components, few, saved, shared_dir, ship
 
 #: A segment value held by more fingerprints than this is compared in blocks.
 HOT_BUCKET, BLOCK = 64, 2048
-#: Up to so many hot values are broadcast (8 bytes each); beyond, they are joined by shuffle.
-FEW_KEYS = 500_000
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -239,8 +237,6 @@ def _profiles(docs: DataFrame, common: np.ndarray, shingle: int, similarity: flo
 
 def _some(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(c, s) the shingle sets of the wanted texts, each once."""
-    few = wanted.limit(FEW_KEYS + 1).count() <= FEW_KEYS
-
     def run(batches):
         seen = set()
         for batch in batches:
@@ -253,7 +249,7 @@ def _some(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             sets = [_shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["c", "s"])
 
-    met = docs.join(F.broadcast(wanted) if few else wanted, "c").select("c", "text")
+    met = docs.join(few(wanted), "c").select("c", "text")
     return met.mapInArrow(run, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s"))
 
 
@@ -454,9 +450,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("c"))
 
     def without(rows: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
-        few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
-        keys = (F.broadcast(keys) if few else keys).alias("k")
-        return rows.alias("r").join(keys, F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.c") == F.col("k.c")), how)
+        return rows.alias("r").join(few(keys).alias("k"), F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.c") == F.col("k.c")), how)
 
     out = without(d, gone)
     if twice.head(1):
