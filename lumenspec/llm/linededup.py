@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenspec.llm.common import FEW_KEYS, saved
+
+#: A line held by more documents than this is broadcast to the table of lines rather than shuffled.
+MANY = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -47,17 +51,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are told apart by 128 hash bits. Counting shuffles only hashes and
     ids and combines before the shuffle, so a line that most documents hold
-    is no hot task; texts are shuffled once at most, to meet their drops.
+    is no hot task. Lines held by very many documents are so few that they
+    are broadcast to the table of lines; the others are joined by shuffle.
+    Texts are shuffled once, to meet their drops.
     """
-    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    long_lines = F.filter(lines_of(F.col("text")), lambda x: F.length(stripped(x)) >= min_chars)
-    held = d.where("id is not null").select("id", F.explode(F.transform(long_lines, lambda x: F.struct(_hash(x).alias("h1"), _hash(x, "\n").alias("h2")))).alias("h")).select("id", "h.h1", "h.h2").distinct()
-    hot = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    drops = held.join(hot, ["h1", "h2"]).where("id <> keeper").groupBy("id").agg(F.collect_set("h1").alias("gone"))
-    lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: (F.length(stripped(x)) < min_chars) | ~F.array_contains("gone", _hash(x)))
-    met = d.join(drops, "id", "left").select("row", "text", "gone", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNotNull(), kept).alias("kept"))
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
-    rest = [F.col("row")[c].alias(c) if c != text_col else new.alias(c) for c in docs.columns]
-    dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long")
+    # Names that no column of docs can have.
+    plain = [f"_{k}" for k in range(len(docs.columns))]
+    at = {c: plain[k] for k, c in enumerate(docs.columns)}
+    d, id_, text = docs.toDF(*plain), F.col(at[id_col]), F.col(at[text_col])
+    long_lines = F.filter(lines_of(text), lambda x: F.length(stripped(x)) >= min_chars)
+    keys = F.explode(F.transform(long_lines, lambda x: F.struct(_hash(x).alias("h1"), _hash(x, "\n").alias("h2"))))
+    held = saved(d.where(id_.isNotNull()).select(id_.alias("id"), keys.alias("h")).select("id", "h.h1", "h.h2").distinct(), "lines")
+    hot = saved(held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs), "hot")
+    # At most FEW_KEYS lines can be held by more documents than this.
+    many = max(MANY, (hot.agg(F.sum("n")).first()[0] or 0) // FEW_KEYS)
+    crowded, others = hot.where(F.col("n") > many).drop("n"), hot.where(F.col("n") <= many).drop("n")
+    drops = held.join(F.broadcast(crowded), ["h1", "h2"]).unionByName(held.join(others, ["h1", "h2"])).where("id <> keeper")
+    gone = drops.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    lines = lines_of(text)
+    kept = F.filter(lines, lambda x: (F.length(stripped(x)) < min_chars) | ~F.array_contains("gone", F.struct(_hash(x).alias("h1"), _hash(x, "\n").alias("h2"))))
+    met = d.join(gone, id_ == F.col("id"), "left").select(*plain, F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNotNull(), kept).alias("kept"))
+    new = F.when(F.col("kept").isNull(), text).otherwise(F.array_join("kept", "\n"))
+    dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long")
+    rest = [new.alias(c) if c == text_col else F.col(at[c]).alias(c) for c in docs.columns]
     return met.select(*rest, F.col("n_lines").alias(free_name(docs, "n_lines")), dropped.alias(free_name(docs, "n_dropped")))
