@@ -103,18 +103,21 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): each document's ids (END_ID for a literal END in it) plus end_id, cut after every ``capacity`` ids; ids are unsigned 32-bit little-endian bytes."""
-    shape = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary()}
+    """(doc_id, start, length, doc_tokens, ids, place): each document's ids (END_ID for a literal END in it) plus end_id, cut after every ``capacity`` ids; ids are unsigned 32-bit little-endian bytes, and place numbers the pieces."""
+    shape = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary(), "place": pa.int64()}
 
     def run(batches):
-        encoder = Encoder(ranks_path, specials=True)
+        from pyspark import TaskContext
+
+        encoder, place = Encoder(ranks_path, specials=True), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encoder.encode(text.as_py() or ""), end_id], "<u4")
                 for at in range(0, len(ids), capacity):
                     part = ids[at : at + capacity]
-                    rows.append((doc_id, at, len(part), len(ids), part.tobytes()))
+                    rows.append((doc_id, at, len(part), len(ids), part.tobytes(), place))
+                    place += 1
                     held += len(part)
                     if held >= 1_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.values(), strict=True)], list(shape))
@@ -122,15 +125,15 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.values(), strict=True)], list(shape))
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, place long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ranks_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (binary), sequence_id, offset.
 
     Every document, a null or empty text included, ends with end_id. Pieces
-    are dealt by a hash of their document, place and content to groups whose
-    number follows the total length of all texts, so a document however long
+    are dealt by a hash of their number to groups whose number follows the
+    total length of all texts, so a document however long or often repeated
     spreads over the groups; each group is packed by first-fit decreasing.
     Offsets in a sequence have no gaps; sequences other than full ones are
     left short, padding is the reader's. Repeated rows are packed as often as
@@ -145,7 +148,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         seq = (t["g"].to_numpy() << 32) + which
         return t.drop_columns(["g"]).append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("place"), F.lit(groups)).cast("long")).drop("place")
     return dealt.groupBy("g").applyInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
 
 
