@@ -44,18 +44,21 @@ def paths(nodes: DataFrame) -> DataFrame:
     a root. Leaves whose way never ends (a cycle) have no path.
     """
     shared_dir(nodes.sparkSession)
-    ids = saved(nodes.select("tree", "node", "parent"), "nodes")
+    # No way is longer than its tree, so one that still goes on there never ends, and is followed no further.
+    whole = F.count("*").over(Window.partitionBy("tree"))
+    ids = saved(nodes.select("tree", "node", "parent", whole.alias("whole")), "nodes")
     known = ids.select("tree", F.col("node").alias("parent"))
-    up = ids.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above")).checkpoint()
+    up = ids.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above"), "whole").checkpoint()
     leaves = ids.join(up.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
     out = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     roots = ids.join(up.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node")
-    reach, most = 1, ids.count()
-    while reach <= most and up.limit(1).count():
-        further = out.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
+    reach = 1
+    while up.limit(1).count():
+        further = out.join(up, ["tree", "node"]).where(F.col("up") + reach < F.col("whole")).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
         out = out.unionByName(further).checkpoint()
-        next_up = up.alias("x").join(up.alias("y"), (F.col("x.tree") == F.col("y.tree")) & (F.col("x.above") == F.col("y.node"))).select("x.tree", "x.node", "y.above")
-        up, reach = next_up.checkpoint(), reach * 2
+        reach *= 2
+        next_up = up.alias("x").where(F.col("x.whole") > reach).join(up.alias("y"), (F.col("x.tree") == F.col("y.tree")) & (F.col("x.above") == F.col("y.node")))
+        up = next_up.select("x.tree", "x.node", "y.above", "x.whole").checkpoint()
     return out.join(out.join(roots, ["tree", "node"]).select("tree", "leaf"), ["tree", "leaf"])
 
 

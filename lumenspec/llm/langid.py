@@ -23,7 +23,7 @@ class Space:
         letters = rng.integers(0, 2, (LETTERS + 1, SIZE), dtype=np.int8) * 2 - 1
         self.shifted = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
         fold = np.zeros(0x110000, np.int32)
-        for cp in range(0x30000):
+        for cp in range(0x40000):  # all planes that have letters
             c = chr(cp)
             if c.isalpha():
                 low = c.lower()
@@ -79,7 +79,12 @@ def _chunks(batches, space: Space):
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Language prototypes: the bundle of all n-grams of each language's texts. Rows without a language are ignored."""
+    """Language prototypes: the bundle of all n-grams of each language's texts. Rows without a language are ignored.
+
+    A null or empty text, or one without letters, adds nothing; a language of which no text has a letter has the zero
+    prototype, which no document gets. Repeated rows count as often as they come. An empty table has no prototypes.
+    The sums, SIZE numbers a language, are what the driver gets.
+    """
 
     def run(batches):
         space, total = Space(), {}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspec.llm.common import saved, shared_dir
+from lumenspec.llm.common import few, saved, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns with possessive loops, so that no text makes the matcher recurse or retry; what needs counting is checked after.
@@ -143,9 +143,9 @@ def bootstrap(seen: DataFrame) -> DataFrame:
     scores = is_seed.selectExpr("rank", "name", "seed", "cast(seed as double) score")
     for _ in range(ROUNDS):
         joined = edges.drop("seed").join(scores, ["rank", "name"])
-        trusted = joined.groupBy("rank", "pattern").agg(F.avg("score").alias("p"), F.count_if("seed").alias("n")).where((F.col("n") >= SEEDS) & (F.col("p") >= TRUST)).select("rank", "pattern", "p")
+        trusted = joined.groupBy("rank", "pattern").agg(F.avg("score").alias("p"), F.count_if("seed").alias("n")).where((F.col("n") >= SEEDS) & (F.col("p") >= TRUST)).select("rank", "pattern", "p").checkpoint()
         # Trust that other instances lend is held below certainty, so that one pattern alone never accepts.
-        new = joined.where("not seed").join(trusted, ["rank", "pattern"]).groupBy("rank", "name").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.85)))))).alias("new"))
+        new = joined.where("not seed").join(few(trusted), ["rank", "pattern"]).groupBy("rank", "name").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.85)))))).alias("new"))
         scores = scores.join(new, ["rank", "name"], "left").selectExpr("rank", "name", "seed", "if(seed, 1.0D, coalesce(new, 0.0D)) score").checkpoint()
     return scores.where(f"not seed and score >= {ACCEPT}").select("rank", "name")
 
@@ -163,7 +163,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = saved(occurrences(d).select("id", F.xxhash64("text").alias("h"), F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))).alias("base"), "seen"), "pii")
     each = rows.select("id", "h", F.explode("seen").alias("x")).select("id", "h", "x.*")
-    good = bootstrap(each.select("rank", "name", "seed", F.explode("patterns").alias("pattern")))
+    good = few(bootstrap(each.select("rank", "name", "seed", F.explode("patterns").alias("pattern"))).checkpoint())
     more = each.where("not seed").join(good, ["rank", "name"]).groupBy("id", "h").agg(F.collect_set(F.struct("start", "rank", "end")).alias("more"))
     met = rows.drop("seen").alias("r").join(more.alias("m"), F.col("r.id").eqNullSafe(F.col("m.id")) & (F.col("r.h") == F.col("m.h")), "left")
     return met.select(F.col("r.id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.array_union("base", "more"))).alias("spans"))

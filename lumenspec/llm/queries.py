@@ -39,7 +39,7 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"), F.lit(probe).alias("text"))
     out = chat.read_back(chat.format_trees(chat.chain(rows.unionByName(extra))))
     said = "array_join(transform(turns, t -> concat(t.role, '\n', t.text, '\n')), '')"
     return out.selectExpr("tree conv_id", "cast(size(turns) as long) n_turns", f"sha2({said}, 256) turns_sha256", "cast(length(learned) as long) loss_chars", "sha2(learned, 256) loss_sha256", "cast(length(formatted) as long) formatted_chars")
@@ -55,9 +55,9 @@ WITH m AS (
     length(text) + length(text) - length(replace(replace(replace(text, chr(92), ''), '<', ''), '>', '')) AS text_chars FROM m
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(role_chars + text_chars + 15) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
