@@ -366,3 +366,87 @@ def test_queries_have_columns(spark):
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11))
     digest = QUERIES["op10_secrets"](spark, SF).where("n_assign = 0 and n_access = 0 and n_hex = 0").select("base_sha256").distinct().collect()
     assert [r[0] for r in digest] == [hashlib.sha256(b"").hexdigest()]
+
+
+def test_layers_of_any_kind_and_size():
+    """Wrapped lines, several members, bytes that are no UTF-8, other compressors, and no work beyond a line in the length of a text."""
+    import bz2
+    import lzma
+    import time
+
+    s, b64 = b"xx password=abcdefgh1234 yy", lambda x: base64.b64encode(x).decode()
+    lines = b64(prose(60, 3).encode() + s)
+    wrapped = "\n".join(lines[k : k + 76] for k in range(0, len(lines), 76))
+    for form in (wrapped, b64(gzip.compress(b"first ") + gzip.compress(s)), b64(bz2.compress(s)), b64(lzma.compress(s)), "%ff%70assword%3Dabcdefgh1234", b64(b"\xfe\xff " + s)):
+        spans = secrets.scan(f"é {form} end")[1]
+        assert [k for k, *_ in spans] == ["assign"] and 2 <= spans[0][1] < spans[0][2] <= 2 + len(form), form
+    began = time.time()
+    for t in ("a" * 1_000_000 + "%", "%41" * 300_000, "x%4" * 300_000, "\\u0041" * 100_000, "=%" + "b/" * 400_000):
+        secrets.scan(t)
+    # A bomb of 300 MB is read in pieces.
+    bomb = zlib.compressobj(9)
+    data = b"".join(bomb.compress(b"\0" * 1_000_000) for _ in range(300)) + bomb.compress(s) + bomb.flush()
+    assert [k for k, *_ in secrets.scan(b64(data))[1]] == ["assign"]
+    assert time.time() - began < 120
+
+
+def test_layer_against_brute_force():
+    """Secrets wrapped in random layers: every one is found, inside the span of its outermost form; plain texts gain none."""
+    r = random.Random(31)
+    wrap = [lambda x: base64.b64encode(x), lambda x: base64.b64encode(gzip.compress(x)), lambda x: base64.b64encode(zlib.compress(x)), lambda x: b"".join(b"%%%02x" % c for c in x), lambda x: b"".join(b"\\u%04x" % c for c in x)]
+    for _ in range(150):
+        t, want = "", []
+        for _ in range(r.randrange(1, 4)):
+            x = f"token: {r.randrange(10**9, 10**10)}".encode()
+            for _ in range(r.randrange(1, 4)):
+                x = r.choice(wrap)(x)
+            t += prose(r.randrange(4), r.randrange(99)) + " "
+            want.append((len(t), len(t) + len(x)))
+            t += x.decode() + " "
+        spans = secrets.scan(t)[1]
+        assert len(spans) == len(want) and all(a <= s and e <= b for (_, s, e), (a, b) in zip(spans, want, strict=True)), t
+    assert all(secrets.scan(prose(200, k))[1] == [] for k in range(20))
+
+
+def test_cycle_in_a_large_table(spark):
+    """A leaf that hangs on a cycle is followed no further than its tree is large."""
+    rows = [(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0), (1, 3, 2, "user", "leaf", 0.0), (3, 1, None, "user", "root", 0.0), (3, 2, 1, "assistant", "leaf", 0.0)]
+    rows += [(2, k, k - 1 if k else None, "user", str(k), 0.0) for k in range(3000)]
+    df = spark.createDataFrame(rows, NODES)
+    way = chat.paths(df.select("tree", "node", "parent"))
+    assert {(r["tree"], r["count"]) for r in way.groupBy("tree").count().collect()} == {(2, 3000), (3, 2)}
+
+
+def test_letters_beyond_the_basic_planes(spark):
+    got = langid.identify(spark.createDataFrame([(1, "\U00031350\U00031351\U00031352")], "doc_id long, text string"), {"xx": np.ones(langid.SIZE), "yy": -np.ones(langid.SIZE)}).first()
+    assert got["lang_pred"] != "und"
+
+
+def test_query_plans_are_native(spark):
+    from lumenspec.llm.queries import QUERIES
+
+    for name in ("op4_chat", "op7_pii", "op8_linededup"):
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD.*(conv_id|text)", QUERIES[name](spark, SF)._jdf.queryExecution().toString()), name
+
+
+def test_equal_rows_are_packed_apart(spark, monkeypatch):
+    """Many equal documents don't all land in one group."""
+    monkeypatch.setattr(packing, "GROUP_CHARS", 20_000)
+    docs = spark.createDataFrame([(None, "same " * 50)] * 800, "doc_id long, text string")
+    groups = packing.pack(docs).selectExpr("shiftright(sequence_id, 32) g").groupBy("g").count().collect()
+    assert len(groups) == 10 and max(g["count"] for g in groups) < 200
+
+
+def test_stages_judge_rows_by_text(spark):
+    """Null and shared ids: a row that only shares an id with a bad one stays, and of equal rows one stays."""
+    import corpus_pipeline as c
+
+    item = prose(40, 77)
+    sf = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (1, item), (1, prose(50, 1)), (2, prose(50, 2)), (2, prose(50, 2)), (3, prose(50, 2) + " end"), (None, prose(50, 2)), (None, prose(60, 9)), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r[0] is None, r[0] or 0, r[1] or "") for r in decontaminate.clean(docs, sf).collect()))
+    assert out == sorted((i is None, i or 0, t or "") for i, t in rows if t != item)
+    single = sorted((r[0] is None, r[0] or 0, r[1] or "") for r in c.drop_copies(spark, docs, SF).collect())
+    want = [(1, item), (1, prose(50, 1)), (2, prose(50, 2)), (None, prose(60, 9)), (4, None), (5, "")]
+    assert single == sorted((i is None, i or 0, t or "") for i, t in want)
