@@ -225,3 +225,64 @@ def test_digest_query(spark):
         assert r["kept_sha256"] == hashlib.sha256((docs[r["doc_id"]] or "").encode()).hexdigest()
 
 
+
+
+def test_windows_reach_over_partition_borders(spark):
+    """The pairs of a pass are the same however many partitions its order is cut into."""
+    r = np.random.default_rng(9)
+    hubs = r.standard_normal((60, 16))
+    x = np.concatenate([h / np.linalg.norm(h) + 0.03 * r.standard_normal((25, 16)) for h in hubs])
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, v array<double>")
+    got = []
+    for parts in (1, 61):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = embeddings.candidates(nodes, 0.95, passes=1, window=5)
+        got.append(dict(map(tuple, common.components(links).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == got[1] and len(got[0]) > 500
+
+
+def test_fingerprint_components_of_a_table(spark):
+    """The query's component_id against brute force over a whole table."""
+    from lumenspec.llm.queries import QUERIES
+
+    rows = QUERIES["op2_simhash"](spark, "/root/testdata/sf0.001").collect()
+    fp = {x["doc_id"]: int(x["fingerprint"], 16) for x in rows}
+    u = Union()
+    for a in fp:
+        for b in fp:
+            if (fp[a] ^ fp[b]).bit_count() <= 3:
+                u.join(a, b)
+    assert {x["doc_id"]: x["component_id"] for x in rows} == {a: u.find(a) for a in fp}
+
+
+def test_edited_families_exactly(spark):
+    """Two or five words changed of 200 in six families: the groups are those of brute force."""
+    r, texts = random.Random(41), []
+    for f in range(6):
+        base = prose(200, 900 + f).split()
+        for k in range(60):
+            copy = list(base)
+            for at in r.sample(range(200), 2 if k % 2 else 5):
+                copy[at] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    texts += ["na " * 200 + " ".join(f"o{k}x{j}" for j in range(90)) for k in range(3)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    u = Union()
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                u.join(a, b)
+    assert similar(spark, texts) == {k: u.find(k) for k in range(len(texts))}
+
+
+def test_sketches_never_rule_out_wrongly():
+    r = np.random.default_rng(3)
+    for n in (5, 300, 511, 513, 2000):
+        a = r.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.2, 0.5):
+            k = int(share * n)
+            b = np.unique(np.concatenate([a[k:], r.integers(0, 2**63, k + n // 20, dtype=np.uint64)]))
+            assert simhash._apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
