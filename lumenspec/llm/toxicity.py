@@ -19,11 +19,11 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 21
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5)
-#: Prior count of a feature in the rarer class (the other's is larger in proportion); standard errors that a log-odds must exceed; its largest absolute value; what each token costs a segment.
+#: Dirichlet prior over the two outcomes of a feature in a text, held or not: its count in the rarer class (the other's is larger in proportion); standard errors that a log-odds must exceed; its largest absolute value; what each token costs a segment.
 PRIOR, DOUBT, MOST, DRIFT = 0.5, 2.5, 8.0, 0.4
 #: Labelled documents that the final calibration is fitted on, about, where there are more: those with the lowest hashes.
 CALIBRATION_ROWS = 20_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 
 
 def features(word: str) -> list[int]:
@@ -226,7 +226,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, below: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below a limit; nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose text scores below a limit; nothing is shuffled.
+
+    A null or empty text has the base score. Null ids and repeated rows are judged like any other, each by its text.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
