@@ -9,6 +9,7 @@ intersects the lists of all other terms where something is left.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from lumenspec.llm.common import few, saved, shared_dir, ship
 
 #: Words are runs of letters, digits and all beyond ASCII; no UTF-8 byte of a wider character is below 0x80.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Distinct test words (8 bytes each) that are sent to the tasks, so that others aren't indexed; for a benchmark of more, every word is.
-BLOCK_WORDS = 2_000_000
+#: Distinct test words that are sent to the tasks, so that others aren't indexed; for a benchmark of more, every word is.
+BLOCK_WORDS = 200_000
 #: A shard ends with this many documents or words; GAP free positions keep its documents apart.
 SHARD_DOCS, SHARD_WORDS, GAP = 256, 1_000_000, 4096
 #: Words whose hashes a task keeps; the cache starts anew when full.
@@ -41,22 +42,26 @@ def term(word: bytes) -> int:
 
 
 class _Terms(dict):
-    """Terms by word, 0 for a word outside the vocabulary (sorted terms; None: all words)."""
-
-    def __init__(self, vocabulary: np.ndarray | None):
-        super().__init__()
-        self.vocabulary = vocabulary
+    """Terms by word."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        t, v = term(word), self.vocabulary
-        if v is not None and (not len(v) or v[min(np.searchsorted(v, t), len(v) - 1)] != t):
-            t = 0
-        self[word] = t
+        t = self[word] = term(word)
         return t
 
 
+def vocabulary(benchmark: DataFrame, text_col: str) -> dict[bytes, int] | None:
+    """The terms of all test words, if there are BLOCK_WORDS at most."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({w for t in batch.column(0) for w in words(t.as_py())}, pa.binary())], ["w"])
+
+    held = benchmark.select(text_col).mapInArrow(run, "w binary").distinct().limit(BLOCK_WORDS + 1).toArrow()["w"].to_pylist()
+    return {w: term(w) for w in held} if len(held) <= BLOCK_WORDS else None
+
+
 def windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
     """(g, items) every distinct window of ``size`` terms, or the whole item if it's shorter, with the ids of its items as sorted strings."""
 
@@ -72,9 +77,10 @@ def windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Da
     return rows.mapInArrow(run, "g array<long>, item string").groupBy("g").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
+def build_index(docs: DataFrame, known: dict[bytes, int] | None, id_col: str, text_col: str) -> DataFrame:
     """The inverted file: a row (shard, term, n, at) for each term of a shard, at being its n positions in order, and
-    a row (shard, ids, n_words, bases) without term for the shard's documents, whose positions begin at bases."""
+    a row (shard, ids, n_words, bases) without term for the shard's documents, whose positions begin at bases. Only known words are indexed, or all if there are none given."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def shard(number: int, ids: list, terms: list[np.ndarray]):
         n = np.fromiter(map(len, terms), np.int64, len(terms))
@@ -93,13 +99,14 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None, id_col: str, tex
     def run(batches):
         from pyspark import TaskContext
 
-        known, number = _Terms(vocabulary), TaskContext.get().partitionId() << 32
+        terms_of, number = _Terms(), TaskContext.get().partitionId() << 32
+        look = (lambda w: map(terms_of.__getitem__, w)) if sent.value is None else (lambda w: map(sent.value.get, w, repeat(0)))
         ids, terms, held = [], [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 w = words(text.as_py())
                 ids.append(i)
-                terms.append(np.fromiter(map(known.__getitem__, w), np.int64, len(w)))
+                terms.append(np.fromiter(look(w), np.int64, len(w)))
                 held += len(w)
                 if len(ids) >= SHARD_DOCS or held >= SHARD_WORDS:
                     yield from shard(number, ids, terms)
@@ -184,9 +191,7 @@ def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         raise ValueError(f"slop must be below {GAP - window}")
     shared_dir(docs.sparkSession)
     wins = saved(windows(benchmark, item_col, item_text, window).withColumn("k", F.monotonically_increasing_id()), "windows")
-    asked = wins.select(F.explode("g").alias("term")).distinct()
-    vocabulary = np.sort(asked.toArrow()["term"].to_numpy()) if asked.limit(BLOCK_WORDS + 1).count() <= BLOCK_WORDS else None
-    index = saved(build_index(docs, vocabulary, id_col, text_col), "index")
+    index = saved(build_index(docs, vocabulary(benchmark, item_text), id_col, text_col), "index")
     lists = index.where("term is not null").select("shard", "term", "at")
     counts = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
     each = wins.select("k", F.posexplode("g").alias("j", "term")).join(counts, "term", "left")
