@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Suffixes of side files that are compressed when embedded.
 COMPRESSIBLE = (".xml", ".txt", ".method", ".tsf", ".tdf", ".json", ".csv", ".sqlite", ".cfg", ".ini", ".log")
 #: Media types by extension.
-MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff"}
+MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "svs": "image/tiff"}
 
 
 def glob_regex(pattern: str, single: bool = False) -> str:
@@ -64,10 +64,10 @@ def scrubbed(argument: Column) -> Column:
 
 
 def accession_hint(path: Column) -> Column:
-    """A public accession at the start of the file's stem, else the stem."""
+    """The stem of a file less a second extension where that begins like a public accession, else the stem."""
     stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", "")
-    found = F.regexp_extract(stem, "^(PXD|MTBLS|MSV)[0-9]+", 0)
-    return F.when(found != "", found).otherwise(stem)
+    bare = F.regexp_replace(stem, r"\.[^.]*$", "")
+    return F.when(bare.rlike("^(PXD|MTBLS|MSV)"), bare).otherwise(stem)
 
 
 def extension(path: Column) -> Column:

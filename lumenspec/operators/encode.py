@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspec.storage import saved
+
 
 def delta_encoded(points: DataFrame, keys: list[str], value: str = "tof", order: str = "ordinal") -> DataFrame:
     """delta: the value less the one before it in its scan; the first of each scan stays absolute."""
@@ -42,16 +44,25 @@ def scans_of_offsets(frames: DataFrame) -> DataFrame:
 def reindexed(rows: DataFrame, keys: list[str], within: list[str] | None = None) -> DataFrame:
     """A dense 0-based index in order of ``keys`` (per group of ``within``).
 
-    Without groups the counts of range partitions, one small row each, give
-    every partition its offset, so no task sees all rows.
+    Without groups the rows are range-partitioned, numbered where they lie
+    and written once; the sizes of the partitions, one small row each, give
+    every one its offset, so no task sees all rows.
     """
     if within:
         return rows.withColumn("index", (F.row_number().over(Window.partitionBy(*within).orderBy(*keys)) - 1).cast("long"))
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    numbered = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "before")
-    return numbered.join(F.broadcast(before), "_p").withColumn("index", F.col("before") + F.col("_n") - 1).drop("_p", "_n", "before")
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's number there
+    ordered = saved(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", place), "ordered")
+    part, row = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))
+    before = counts.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ordered.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("index", F.col("_before") + row).drop("_p", "_before", "_at")  # a row for each partition
+
+
+def integer_intensity(points: DataFrame, column: str = "intensity") -> DataFrame:
+    """``points`` with counts as 32-bit integers where every one is whole and fits, else as they are."""
+    v = F.col(column)
+    whole = points.agg(F.coalesce(F.bool_and((v == F.floor(v)) & (F.abs(v) < 2**31)), F.lit(True))).first()[0]
+    return points.withColumn(column, v.cast("int")) if whole else points
 
 
 def partition_faults(whole: DataFrame, *facets: DataFrame, key: str = "spectrum_index") -> DataFrame:

@@ -141,17 +141,25 @@ def fit(sample: DataFrame, min_probes: int = MIN_PROBES) -> Fit | None:
 
 
 def fixed_clock(points: DataFrame, c1: float, least: int = 4) -> DataFrame:
-    """(spectrum_index, c0, max_ppm) of spectra that a known clock fits: c0 is the mean offset; every point must be within tolerance."""
+    """(spectrum_index, c0, max_ppm) of spectra that a known clock fits: c0 is the mean offset; every point must be within tolerance, and none may be zero, negative or beyond the largest index."""
     y = points.where("mz > 0").select("spectrum_index", "mz", F.sqrt("mz").alias("y"))
     low = y.groupBy("spectrum_index").agg(F.min("y").alias("low"), F.count("*").alias("n")).where(F.col("n") >= least)
     k = y.join(low, "spectrum_index").withColumn("k", F.round((F.col("y") - F.col("low")) / c1))
     c0 = k.groupBy("spectrum_index").agg(F.avg(F.col("y") - c1 * F.col("k")).alias("c0"))
     e = k.join(c0, "spectrum_index").groupBy("spectrum_index", "c0").agg(F.max(ppm(grid_mz(F.col("c0"), F.lit(c1), F.round((F.col("y") - F.col("c0")) / c1)), F.col("mz"))).alias("max_ppm"))
-    return e.where(F.col("max_ppm") <= PPM_TOLERANCE)
+    return _lossless(e, points, k.join(c0, "spectrum_index"), F.col("c0"), F.lit(c1))
+
+
+def _lossless(fits: DataFrame, points: DataFrame, y: DataFrame, c0, c1) -> DataFrame:
+    """The fits within tolerance of spectra all of whose points have an index."""
+    k = F.round((F.col("y") - c0) / c1)
+    beyond = y.groupBy("spectrum_index").agg(F.min(k).alias("least"), F.max(k).alias("most")).where((F.col("least") < 0) | (F.col("most") > MAX_INDEX)).select("spectrum_index")
+    without = points.where("mz is null or isnan(mz) or mz <= 0").select("spectrum_index").unionByName(beyond).distinct()
+    return fits.where(F.col("max_ppm") <= PPM_TOLERANCE).join(without, "spectrum_index", "left_anti")
 
 
 def per_spectrum(points: DataFrame) -> DataFrame:
-    """(spectrum_index, c0, c1, max_ppm): each spectrum's own grid at its step or a half, quarter or eighth of it, the coarsest within tolerance."""
+    """(spectrum_index, c0, c1, max_ppm): each spectrum's own grid at its step or a half, quarter or eighth of it, the coarsest within tolerance whose indexes all fit; none for a spectrum with a point that is zero or negative."""
     y = points.where("mz > 0").select("spectrum_index", "mz", F.sqrt("mz").alias("y"))
     low = y.groupBy("spectrum_index").agg(F.min("y").alias("low"))
     tries = base_steps(points).join(low, "spectrum_index").select("spectrum_index", "low", F.posexplode(F.array(*(F.col("step") / 2**i for i in range(4)))).alias("t", "s"))
@@ -160,8 +168,11 @@ def per_spectrum(points: DataFrame) -> DataFrame:
     det = F.col("n") * F.col("kk") - F.col("sk") * F.col("sk")
     safe = F.when(F.abs(det) >= 1e-30, det)
     grids = s.select("spectrum_index", "t", F.coalesce((F.col("kk") * F.col("sy") - F.col("sk") * F.col("ky")) / safe, F.col("low")).alias("c0"), F.coalesce((F.col("n") * F.col("ky") - F.col("sk") * F.col("sy")) / safe, F.col("s")).alias("c1")).where("c1 > 0")
-    e = y.join(grids, "spectrum_index").groupBy("spectrum_index", "t", "c0", "c1").agg(F.max(ppm(grid_mz(F.col("c0"), F.col("c1"), F.round((F.col("y") - F.col("c0")) / F.col("c1"))), F.col("mz"))).alias("max_ppm"))
-    return e.where(F.col("max_ppm") <= PPM_TOLERANCE).groupBy("spectrum_index").agg(F.min_by(F.struct("c0", "c1", "max_ppm"), "t").alias("g")).select("spectrum_index", "g.*")
+    at = F.round((F.col("y") - F.col("c0")) / F.col("c1"))
+    e = y.join(grids, "spectrum_index").groupBy("spectrum_index", "t", "c0", "c1").agg(F.min(at).alias("least"), F.max(at).alias("most"), F.max(ppm(grid_mz(F.col("c0"), F.col("c1"), F.round((F.col("y") - F.col("c0")) / F.col("c1"))), F.col("mz"))).alias("max_ppm"))
+    fine = (F.col("max_ppm") <= PPM_TOLERANCE) & (F.col("least") >= 0) & (F.col("most") <= MAX_INDEX)
+    without = points.where("mz is null or isnan(mz) or mz <= 0").select("spectrum_index").distinct()
+    return e.where(fine).join(without, "spectrum_index", "left_anti").groupBy("spectrum_index").agg(F.min_by(F.struct("c0", "c1", "max_ppm"), "t").alias("g")).select("spectrum_index", "g.*")
 
 
 def routed(points: DataFrame, c0: float, c1: float) -> DataFrame:

@@ -37,6 +37,22 @@ def classify(df: DataFrame) -> tuple[str, str | None]:
     return "global", None
 
 
+def with_child(df: DataFrame, outer: str, inner: str, value) -> DataFrame:
+    """``df`` with one child of a struct column replaced; a null struct stays null."""
+    return df.withColumn(outer, F.when(F.col(outer).isNotNull(), F.col(outer).withField(inner, value)))
+
+
+def point_counts(data: DataFrame) -> DataFrame:
+    """(key, n): points of each spectrum or chromatogram of a signal facet; a chunk counts the length of its intensity list."""
+    _, key = classify(data)
+    outer = key.rpartition(".")[0]
+    names = data.schema[outer].dataType.names if outer else data.columns
+    kinds = {f.name: f.dataType for f in (data.schema[outer].dataType if outer else data.schema)}
+    at = f"{outer}.intensity" if outer else "intensity"
+    listed = "intensity" in names and isinstance(kinds["intensity"], T.ArrayType)
+    return data.groupBy(F.col(key).cast("long").alias("key")).agg((F.sum(F.size(at)) if listed else F.count("*")).cast("long").alias("n"))
+
+
 def survivors_of(facets: dict[str, DataFrame], rt: tuple[float, float] | None, levels: tuple[int, ...]) -> DataFrame | None:
     """The chosen spectra from the metadata facet, narrow columns only; none without a spectral filter."""
     if rt is None and not levels:

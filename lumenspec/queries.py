@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lumenspec.functions import scalar as S
 from lumenspec.functions import text as X
 from lumenspec.operators import calibration, chrom, encode, grid, report, selection, vendor
+from lumenspec.plans import facets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,9 +97,9 @@ def survivor_filter(spark, sf):
     return chosen(spark, sf).select("index", "time", "ms_level")
 
 
-@query("SELECT index, time FROM spectra WHERE time <= 500")
+@query("SELECT index, time FROM spectra WHERE time <= 1900")
 def rt_window_open(spark, sf):
-    return selection.survivors(spectra(spark, sf), selection.parse_range("-500")).select("index", "time")
+    return selection.survivors(spectra(spark, sf), selection.parse_range("-1900")).select("index", "time")
 
 
 @query("SELECT index, ms_level FROM spectra WHERE ms_level IN (1, 3)")
@@ -441,15 +442,11 @@ def label_sanitize(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.sanitized_label(F.concat("source", F.lit(" ("), F.coalesce("lang", F.lit("")), F.lit("):"))).alias("name"))
 
 
-@query("WITH l AS (SELECT DISTINCT source, lang, min(doc_id) AS first FROM documents GROUP BY 1, 2), b AS (SELECT source || '/' || coalesce(lang, '') AS label, source AS bare, first FROM l) SELECT label, CASE WHEN row_number() OVER (PARTITION BY bare ORDER BY first) = 1 THEN bare ELSE bare || '_' || (row_number() OVER (PARTITION BY bare ORDER BY first) - 1) END AS name FROM b")
+@query("WITH l AS (SELECT source || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ':' ELSE ' -' END AS label, trim(regexp_replace(source, '[^0-9A-Za-z]+', '_', 'g'), '_') AS bare, min(doc_id) AS first FROM documents WHERE source IS NOT NULL GROUP BY 1, 2) SELECT label, CASE WHEN row_number() OVER (PARTITION BY bare ORDER BY first) = 1 THEN bare ELSE bare || '_' || (row_number() OVER (PARTITION BY bare ORDER BY first) - 1) END AS name FROM l")
 def name_collision(spark, sf):
-    rows = read(spark, sf, "documents").selectExpr("concat(source, '/', coalesce(lang, '')) label", "doc_id ordinal", "doc_id position", "'1' value")
-    # Labels that differ only after the slash fall on one bare name.
-    seen = rows.groupBy("label").agg(F.min(F.struct("ordinal", "position")).alias("first")).withColumn("bare", X.sanitized_label(F.regexp_replace("label", "/.*$", "")))
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("bare").orderBy("first")) - 1
-    return seen.select("label", F.when(n == 0, F.col("bare")).otherwise(F.concat_ws("_", "bare", n.cast("string"))).alias("name"))
+    """Labels that differ only in signs fall on one bare name."""
+    rows = read(spark, sf, "documents").where("source is not null").selectExpr("concat(source, case doc_id % 3 when 0 then '' when 1 then ':' else ' -' end) label", "doc_id ordinal", "doc_id position", "'1' value")
+    return vendor.column_names(rows).select("label", "name")
 
 
 @query("SELECT page_id, CASE WHEN lower(regexp_extract(url, '[^/]*$')) LIKE '%ref=x' THEN 'drop' WHEN lower(regexp_extract(url, '[^/]*$')) LIKE '%_bin' THEN 'drop' WHEN lower(regexp_extract(url, '[^/]*$')) LIKE '%.html' THEN 'drop' ELSE 'embed' END AS action FROM pages")
@@ -517,9 +514,9 @@ def member_names(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.slug(u).alias("slug"), X.scrubbed(u).alias("scrubbed"), X.safe_member(u).alias("safe"), X.compressible(u).alias("compressible"))
 
 
-@query("WITH n AS (SELECT page_id, 'runs/' || CASE page_id % 4 WHEN 0 THEN 'PXD00' WHEN 1 THEN 'MTBLS' WHEN 2 THEN 'MSV' ELSE 'x' END || page_id || '_a.sdrf.' || CASE page_id % 3 WHEN 0 THEN 'PNG' WHEN 1 THEN 'tif' ELSE 'tsv' END AS name FROM pages) SELECT page_id, CASE WHEN page_id % 4 < 3 THEN CASE page_id % 4 WHEN 0 THEN 'PXD00' WHEN 1 THEN 'MTBLS' ELSE 'MSV' END || page_id ELSE 'x' || page_id || '_a.sdrf' END AS accession, CASE page_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/tiff' ELSE 'application/octet-stream' END AS media FROM n")
+@query("WITH n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'PXD00' WHEN 1 THEN 'MTBLS' WHEN 2 THEN 'MSV' ELSE 'x' END || page_id || '_a' AS bare, CASE page_id % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'tif' WHEN 2 THEN 'svs' ELSE 'tsv' END AS ext FROM pages) SELECT page_id, CASE WHEN bare LIKE 'x%' THEN bare || '.sdrf' ELSE bare END AS accession, CASE ext WHEN 'PNG' THEN 'image/png' WHEN 'tsv' THEN 'application/octet-stream' ELSE 'image/tiff' END AS media FROM n")
 def accession_and_media(spark, sf):
-    name = F.expr("concat('runs/', case page_id % 4 when 0 then 'PXD00' when 1 then 'MTBLS' when 2 then 'MSV' else 'x' end, page_id, '_a.sdrf.', case page_id % 3 when 0 then 'PNG' when 1 then 'tif' else 'tsv' end)")
+    name = F.expr("concat('runs/', case page_id % 4 when 0 then 'PXD00' when 1 then 'MTBLS' when 2 then 'MSV' else 'x' end, page_id, '_a.sdrf.', case page_id % 4 when 0 then 'PNG' when 1 then 'tif' when 2 then 'svs' else 'tsv' end)")
     return read(spark, sf, "pages").select("page_id", X.accession_hint(name).alias("accession"), X.media_type(name).alias("media"))
 
 
@@ -584,3 +581,37 @@ def concat_results(spark, sf):
 def lossless_check(spark, sf):
     p = points(spark, sf).select("spectrum_index", "ordinal", "mz", "intensity")
     return report.lossless_report(p, encode.unchunked(encode.chunked(p))).drop("max_ppm")
+
+
+# --- small lookups
+
+
+@query("SELECT count(*) AS frames, CAST(max(n) AS BIGINT) AS max_scans FROM (SELECT count(*) AS n FROM points GROUP BY spectrum_index)")
+def frame_extent(spark, sf):
+    frames = points(spark, sf).groupBy("spectrum_index").agg(F.count("*").alias("num_scans"))
+    return calibration.frame_extent(frames)
+
+
+@query("SELECT s.index, l_linenumber AS window FROM spectra s JOIN lineitem ON l_orderkey = s.index + 1")
+def windows_of_position(spark, sf):
+    windows = read(spark, sf, "lineitem").selectExpr("l_orderkey frame", "l_linenumber window")
+    return calibration.windows_of_position(spectra(spark, sf).select("index"), windows)
+
+
+@query("SELECT index, CASE WHEN ms_level < 3 THEN id END AS id, CASE WHEN ms_level < 3 THEN CAST(coalesce(n, 0) AS BIGINT) END AS n FROM spectra LEFT JOIN (SELECT spectrum_index, count(*) AS n FROM points GROUP BY 1) p ON p.spectrum_index = index")
+def struct_child(spark, sf):
+    """Counts put into a struct column; a null struct stays null."""
+    s = spectra(spark, sf).select("index", F.when(F.col("ms_level") < 3, F.struct("id", F.lit(-1).cast("long").alias("n"))).alias("spectrum"))
+    n = points(spark, sf).groupBy(F.col("spectrum_index").alias("index")).agg(F.count("*").alias("c"))
+    return facets.with_child(s.join(n, "index", "left"), "spectrum", "n", F.coalesce("c", F.lit(0))).select("index", "spectrum.id", "spectrum.n")
+
+
+@query("SELECT spectrum_index AS key, count(*) AS n FROM points GROUP BY 1")
+def chunk_point_counts(spark, sf):
+    """A chunk counts as many points as its lists hold."""
+    return facets.point_counts(encode.chunked(points(spark, sf)))
+
+
+@query("SELECT spectrum_index, ordinal, CAST(intensity AS INTEGER) AS intensity FROM points")
+def integer_intensity(spark, sf):
+    return encode.integer_intensity(points(spark, sf)).select("spectrum_index", "ordinal", "intensity")

@@ -134,3 +134,38 @@ def test_duplicate_and_dangling_precursors(spark):
     s = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "f", "a"), (4, "g", "zz"), (5, "h", "")], "index long, id string, precursor_id string")
     assert calibration.dangling_fragments(s, s.where("index <> 2")).collect() == [(3, 2)]
     assert calibration.dangling_fragments(s, s.where("index <> 1")).count() == 0
+
+
+def test_reindexed_keeps_every_row(spark):
+    """Many partitions and wide rows: every index comes exactly once, in order of the keys."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    rows = spark.range(400_000).selectExpr("(id * 7919) % 400000 k", "repeat(cast(id as string), 40) payload")
+    got = encode.reindexed(rows, ["k"])
+    assert got.agg(F.count("*"), F.countDistinct("index"), F.min("index"), F.max("index")).first()[:] == (400_000, 400_000, 0, 399_999)
+    assert got.where("index <> k").count() == 0 and got.where("length(payload) < 40").count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert encode.reindexed(rows.where("false"), ["k"]).count() == 0
+
+
+def test_nearest_leaves_out_what_is_no_number(spark):
+    nan = float("nan")
+    probe, axis = spark.createDataFrame([(1.0,), (nan,), (None,), (9.0,)], "x double"), spark.createDataFrame([(2.0,), (nan,), (8.5,)], "x double")
+    assert sorted((r["x"], r["nearest"]) for r in calibration.nearest(probe, axis).collect()) == [(1.0, 2.0), (9.0, 8.5)]
+
+
+def test_grids_need_positive_points(spark):
+    rows = [(s, (14.0 + 1e-3 * (1000 + k)) ** 2) for s in (1, 2) for k in range(40)] + [(2, 0.0), (3, 5.0)]
+    p = spark.createDataFrame(rows, "spectrum_index long, mz double")
+    assert [r["spectrum_index"] for r in grid.per_spectrum(p).collect()] == [1] == [r["spectrum_index"] for r in grid.fixed_clock(p, 1e-3).collect()]
+
+
+def test_names_of_sdrf_and_images(spark):
+    df = spark.createDataFrame([("a/PXD001_a.sdrf.tsv",), ("x_a.sdrf.tsv",), ("b/MTBLS7.svs",)], "p string")
+    got = df.select(text.accession_hint(F.col("p")), text.media_type(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["PXD001_a", "x_a.sdrf", "MTBLS7"] and got[2][1] == "image/tiff"
+
+
+def test_integer_intensity_only_if_lossless(spark):
+    p = spark.createDataFrame([(1, 2.0), (1, 3.0)], "spectrum_index long, intensity double")
+    assert dict(encode.integer_intensity(p).dtypes)["intensity"] == "int"
+    assert dict(encode.integer_intensity(p.withColumn("intensity", F.col("intensity") + 0.5)).dtypes)["intensity"] == "double"
