@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a few bytes that are broadcast at most; beyond, they are joined by shuffle.
 FEW_KEYS = 500_000
+#: Rows of an Arrow batch: at 2 KB a text, a few MB for each worker and each task.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def few(keys: DataFrame) -> DataFrame:
@@ -29,7 +31,12 @@ def ship(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none (tests), a temporary one is set."""
+    """The folder all executors share; only where the session names none (tests), a temporary one is set.
+
+    Texts are long, so Arrow batches are made smaller too, where the session leaves their size at the default.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if named.isDefined():

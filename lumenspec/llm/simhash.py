@@ -146,6 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SAMPLE, COMMON = 16, 3
 #: Texts, and shingle hashes, of a crowded shingle that one task compares with as many others.
 BLOCK_TEXTS, BLOCK_HASHES = 4096, 1_000_000
+#: Pairs to a text of a shingle that sketches may leave to be verified pair by pair, each once wherever it is met; where they leave more, the block is verified in one task.
+FEW_PAIRS = 2
 #: Bits of the smallest sketch; a text of more shingles has the next power of two.
 SKETCH_BITS = 512
 PROFILE = "c long, n long, fp long, sketch binary, prefix array<long>"
@@ -191,10 +193,12 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         seen = set()
         for batch in batches:
+            held = [np.empty(0, np.uint64)]
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if c not in seen:
                     seen.add(c)
-                    yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(text.as_py(), shingle).view(np.int64))], ["h"])
+                    held.append(_shingle_set(text.as_py(), shingle))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["h"])
 
     often = docs.where(f"pmod(c, {SAMPLE}) = 0").mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
     held = often.orderBy(F.desc("count"), "h").limit(FEW_KEYS).toArrow()
@@ -300,17 +304,23 @@ def _buckets(pdf: pd.DataFrame):
 
 
 def _near_texts(similarity: float):
-    """The rows of a task that have a partner which sizes and sketches let link."""
+    """What sizes and sketches let link: the pairs (c, b) of a shingle where they are few to a text, else the rows (b null) that have a partner."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pdf.iloc[:0].drop(columns="sketch").assign(b=pd.array([], "Int64"))]
         for g, first in _buckets(pdf):
-            some = np.zeros(len(g), bool)
+            some, n, pairs = np.zeros(len(g), bool), 0, []
             for a, b in _near_rows(g["n"].to_numpy(), g["l"].to_numpy(), g["sketch"].to_list(), similarity, first):
                 some[a] = some[b] = True
-            if some.any():
-                out.append(g[some].drop(columns="sketch"))
-        return pd.concat(out) if out else pdf.iloc[:0].drop(columns="sketch")
+                n += len(a)
+                if n <= FEW_PAIRS * len(g):
+                    pairs.append((a, b))
+            if n > FEW_PAIRS * len(g):
+                out.append(g[some].drop(columns="sketch").assign(b=pd.array([None] * int(some.sum()), "Int64")))
+            elif n:
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                out.append(g.iloc[a].drop(columns="sketch").assign(b=pd.array(g["c"].to_numpy()[b], "Int64")))
+        return pd.concat(out)
 
     return run
 
@@ -363,7 +373,7 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, sim
     Where texts share a first shingle, all are compared with one of them, the
     same one wherever they meet. What is left between different groups is
     compared pair by pair in blocks of bounded size, by sketches, and only
-    the texts that these leave are met by their sets. Null texts and texts
+    what these leave is met by its sets. Null texts and texts
     without words link with nothing; equal texts are one.
     """
     spark = docs.sparkSession
@@ -411,11 +421,15 @@ def similar_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, sim
     parts = rest.groupBy("h").agg(F.expr(blocks), F.min("l").alias("low"), F.max("l").alias("high")).where("low <> high").select("h", "blocks")
     open_ = saved(rest.join(parts, "h"), "open")
     dealt = _blocks(open_).join(nodes.select("c", "sketch"), "c")
-    near = "key long, h long, c long, n long, l long, i int, j int, side int"
+    near = "key long, h long, c long, n long, l long, i int, j int, side int, b long"
     left = saved(dealt.select("key", "h", "c", "n", "l", "i", "j", "side", "sketch").groupBy("key").applyInPandas(_near_texts(similarity), near), "left")
-    sets = saved(_some(texts, left.select("c").distinct(), shingle), "sets")
-    more = saved(left.join(sets, "c").select("key", "h", "c", "n", "l", "i", "j", "side", "s").groupBy("key").applyInPandas(_links(similarity), "a long, b long"), "more")
-    return components(linked.unionByName(more)).toDF("c", "component")
+    linked = linked.unionByName(verified(pairs_of(left.where("b is not null").selectExpr("c a", "b")).distinct()))
+    crowded = left.where("b is null").drop("b")
+    if crowded.head(1):
+        sets = saved(_some(texts, crowded.select("c").distinct(), shingle), "sets")
+        blocks = crowded.join(sets, "c").select("h", "c", "n", "l", "i", "j", "side", "s").groupBy("h", "i", "j")
+        linked = linked.unionByName(saved(blocks.applyInPandas(_links(similarity), "a long, b long"), "more"))
+    return components(linked).toDF("c", "component")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:

@@ -23,7 +23,7 @@ BEGINNINGS = (4, 5)
 PRIOR, DOUBT, MOST, DRIFT = 0.5, 2.5, 8.0, 0.4
 #: Labelled documents that the final calibration is fitted on, about, where there are more: those with the lowest hashes.
 CALIBRATION_ROWS = 20_000
-CACHE_WORDS = 60_000
+CACHE_WORDS = 200_000
 
 
 def features(word: str) -> list[int]:
@@ -236,11 +236,12 @@ def accepted(docs: DataFrame, model: Model, below: float, text_col: str = "text"
         m = held.value
         tokens = Tokens(m.weights)
         for batch in batches:
-            fine = [m.score(tokens.of(t.as_py() or "")) < below for t in batch.column("text")]
+            texts = batch.column("row").field(place)
+            fine = [m.score(tokens.of(t.as_py() or "")) < below for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("row")], ["row"]).filter(pa.array(fine, pa.bool_()))
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, rows.select("row").schema).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    place, rows = docs.columns.index(text_col), docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 ship(__name__)

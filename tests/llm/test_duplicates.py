@@ -286,3 +286,18 @@ def test_sketches_never_rule_out_wrongly():
             k = int(share * n)
             b = np.unique(np.concatenate([a[k:], r.integers(0, 2**63, k + n // 20, dtype=np.uint64)]))
             assert simhash._apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_both_ways_of_verifying_agree(spark, monkeypatch):
+    """Pairs one by one, or blocks with their sets: the same groups."""
+    r, base, texts = random.Random(51), prose(260, 51).split(), []
+    for k in range(60):
+        copy = list(base)
+        for at in r.sample(range(260), 5 + k % 4):
+            copy[at] = f"z{k}x{at}"
+        texts.append(" ".join(copy))
+    got = []
+    for most in (0, 10**6):
+        monkeypatch.setattr(simhash, "FEW_PAIRS", most)
+        got.append(similar(spark, texts))
+    assert got[0] == got[1] and 1 < len(set(got[0].values())) < len(texts)
