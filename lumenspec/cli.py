@@ -51,24 +51,23 @@ def main(argv: list[str] | None = None) -> int:
     if not args.output:
         print("an output is needed", file=sys.stderr)
         return 1
-    if kind == "archive":
+    written = args.output.lower().endswith(".mzml")
+    if kind == "archive" and not written:
         archive.filter_archive(spark, args.input, args.output, args.rt, tuple(args.ms_level), tuple(args.drop), args.force)
         return 0
-    spectra = read(spark, args.input)
+    if kind == "archive":
+        from lumenspec.operators.selection import survivors
+        from lumenspec.sources import decode
+
+        spectra = survivors(decode.read_spectra(spark, args.input, tuple(args.drop)), args.rt, args.ms_level)
+    else:
+        spectra = read(spark, args.input)
     if args.max_spectra:
         spectra = spectra.orderBy("index").limit(args.max_spectra)
-    if args.output.lower().endswith(".mzml"):
+    if written:
         sinks.write_mzml(spectra, args.output)
     else:
-        import tempfile
-        from pathlib import Path
-
-        folder = Path(tempfile.mkdtemp(prefix="facets-"))
-        out = archive.ArchiveWriter(args.output, args.force)
-        for name, df, order, kind in (("spectra_metadata.parquet", spectra.drop("mz", "intensity"), ["index"], "metadata"), ("spectra_data.parquet", mzml.points(spectra), ["spectrum_index", "ordinal"], "signal")):
-            archive.write_facet(df, str(folder / name), order)
-            out.add(name, str(folder / name), "spectrum", kind)
-        out.close()
+        archive.write_archive(spectra, args.output, args.force)
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,9 @@ from lumenspec.operators import selection
 
 #: Structs that hold signal rows.
 SIGNAL = ("point", "chunk", "peak")
+# Counts in a facet's footer, the count in a chromatogram's row.
+COUNTS = ("spectrum_count", "spectrum_data_point_count", "chromatogram_count", "chromatogram_data_point_count")
+N_POINTS = "MS_1003060_number_of_data_points"
 
 
 def _field(df: DataFrame, outer: str, inner: str) -> str | None:
@@ -53,6 +58,30 @@ def point_counts(data: DataFrame) -> DataFrame:
     return data.groupBy(F.col(key).cast("long").alias("key")).agg((F.sum(F.size(at)) if listed else F.count("*")).cast("long").alias("n"))
 
 
+def counts_of(kind: str, rows: DataFrame) -> dict[str, str]:
+    """Footer entries of a facet of this class: its spectra or chromatograms, and its points if it is a signal facet."""
+    what = kind.partition("_")[0]
+    if kind.endswith("_data"):
+        n, total = point_counts(rows).where("key is not null").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return {f"{what}_count": str(n), f"{what}_data_point_count": str(total)}
+    if kind == "ordinal":
+        return {"spectrum_count": str(rows.agg(F.count_distinct("ordinal")).first()[0])}
+    return {f"{what}_count": str(rows.where(F.col(f"{what}.index").isNotNull()).count())}
+
+
+def recounted(df: DataFrame, facets: dict[str, DataFrame], rt: tuple[float, float]) -> tuple[str, DataFrame]:
+    """(class, rows): chromatogram metadata with the points that their cut curves keep, none being 0; other facets are global."""
+    if classify(df)[0] != "chromatogram_metadata" or not _field(df, "chromatogram", N_POINTS):
+        return "global", df
+    cut = [point_counts(apply_filter(f, None, rt)[1]) for f in facets.values() if classify(f)[0] == "chromatogram_data"]
+    if not cut:
+        return "global", df
+    n = reduce(DataFrame.unionByName, cut).groupBy("key").agg(F.sum("n").alias("_n"))
+    kind = df.schema["chromatogram"].dataType[N_POINTS].dataType
+    met = df.withColumn("_key", F.col("chromatogram.index").cast("long")).join(n.withColumnRenamed("key", "_key"), "_key", "left")
+    return "chromatogram_metadata", with_child(met, "chromatogram", N_POINTS, F.coalesce("_n", F.lit(0)).cast(kind)).drop("_key", "_n").select(df.columns)
+
+
 def survivors_of(facets: dict[str, DataFrame], rt: tuple[float, float] | None, levels: tuple[int, ...]) -> DataFrame | None:
     """The chosen spectra from the metadata facet, narrow columns only; none without a spectral filter."""
     if rt is None and not levels:

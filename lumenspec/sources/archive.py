@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspec.sources.detect import index_member
+from lumenspec.storage import new_path
 
 #: Footer entries that are made anew.
 OWN_KEYS = (b"ARROW:schema",)
+#: Column for the row numbers of a facet's file, the order that a filtered copy keeps.
+ROW = "_row"
 
 
 def read_index(path: str) -> dict:
@@ -42,8 +45,18 @@ def extract(path: str, folder: str) -> dict[str, str]:
     return out
 
 
-def facet(spark: SparkSession, file: str) -> DataFrame:
-    """A facet with 64-bit signed keys. Byte-stream-split columns, which the vectorized reader refuses, are rewritten once."""
+def shipped(spark: SparkSession, file: str) -> str:
+    """A path of a driver's file that executors see: itself on a local master, else a copy in the shared folder."""
+    if spark.sparkContext.master.startswith("local"):
+        return file
+    target = new_path(spark, "facet")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{os.path.abspath(file)}"), path(target))
+    return target
+
+
+def facet(spark: SparkSession, file: str, row: str | None = None) -> DataFrame:
+    """A facet with 64-bit signed keys, and the file's row numbers as ``row``. Byte-stream-split columns, which the vectorized reader refuses, are rewritten once."""
     meta = pq.ParquetFile(file).metadata
     split = any("BYTE_STREAM_SPLIT" in meta.row_group(g).column(c).encodings for g in range(meta.num_row_groups) for c in range(meta.num_columns))
     if split:
@@ -55,8 +68,9 @@ def facet(spark: SparkSession, file: str) -> DataFrame:
                     w.write_batch(batch)
             os.replace(f"{plain}.tmp", plain)
         file = plain
-    df = spark.read.parquet(file)
-    return df.select(*(signed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema))
+    df = spark.read.parquet(shipped(spark, file))
+    place = [F.col("_metadata.row_index").alias(row)] if row else []
+    return df.select(*(signed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema), *place)
 
 
 def signed(col, kind: T.DataType):
@@ -68,41 +82,56 @@ def signed(col, kind: T.DataType):
     return col
 
 
-def read_archive(spark: SparkSession, path: str, folder: str | None = None) -> dict[str, DataFrame]:
+def read_archive(spark: SparkSession, path: str, folder: str | None = None, row: str | None = None) -> dict[str, DataFrame]:
     files = extract(path, folder or tempfile.mkdtemp(prefix="facets-"))
-    return {name: facet(spark, f) for name, f in files.items()}
+    return {name: facet(spark, f, row) for name, f in files.items()}
 
 
-def write_facet(df: DataFrame, file: str, order: list[str], footer: dict[str, str] | None = None, level: int = 5, rows: int = 1 << 17) -> None:
-    """One Parquet file in a given order, fed partition by partition: delta for whole-number indexes, byte-stream split for tof and intensity, plain if a column refuses."""
-    ordered = df.orderBy(*order)
-    kinds = {f.name: f.dataType for f in df.schema}
-    coded = {c: "DELTA_BINARY_PACKED" for c, k in kinds.items() if isinstance(k, (T.LongType, T.IntegerType)) and (c.endswith("_index") or c == "ordinal")}
-    coded |= {c: "BYTE_STREAM_SPLIT" for c, k in kinds.items() if c in ("tof", "intensity") and isinstance(k, (T.FloatType, T.DoubleType, T.IntegerType))}
+def packed(batches):
+    """Arrow batches as IPC messages, one row each."""
+    for b in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema) as w:
+            w.write_batch(b)
+        yield pa.RecordBatch.from_pydict({"b": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def write_facet(df: DataFrame, file: str, order: list[str], footer: dict[str, str] | None = None, level: int = 5, rows: int = 1 << 17, leave: tuple[str, ...] = ()) -> None:
+    """One Parquet file in a given order, without the columns ``leave``: delta for whole-number indexes, byte-stream split for tof and intensity, plain if a column refuses.
+
+    Tasks hand over Arrow batches; the driver holds one partition of them at a time and writes them on.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(df.schema)
+    ordered = df.orderBy(*order).drop(*leave)
+    kinds = {f.name: f.dataType for f in ordered.schema}
+    coded = {c: "DELTA_BINARY_PACKED" for c, k in kinds.items() if isinstance(k, (T.LongType, T.IntegerType)) and (c.endswith("_index") or c == "ordinal")}
+    coded |= {c: "BYTE_STREAM_SPLIT" for c, k in kinds.items() if c in ("tof", "intensity") and isinstance(k, (T.FloatType, T.DoubleType, T.IntegerType))}
+    schema = to_arrow_schema(ordered.schema)
     meta = {k.encode(): v.encode() for k, v in (footer or {}).items() if k.encode() not in OWN_KEYS}
     schema = schema.with_metadata({**(schema.metadata or {}), **meta})
-    names = df.columns
 
-    def batches():
-        held = []
-        for row in ordered.toLocalIterator():
-            held.append(tuple(row))
-            if len(held) >= rows:
-                yield pa.Table.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*held, strict=True))], schema=schema)
-                held = []
-        yield pa.Table.from_arrays([pa.array([r[i] for r in held], schema.field(i).type) for i in range(len(names))], schema=schema)
+    def tables():
+        held, n = [], 0
+        for (message,) in ordered.mapInArrow(packed, "b binary").toLocalIterator():
+            held.append(pa.ipc.open_stream(message).read_all().cast(schema))
+            n += held[-1].num_rows
+            if n >= rows:
+                yield pa.concat_tables(held)
+                held, n = [], 0
+        if held:
+            yield pa.concat_tables(held)
 
     def write(encoding: dict[str, str]) -> None:
-        with pq.ParquetWriter(file, schema, compression="zstd", compression_level=level, use_dictionary=[n for n in names if n not in encoding], column_encoding=encoding or None) as w:
-            for t in batches():
+        with pq.ParquetWriter(file, schema, compression="zstd", compression_level=level, use_dictionary=[n for n in kinds if n not in encoding], column_encoding=encoding or None) as w:
+            for t in tables():
                 w.write_table(t)
 
     try:
         write(coded)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        if getattr(e, "errno", None):  # the disk, not an encoding
+            raise
         write({})
 
 
@@ -144,12 +173,48 @@ def calibration_block(c0: float, c1: float) -> dict:
     return {"model": "sqrt", "formula": "mz = (c0 + c1 * tof_index)^2", "c0": c0, "c1": c1}
 
 
+def write_archive(spectra: DataFrame, path: str, force: bool = False) -> None:
+    """Spectra (the columns of the mzML source) as an archive of metadata and points, with TIC and BPC of the first level."""
+    from lumenspec.operators import chrom
+    from lumenspec.plans.facets import N_POINTS
+    from lumenspec.sources.mzml import points
+    from lumenspec.storage import saved
+
+    read = saved(spectra, "spectra")  # a run is decoded once for all facets
+    flat = points(read)
+    renamed = {"ms_level": "MS_1000511_ms_level"}
+    meta = read.select(F.struct(*(F.col(c).alias(renamed.get(c, c)) for c in read.columns if c not in ("mz", "intensity"))).alias("spectrum"))
+    data = flat.select(F.struct("spectrum_index", "mz", "intensity").alias("point"), "ordinal")
+    curves = chrom.chromatogram_points(chrom.tic_bpc(read, flat))
+    curve_rows = curves.select(F.struct("chromatogram_index", "time", "intensity").alias("point"), "ordinal")
+    n = curves.groupBy("chromatogram_index").agg(F.count("*").alias("n"))
+    kinds = F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(k).alias("id"), F.lit(t).alias("type")) for i, k, t in ((0, "TIC", "total ion current chromatogram"), (1, "BPC", "basepeak chromatogram")))))
+    named = read.sparkSession.range(1).select(kinds).join(n, F.col("i") == F.col("chromatogram_index"), "left")
+    chroms = named.select(F.struct(F.col("i").alias("index"), "id", "type", F.coalesce("n", F.lit(0)).alias(N_POINTS)).alias("chromatogram"))
+    facets = (
+        ("spectra_metadata.parquet", meta, ["spectrum.index"], "spectrum", "metadata"),
+        ("spectra_data.parquet", data, ["point.spectrum_index", "ordinal"], "spectrum", "data arrays"),
+        ("chromatograms_metadata.parquet", chroms, ["chromatogram.index"], "chromatogram", "metadata"),
+        ("chromatograms_data.parquet", curve_rows, ["point.chromatogram_index", "ordinal"], "chromatogram", "data arrays"),
+    )
+    out = ArchiveWriter(path, force)
+    try:
+        folder = Path(tempfile.mkdtemp(prefix="facets-"))  # the driver's own: only it makes the archive
+        for name, df, order, entity, kind in facets:
+            write_facet(df, str(folder / name), order, leave=("ordinal",))
+            out.add(name, str(folder / name), entity, kind)
+        out.close()
+    except BaseException:
+        out.abort()
+        raise
+
+
 def filter_archive(spark: SparkSession, source: str, target: str, rt: tuple[float, float] | None = None, levels: tuple[int, ...] = (), drop: tuple[str, ...] = (), force: bool = False, folder: str | None = None) -> dict:
-    """A filtered copy: every facet is classified by its schema and cut to the surviving spectra; indexes are kept as they are."""
-    from lumenspec.plans.facets import apply_filter, survivors_of
+    """A filtered copy: every facet is classified by its schema and cut to the surviving spectra. Indexes and the order of rows stay as they are, counts in footers and chromatograms are made anew."""
+    from lumenspec.plans.facets import COUNTS, apply_filter, counts_of, recounted, survivors_of
 
     files = extract(source, folder or tempfile.mkdtemp(prefix="facets-"))
-    facets = {n: facet(spark, f) for n, f in files.items() if not any(fnmatch.fnmatchcase(n, g) for g in drop)}
+    facets = {n: facet(spark, f, ROW) for n, f in files.items() if not any(fnmatch.fnmatchcase(n, g) for g in drop)}
     chosen = survivors_of(facets, rt, levels)
     with zipfile.ZipFile(source) as z:
         out = ArchiveWriter(target, force, source, index_member(z) or "run_index.json")
@@ -166,12 +231,15 @@ def filter_archive(spark: SparkSession, source: str, target: str, rt: tuple[floa
                     continue
                 entry = {k: v for k, v in known.get(name, {"entity_type": "other", "data_kind": "other"}).items() if k in ("entity_type", "data_kind")}
                 if name in facets:
-                    kind, rows, order = apply_filter(facets[name], chosen, rt)
+                    kind, rows, _ = apply_filter(facets[name], chosen, rt)
+                    if kind == "global" and rt is not None:
+                        kind, rows = recounted(facets[name], facets, rt)
                     if kind == "global":
                         out.add(name, files[name], **entry)
                     else:
                         footer = {k.decode(): v.decode("utf-8", "replace") for k, v in (pq.ParquetFile(files[name]).metadata.metadata or {}).items()}
-                        write_facet(rows, f"{files[name]}.new", order, footer)
+                        footer = {k: v for k, v in footer.items() if k not in COUNTS} | counts_of(kind, rows)
+                        write_facet(rows, f"{files[name]}.new", [ROW], footer, leave=(ROW,))
                         out.add(name, f"{files[name]}.new", **entry)
                 else:
                     out.add_bytes(name, z.read(name), **entry)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenspec.functions import binary
 from lumenspec.plans import facets
-from lumenspec.sources import archive, detect, mzml, sinks, xmltext
+from lumenspec.sources import archive, decode, detect, mzml, sinks, xmltext
 
 
 def test_run_lengths():
@@ -195,3 +195,38 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "y.raw"), "--inspect"]) == 3
     assert cli.main([path, "-o", str(tmp_path / "b.zip")]) == 0
     assert archive.read_archive(spark, str(tmp_path / "b.zip"))["spectra_data.parquet"].count() == 2
+    assert cli.main([str(tmp_path / "b.zip"), "-o", str(tmp_path / "c.mzML")]) == 0
+    assert [tuple(r) for r in mzml.read_mzml(spark, str(tmp_path / "c.mzML")).orderBy("index").collect()] == SPECTRA
+    assert cli.main([str(tmp_path / "b.zip"), "--ms-level", "2", "-o", str(tmp_path / "d.zip")]) == 0
+    assert [r["id"] for r in decode.read_spectra(spark, str(tmp_path / "d.zip")).collect()] == ["scan=2"]
+
+
+def test_filtered_archive_keeps_order_and_counts(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    runs = [(i, f"s{i}", i * 1.0, 1, "Positive", "Centroid", None, None, None, None, [5.0, 3.0, 4.0, 3.0][: i % 5], [1.0, 2.0, 3.0, 4.0][: i % 5]) for i in range(300)]
+    a, b = str(tmp_path / "a.zip"), str(tmp_path / "b.zip")
+    archive.write_archive(spark.createDataFrame(runs, mzml.SCHEMA).repartition(7), a)
+    assert [tuple(r) for r in decode.read_spectra(spark, a).orderBy("index").collect()] == runs
+    archive.filter_archive(spark, a, b, rt=(10, 109))
+    assert [tuple(r) for r in decode.read_spectra(spark, b).orderBy("index").collect()] == runs[10:110]
+    files = archive.extract(b, str(tmp_path / "x"))
+    footer = lambda n: {k.decode(): v.decode() for k, v in pq.ParquetFile(files[n]).metadata.metadata.items()}
+    data = footer("spectra_data.parquet")
+    assert (data["spectrum_count"], data["spectrum_data_point_count"]) == ("80", "200")
+    assert footer("spectra_metadata.parquet")["spectrum_count"] == "100"
+    assert footer("chromatograms_data.parquet")["chromatogram_data_point_count"] == "200"
+    named = archive.facet(spark, files["chromatograms_metadata.parquet"]).select("chromatogram.*").orderBy("index").collect()
+    assert [tuple(r) for r in named] == [(0, "TIC", "total ion current chromatogram", 100), (1, "BPC", "basepeak chromatogram", 100)]
+
+
+def test_decoded_layouts(spark):
+    meta = spark.createDataFrame([(((0, "a", 0.5, 1.0)),), ((1, "b", None, None),)], "spectrum struct<index long, id string, tof_c0 double, tof_c1 double>").withColumn("_row", F.col("spectrum.index"))
+    grid = spark.createDataFrame([((0, 2, 7.0), 0), ((1, 3, 8.0), 1)], "point struct<spectrum_index long, tof_index int, intensity double>, _row long")
+    chunk = spark.createDataFrame([((0, "delta", [10.0, 1.0, 2.0], [1.0, 2.0, 3.0]), 0), ((0, "plain", [50.0], [4.0]), 1)], "chunk struct<spectrum_index long, chunk_encoding string, mz_chunk_values array<double>, intensity array<double>>, _row long")
+    got = decode.spectra({"m": meta, "a": grid, "b": chunk}, (0.0, 2.0)).orderBy("index").collect()
+    assert [(r["id"], r["mz"], r["intensity"]) for r in got] == [("a", [6.25, 10.0, 11.0, 13.0, 50.0], [7.0, 1.0, 2.0, 3.0, 4.0]), ("b", [36.0], [8.0])]
+    with pytest.raises(Exception, match="coefficients"):
+        decode.spectra({"m": meta, "a": grid}).collect()
+    steps = spark.createDataFrame([((1, 5, 1.0), 0), ((1, 2, 1.0), 1)], "point struct<spectrum_index long, delta int, intensity double>, _row long")
+    assert decode.spectra({"m": meta, "a": steps}, (0.0, 1.0)).where("index = 1").first()["mz"] == [25.0, 49.0]
