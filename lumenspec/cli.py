@@ -17,11 +17,26 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rt", type=parse_range, help="minutes, lo-hi, either side open")
     p.add_argument("--ms-level", type=int, action="append", default=[])
     p.add_argument("--drop", action="append", default=[], help="glob of members to drop")
+    p.add_argument("--no-vendor", action="store_true", help="drop the vendor's side files of an archive")
+    p.add_argument("--sdrf", help="a table of samples and data files to put into a new archive")
     p.add_argument("--max-spectra", type=int)
     p.add_argument("--force", action="store_true")
     return p
 
 
+def _samples(spark, file: str | None):
+    """What puts a table of samples into an archive, or nothing."""
+    if not file:
+        return None
+    from pyspark.sql import functions as F
+
+    from lumenspec.functions.text import accession_hint
+    from lumenspec.sources.sinks import embed_sdrf
+
+    accession = spark.range(1).select(accession_hint(F.lit(file))).first()[0]
+    return lambda out: embed_sdrf(out, file, accession)
+
+
 def main(argv: list[str] | None = None) -> int:
     """0: done; 1: failed; 3: a format that needs a vendor's library."""
     args = parser().parse_args(argv)
@@ -36,9 +51,13 @@ def main(argv: list[str] | None = None) -> int:
     from lumenspec.session import session
     from lumenspec.sources import archive, mzml, sinks
 
-    if kind != "archive" and (args.rt or args.ms_level or args.drop):
+    if kind != "archive" and (args.rt or args.ms_level or args.drop or args.no_vendor):
         print("these filters are for archives", file=sys.stderr)
         return 1
+    if args.sdrf and (kind == "archive" or not args.output or args.output.lower().endswith(".mzml")):
+        print("a table of samples goes into a new archive", file=sys.stderr)
+        return 1
+    drop = (*args.drop, "vendor*") if args.no_vendor else tuple(args.drop)
     spark = session()
     read = mzml.read_imzml if kind == "imzml" else mzml.read_mzml
     if args.inspect:
@@ -53,21 +72,22 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     written = args.output.lower().endswith(".mzml")
     if kind == "archive" and not written:
-        archive.filter_archive(spark, args.input, args.output, args.rt, tuple(args.ms_level), tuple(args.drop), args.force)
+        archive.filter_archive(spark, args.input, args.output, args.rt, tuple(args.ms_level), drop, args.force)
         return 0
+    traces = None
     if kind == "archive":
         from lumenspec.operators.selection import survivors
         from lumenspec.sources import decode
 
-        spectra = survivors(decode.read_spectra(spark, args.input, tuple(args.drop)), args.rt, args.ms_level)
+        spectra = survivors(decode.read_spectra(spark, args.input, drop), args.rt, args.ms_level)
     else:
-        spectra = read(spark, args.input)
+        spectra, traces = read(spark, args.input), mzml.read_chromatograms(spark, args.input)
     if args.max_spectra:
         spectra = spectra.orderBy("index").limit(args.max_spectra)
     if written:
-        sinks.write_mzml(spectra, args.output)
+        sinks.write_mzml(spectra, args.output, traces)
     else:
-        archive.write_archive(spectra, args.output, args.force)
+        archive.write_archive(spectra, args.output, args.force, traces, _samples(spark, args.sdrf))
     return 0
 
 

@@ -173,11 +173,16 @@ def calibration_block(c0: float, c1: float) -> dict:
     return {"model": "sqrt", "formula": "mz = (c0 + c1 * tof_index)^2", "c0": c0, "c1": c1}
 
 
-def write_archive(spectra: DataFrame, path: str, force: bool = False) -> None:
-    """Spectra (the columns of the mzML source) as an archive of metadata and points, with TIC and BPC of the first level."""
+def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatograms: DataFrame | None = None, extra=None) -> None:
+    """Spectra (the columns of the mzML source) as an archive of metadata and points, with TIC and BPC of the first level.
+
+    Chromatograms (the columns of the mzML source) of other types follow them.
+    ``extra`` gets the writer before it is closed, to add side files.
+    """
     from lumenspec.operators import chrom
+    from lumenspec.operators.encode import reindexed
     from lumenspec.plans.facets import N_POINTS
-    from lumenspec.sources.mzml import points
+    from lumenspec.sources.mzml import BPC, TIC, TRACES, points
     from lumenspec.storage import saved
 
     read = saved(spectra, "spectra")  # a run is decoded once for all facets
@@ -186,11 +191,17 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False) -> None:
     meta = read.select(F.struct(*(F.col(c).alias(renamed.get(c, c)) for c in read.columns if c not in ("mz", "intensity"))).alias("spectrum"))
     data = flat.select(F.struct("spectrum_index", "mz", "intensity").alias("point"), "ordinal")
     curves = chrom.chromatogram_points(chrom.tic_bpc(read, flat))
-    curve_rows = curves.select(F.struct("chromatogram_index", "time", "intensity").alias("point"), "ordinal")
     n = curves.groupBy("chromatogram_index").agg(F.count("*").alias("n"))
-    kinds = F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(k).alias("id"), F.lit(t).alias("type")) for i, k, t in ((0, "TIC", "total ion current chromatogram"), (1, "BPC", "basepeak chromatogram")))))
-    named = read.sparkSession.range(1).select(kinds).join(n, F.col("i") == F.col("chromatogram_index"), "left")
-    chroms = named.select(F.struct(F.col("i").alias("index"), "id", "type", F.coalesce("n", F.lit(0)).alias(N_POINTS)).alias("chromatogram"))
+    made = F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("index"), F.lit(k).alias("id"), F.lit(TRACES[t]).alias("type")) for i, k, t in ((0, "TIC", TIC), (1, "BPC", BPC)))))
+    named = read.sparkSession.range(1).select(made).join(n, F.col("index") == F.col("chromatogram_index"), "left").select("index", "id", "type", F.coalesce("n", F.lit(0)).alias(N_POINTS))
+    if chromatograms is not None:
+        kept = saved(chromatograms.where(F.col("type").isNull() | ~F.col("type").isin(TRACES[TIC], TRACES[BPC])), "chromatograms")
+        numbers = reindexed(kept.select(F.col("index").alias("_source"), "id", "type", F.size("time").cast("long").alias(N_POINTS)), ["_source"]).withColumn("index", F.col("index") + 2)
+        named = named.unionByName(numbers.drop("_source"))
+        each = kept.select(F.col("index").alias("_source"), F.posexplode(F.arrays_zip("time", "intensity")).alias("ordinal", "x")).join(numbers.select("_source", "index"), "_source")
+        curves = curves.unionByName(each.select(F.col("index").alias("chromatogram_index"), "x.time", F.col("x.intensity").cast("float").alias("intensity"), F.col("ordinal").cast("long").alias("ordinal")))
+    curve_rows = curves.select(F.struct("chromatogram_index", "time", "intensity").alias("point"), "ordinal")
+    chroms = named.select(F.struct("index", "id", "type", N_POINTS).alias("chromatogram"))
     facets = (
         ("spectra_metadata.parquet", meta, ["spectrum.index"], "spectrum", "metadata"),
         ("spectra_data.parquet", data, ["point.spectrum_index", "ordinal"], "spectrum", "data arrays"),
@@ -203,6 +214,8 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False) -> None:
         for name, df, order, entity, kind in facets:
             write_facet(df, str(folder / name), order, leave=("ordinal",))
             out.add(name, str(folder / name), entity, kind)
+        if extra:
+            extra(out)
         out.close()
     except BaseException:
         out.abort()
