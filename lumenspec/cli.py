@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from lumenspec.operators.selection import parse_range
@@ -19,11 +20,49 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--drop", action="append", default=[], help="glob of members to drop")
     p.add_argument("--no-vendor", action="store_true", help="drop the vendor's side files of an archive")
     p.add_argument("--sdrf", help="a table of samples and data files to put into a new archive")
+    p.add_argument("--layout", choices=("point", "chunk"), help="of the signal in a new archive")
+    p.add_argument("--chunk-size", type=float, help="m/z range of a chunk")
+    p.add_argument("--grid", action="store_true", help="store spectra on a shared lattice by their indexes")
+    p.add_argument("--no-chromatograms", action="store_true", help="leave the chromatograms of the input out")
+    p.add_argument("--config", help="a YAML file of the options below; the command line goes first")
     p.add_argument("--max-spectra", type=int)
     p.add_argument("--force", action="store_true")
     return p
 
 
+#: Options that a file may give, with their types; switches can be turned on by either side.
+SETTINGS = {"output": str, "force": bool, "no_vendor": bool, "no_chromatograms": bool, "sdrf": str, "layout": str, "chunk_size": float, "grid": bool}
+
+
+def with_config(args: argparse.Namespace) -> argparse.Namespace:
+    """The arguments, with a file's settings where they are not given; an unknown key or a wrong type is an error."""
+    if not args.config:
+        return args
+    with open(args.config, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+
+        held = yaml.safe_load(text)
+    except ImportError:  # JSON is YAML too
+        held = json.loads(text or "{}")
+    if not isinstance(held or {}, dict):
+        raise ValueError(f"no settings: {args.config}")
+    for key, value in (held or {}).items():
+        if key not in SETTINGS:
+            raise ValueError(f"unknown setting: {key}")
+        if value is None:
+            continue
+        number = SETTINGS[key] is float and isinstance(value, int) and not isinstance(value, bool)
+        if not (isinstance(value, SETTINGS[key]) or number):
+            raise ValueError(f"setting {key} is no {SETTINGS[key].__name__}")
+        if key == "layout" and value not in ("point", "chunk"):
+            raise ValueError(f"no layout: {value}")
+        given = getattr(args, key)
+        setattr(args, key, given or value if SETTINGS[key] is bool else value if given is None else given)
+    return args
+
+
 def _samples(spark, file: str | None):
     """What puts a table of samples into an archive, or nothing."""
     if not file:
@@ -41,11 +80,14 @@ def main(argv: list[str] | None = None) -> int:
     """0: done; 1: failed; 3: a format that needs a vendor's library."""
     args = parser().parse_args(argv)
     try:
+        args = with_config(args)
+        if args.chunk_size is not None and not args.chunk_size > 0:
+            raise ValueError("a chunk's range is positive")
         kind = guard(args.input)
     except UnsupportedFormat as e:
         print(e, file=sys.stderr)
         return 3
-    except ValueError as e:
+    except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 1
     from lumenspec.session import session
@@ -81,13 +123,13 @@ def main(argv: list[str] | None = None) -> int:
 
         spectra = survivors(decode.read_spectra(spark, args.input, drop), args.rt, args.ms_level)
     else:
-        spectra, traces = read(spark, args.input), mzml.read_chromatograms(spark, args.input)
+        spectra, traces = read(spark, args.input), None if args.no_chromatograms else mzml.read_chromatograms(spark, args.input)
     if args.max_spectra:
         spectra = spectra.orderBy("index").limit(args.max_spectra)
     if written:
         sinks.write_mzml(spectra, args.output, traces)
     else:
-        archive.write_archive(spectra, args.output, args.force, traces, _samples(spark, args.sdrf))
+        archive.write_archive(spectra, args.output, args.force, traces, _samples(spark, args.sdrf), args.layout or "point", args.chunk_size or 50.0, args.grid)
     return 0
 
 

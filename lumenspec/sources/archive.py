@@ -173,14 +173,19 @@ def calibration_block(c0: float, c1: float) -> dict:
     return {"model": "sqrt", "formula": "mz = (c0 + c1 * tof_index)^2", "c0": c0, "c1": c1}
 
 
-def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatograms: DataFrame | None = None, extra=None) -> None:
-    """Spectra (the columns of the mzML source) as an archive of metadata and points, with TIC and BPC of the first level.
+def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatograms: DataFrame | None = None, extra=None, layout: str = "point", width: float = 50.0, lattice: bool = False) -> None:
+    """Spectra (the columns of the mzML source) as an archive of metadata and signal, with TIC and BPC of the first level.
+
+    The layout ``chunk`` stores lists for each spectrum and m/z range of ``width``, in m/z order. With ``lattice``, spectra
+    all of whose points lie on a lattice that the run shares go to a facet of lattice indexes, whose m/z come back within
+    its tolerance; where there is no such lattice nothing changes.
 
     Chromatograms (the columns of the mzML source) of other types follow them.
     ``extra`` gets the writer before it is closed, to add side files.
     """
     from lumenspec.operators import chrom
-    from lumenspec.operators.encode import reindexed
+    from lumenspec.operators import grid
+    from lumenspec.operators.encode import chunked, reindexed
     from lumenspec.plans.facets import N_POINTS
     from lumenspec.sources.mzml import BPC, TIC, TRACES, points
     from lumenspec.storage import saved
@@ -189,7 +194,17 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatogr
     flat = points(read)
     renamed = {"ms_level": "MS_1000511_ms_level"}
     meta = read.select(F.struct(*(F.col(c).alias(renamed.get(c, c)) for c in read.columns if c not in ("mz", "intensity"))).alias("spectrum"))
-    data = flat.select(F.struct("spectrum_index", "mz", "intensity").alias("point"), "ordinal")
+    found = grid.fit(grid.sampled(read.select("index"), flat)) if lattice else None
+    exact, gridded = flat, None
+    if found:
+        dealt = saved(grid.routed(flat, found.c0, found.c1), "routed")
+        exact = dealt.where("not on_grid").select(flat.columns)
+        gridded = dealt.where("on_grid").select(F.struct("spectrum_index", F.col("tof_index").cast("int").alias("tof_index"), "intensity").alias("point"), "ordinal")
+    if layout == "chunk":
+        lists = chunked(exact, width)
+        data = lists.select(F.struct("spectrum_index", "chunk_start", "chunk_end", F.lit("plain").alias("chunk_encoding"), F.col("mz_values").alias("mz_chunk_values"), "intensity").alias("chunk"), F.col("chunk_no").alias("ordinal"))
+    else:
+        data = exact.select(F.struct("spectrum_index", "mz", "intensity").alias("point"), "ordinal")
     curves = chrom.chromatogram_points(chrom.tic_bpc(read, flat))
     n = curves.groupBy("chromatogram_index").agg(F.count("*").alias("n"))
     made = F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("index"), F.lit(k).alias("id"), F.lit(TRACES[t]).alias("type")) for i, k, t in ((0, "TIC", TIC), (1, "BPC", BPC)))))
@@ -204,11 +219,14 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatogr
     chroms = named.select(F.struct("index", "id", "type", N_POINTS).alias("chromatogram"))
     facets = (
         ("spectra_metadata.parquet", meta, ["spectrum.index"], "spectrum", "metadata"),
-        ("spectra_data.parquet", data, ["point.spectrum_index", "ordinal"], "spectrum", "data arrays"),
+        ("spectra_data.parquet", data, [f"{layout}.spectrum_index", "ordinal"], "spectrum", "data arrays"),
+        *((("spectra_grid.parquet", gridded, ["point.spectrum_index", "ordinal"], "spectrum", "data arrays"),) if found else ()),
         ("chromatograms_metadata.parquet", chroms, ["chromatogram.index"], "chromatogram", "metadata"),
         ("chromatograms_data.parquet", curve_rows, ["point.chromatogram_index", "ordinal"], "chromatogram", "data arrays"),
     )
     out = ArchiveWriter(path, force)
+    if found:
+        out.index["metadata"]["calibration"] = calibration_block(found.c0, found.c1)
     try:
         folder = Path(tempfile.mkdtemp(prefix="facets-"))  # the driver's own: only it makes the archive
         for name, df, order, entity, kind in facets:

@@ -139,3 +139,46 @@ def test_no_vendor(spark, tmp_path):
     assert cli.main([a, "-o", b, "--no-vendor"]) == 0
     with zipfile.ZipFile(b) as z:
         assert "vendor/x.method" not in z.namelist() and json.loads(z.read("run_index.json"))["metadata"]["filter"]["dropped"] == ["vendor/x.method"]
+
+
+def lattice_run(spark):
+    """40 spectra on a lattice, whose gaps are of one and three steps, and one with a point off it."""
+    c0, c1 = 17.32, 1.6e-4
+    at = [[k for k in range(10_000 + 7 * i, 11_200 + 7 * i) if k % 7 < 5] for i in range(40)]
+    runs = [(i, f"s{i}", float(i), 1, "Positive", "Centroid", None, None, None, None, [(c0 + c1 * k) ** 2 for k in ks], [float(j % 9) for j in range(len(ks))]) for i, ks in enumerate(at)]
+    off = [*runs[3][10][:-1], runs[3][10][-1] + 3e-3]
+    runs.append((40, "off", 40.0, *runs[3][3:10], off, runs[3][11]))
+    return runs, spark.createDataFrame(runs, mzml.SCHEMA)
+
+
+@pytest.mark.parametrize("layout", ["point", "chunk"])
+def test_layouts_with_lattice(spark, tmp_path, layout):
+    from lumenspec.functions.scalar import PPM_TOLERANCE
+    from lumenspec.sources import decode
+
+    runs, df = lattice_run(spark)
+    a = str(tmp_path / "a.zip")
+    archive.write_archive(df, a, layout=layout, width=1.0, lattice=True)
+    facets = archive.read_archive(spark, a)
+    column = facets["spectra_data.parquet"].select(f"{layout}.spectrum_index").distinct()
+    assert {r[0] for r in column.collect()} == {40} and facets["spectra_grid.parquet"].select("point.spectrum_index").distinct().count() == 40
+    got = rows(decode.read_spectra(spark, a), "index")
+    assert [r[:10] for r in got] == [r[:10] for r in runs] and got[40] == runs[40] and [r[11] for r in got] == [r[11] for r in runs]
+    assert all(abs(x - y) <= y * PPM_TOLERANCE * 1e-6 for r, s in zip(got, runs, strict=True) for x, y in zip(r[10], s[10], strict=True))
+
+
+def test_settings(spark, tmp_path, capsys):
+    from lumenspec.sources import decode
+
+    source, a, config = (str(tmp_path / n) for n in ("a.mzML", "a.zip", "c.yaml"))
+    (tmp_path / "a.mzML").write_text(RUN, encoding="utf-8")
+    for text, fault in (('{"layuot": "chunk"}', "unknown setting: layuot"), ('{"layout": "lines"}', "no layout"), ('{"force": "yes"}', "is no bool"), ("[1]", "no settings")):
+        (tmp_path / "c.yaml").write_text(text)
+        assert cli.main([source, "-o", a, "--config", config]) == 1 and fault in capsys.readouterr().err
+    (tmp_path / "c.yaml").write_text(json.dumps({"output": str(tmp_path / "never.zip"), "layout": "chunk", "chunk_size": 200, "no_chromatograms": True}))
+    assert cli.main([source, "-o", a, "--config", config, "--chunk-size", "150"]) == 0
+    chunks = archive.read_archive(spark, a)["spectra_data.parquet"].select("chunk.*").collect()
+    assert sorted((r["chunk_start"], r["mz_chunk_values"]) for r in chunks) == [(100.0, [100.0]), (200.0, [200.0])]
+    assert archive.read_archive(spark, a)["chromatograms_metadata.parquet"].count() == 2
+    assert rows(decode.read_spectra(spark, a), "index") == rows(mzml.read_mzml(spark, source), "index")
+    assert not (tmp_path / "never.zip").exists()
