@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspec.llm import chat, decontaminate, embeddings, langid, linededup, packing, pii, secrets, simhash, toxicity
+from lumenspec.llm import chat, collocations, decontaminate, embeddings, infilling, langid, linededup, packing, pii, secrets, sharding, simhash, toxicity
 from lumenspec.llm.common import table
 
 
@@ -95,6 +95,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", *counts, f"sha2({_spans('base')}, 256) base_sha256", f"{_spans('spans')} spans")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utf8 = "cast(coalesce(text, '') as binary)"
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"cast(octet_length({utf8}) + 16 as long) size", f"crc32({utf8}) text_crc32")
+    out = sharding.assign(docs, key="doc_id", shards=40)
+    return out.selectExpr("doc_id", "size", "text_crc32", "'rows' law", "shard", "slot", "cast(null as int) grown_shard")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), min_count=10, share=50, top=2000)
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infilling.digests(infilling.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50))
+    return out.selectExpr("id doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = """
@@ -126,5 +142,32 @@ m AS (SELECT k.*, coalesce(keeper <> doc_id, false) AS gone FROM k LEFT JOIN hot
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_embeddings": op3_embeddings, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op7_pii": op7_pii, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
-SQL: dict[str, str] = {"op3_embeddings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op8_linededup": OP8_SQL}
+OP12_SQL = f"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM s, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.*, x.f AS l, y.f AS r, CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1 : c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+around AS (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2)) v(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN around USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1) USING (lang) QUALIFY rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j FROM x),
+p AS (SELECT *, coalesce(array_to_string(u[1 : i], ''), '') AS p, coalesce(array_to_string(u[i + 1 : j], ''), '') AS m, coalesce(array_to_string(u[j + 1 : n], ''), '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_embeddings": op3_embeddings, "op4_chat": op4_chat, "op5_decontaminate": op5_decontaminate, "op6_langid": op6_langid, "op7_pii": op7_pii, "op8_linededup": op8_linededup, "op9_packing": op9_packing, "op10_secrets": op10_secrets, "op11_sharding": op11_sharding, "op12_collocations": op12_collocations, "op13_infilling": op13_infilling}
+SQL: dict[str, str] = {"op3_embeddings": OP3_SQL, "op4_chat": OP4_SQL, "op5_decontaminate": OP5_SQL, "op8_linededup": OP8_SQL, "op12_collocations": OP12_SQL, "op13_infilling": OP13_SQL}
