@@ -11,7 +11,7 @@ inner nodes are read from the totals of the leaves below.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,10 @@ from lumenspec.llm.common import few, saved, shared_dir, ship
 DEPTH = 3
 #: Suffixes that a group's prefixes begin, at most: some 200 MB in a task.
 BUDGET = 2_000_000
-#: Word positions and distinct words that a task holds before it hands on their counts.
-HELD, VOCABULARY = 2_000_000, 1_000_000
+#: Bytes of plain words that a task holds before it hands on their counts: about a million words.
+HELD = 6 << 20
+#: Rows of a batch that a task hands on.
+ROWS = 200_000
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 20
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -47,88 +49,77 @@ def chunks(text: bytes):
 
 
 class Stream:
-    """Words of one language as numbers, 0 for the end of a piece, and their counts once enough are held."""
+    """Words of one language, and the counts of suffixes cut at ``depth`` words once enough are held."""
 
-    def __init__(self):
-        self.ids, self.held, self.number = [], 0, {b".": 0}
+    def __init__(self, depth: int):
+        self.parts, self.held, self.depth = [], 0, depth
 
     def add(self, text: bytes) -> None:
         for part in chunks(text):
-            tokens, number = part.replace(b".", b" . ").split(), self.number
-            for t in set(tokens) - number.keys():
-                number[t] = len(number)
-            self.ids.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
-            self.held += len(tokens)
-            if self.full():
+            self.parts.append(part.replace(b".", b" . "))
+            self.held += len(self.parts[-1])
+            if self.held >= HELD:
                 yield self.flush(last=False)
-        self.ids.append(np.zeros(1, np.int64))
+        self.parts.append(b".")
+        self.held += 1
 
-    def full(self) -> bool:
-        return self.held >= HELD or len(self.number) >= VOCABULARY
+    def flush(self, last: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words, numbers of distinct suffixes, their counts); word 0 is none, as after the end of a piece.
 
-    def flush(self, last: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(words, k x 3 numbers of distinct suffixes cut at three words, their counts).
-
-        Suffixes of the last two words wait for what follows, but for the ``last`` time.
+        Suffixes of the last words wait for what follows, but for the ``last`` time.
         """
-        ids = np.concatenate([*self.ids, np.zeros(DEPTH - 1 if last else 0, np.int64)])
-        words = list(self.number)
-        a, b, c = ids[:-2], ids[1:-1], ids[2:]
-        b = np.where(a == 0, 0, b)
-        c = np.where(b == 0, 0, c)
-        size = len(words)
-        code, n = np.unique(((a * size + b) * size + c)[a > 0], return_counts=True)
-        rest = [words[i] for i in ids[-2:]]
-        self.number = {b".": 0}
-        for w in rest:
-            self.number.setdefault(w, len(self.number))
-        self.ids, self.held = [np.array([self.number[w] for w in rest], np.int64)], 0
-        return words, np.stack([code // (size * size), code // size % size, code % size], axis=1), n
-
-
-def suffixes(batches):
+        more = self.depth - 1
+        plain = b" ".join(self.parts)
+        coded = pc.ascii_split_whitespace(pa.array([plain], pa.string())).flatten().dictionary_encode()
+        words = pa.concat_arrays([pa.array([""]), coded.dictionary])
+        ids, size = coded.indices.to_numpy() + np.int64(1), len(words)
+        for mark in (".", ""):
+            at = pc.index(coded.dictionary, mark).as_py() + 1
+            ids = ids if not at else np.where(ids == at, 0, ids) if mark else ids[ids != at]
+        ids = np.concatenate([ids, np.zeros(more if last else 0, np.int64)])
+        code, here = ids[: len(ids) - more], ids[: len(ids) - more]
+        for k in range(1, self.depth):
+            here = np.where(here == 0, 0, ids[k : len(ids) - more + k])
+            code = code * size + here
+        found, n = np.unique(code[ids[: len(code)] > 0], return_counts=True)
+        rest = words.take(pa.array(ids[len(ids) - more :])).to_pylist()
+        self.parts, self.held = [(w or ".").encode() for w in rest], 0
+        return words, np.stack([found // size ** (more - k) % size for k in range(self.depth)], axis=1), n
+
+
+def suffixes(batches, depth: int = DEPTH):
     """(lang, words, suffixes, counts) of the batches' texts, many texts at a time."""
     streams: dict[str, Stream] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             lang = "und" if lang is None else lang
-            stream = streams.setdefault(lang, Stream())
+            stream = streams.get(lang) or streams.setdefault(lang, Stream(depth))
             for done in stream.add(text.as_buffer().to_pybytes() if text.is_valid else b""):
                 yield (lang, *done)
-            if stream.full():
-                yield (lang, *stream.flush(last=False))
-        while sum(s.held + len(s.number) for s in streams.values()) > 2 * HELD:  # many languages with few words each
-            lang = max(streams, key=lambda x: streams[x].held + len(streams[x].number))
+        while sum(s.held for s in streams.values()) > 2 * HELD:  # many languages with few words each
+            lang = max(streams, key=lambda x: streams[x].held)
             yield (lang, *streams.pop(lang).flush(last=True))
     for lang, stream in streams.items():
         yield (lang, *stream.flush(last=True))
 
 
-def _batch(lang: str, words: list[bytes], cols: list[np.ndarray], n: np.ndarray, **more) -> pa.RecordBatch:
-    named = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
-    out = {"lang": pa.repeat(pa.scalar(lang), len(n)), **{w: named.take(pa.array(c)) for w, c in zip(WORDS, cols, strict=False)}, "n": pa.array(n, pa.int64()), **more}
-    return pa.RecordBatch.from_pydict(out)
-
-
 def prefixes(texts: DataFrame, depth: int, hot: set[tuple] | None = None) -> DataFrame:
     """(lang, w1..., n): how many suffixes begin with each prefix of ``depth`` words (shorter at the end of a piece, the missing words empty), given that its first words are ``hot``."""
 
+    keys = ["lang", *WORDS[:depth]]
+
     def run(batches):
-        for lang, words, found, n in suffixes(batches):
+        for lang, words, found, n in suffixes(batches, depth):
             if hot is not None:
-                mine = {tuple(x.encode() for x in h[1:]) for h in hot if h[0] == lang}
-                known = {w: i for i, w in enumerate(words)}
-                codes = [[known[w] for w in h] for h in mine if all(w in known for w in h)]
-                size = len(words)
-                code = [sum(i * size**k for k, i in enumerate(c)) for c in codes]
+                size, mine = len(words), [h[1:] for h in hot if h[0] == lang]
+                known = [pc.index_in(pa.array([h[k] for h in mine], pa.string()), words).to_pylist() for k in range(depth - 1)]
+                code = [sum(i * size**k for k, i in enumerate(h)) for h in zip(*known, strict=True) if None not in h]
                 keep = np.isin(sum(found[:, k] * size**k for k in range(depth - 1)), code)
                 found, n = found[keep], n[keep]
-            size = len(words)
-            code, at = np.unique(sum(found[:, k] * size**k for k in range(depth)), return_inverse=True)
-            total = np.bincount(at, n, len(code)).astype(np.int64)
-            yield _batch(lang, words, [code // size**k % size for k in range(depth)], total)
+            for at in range(0, len(n), ROWS):
+                part = n[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), *(words.take(pa.array(c)) for c in found[at : at + ROWS].T), pa.array(part)], [*keys, "n"])
 
-    keys = ["lang", *WORDS[:depth]]
     counted = texts.mapInArrow(run, "lang string, " + ", ".join(f"{w} string" for w in WORDS[:depth]) + ", n long")
     return saved(counted.groupBy(*keys).agg(F.sum("n").alias("n")), f"prefixes{depth}")
 
@@ -156,23 +147,19 @@ def group_starts(prefixes: DataFrame, budget: int) -> list[tuple]:
     return sorted(tuple(r) for r in laid.mapInArrow(_starts(budget), "lang string, " + ", ".join(f"{w} string" for w in WORDS)).collect())
 
 
-def groups_of(lang: str, words: list[bytes], found: np.ndarray, starts: list[tuple]) -> np.ndarray:
-    """The group of each suffix: looked up once for a word, again for two or three words only where groups part below it."""
-    named = [b"", *words[1:]]
-    out = np.empty(len(found), np.int64)
-    todo = np.arange(len(found))
-    for depth in range(1, DEPTH + 1):
-        if not len(todo):
-            break
-        size = len(words)
-        code, first, at = np.unique(sum(found[todo, k] * size**k for k in range(depth)), return_index=True, return_inverse=True)
-        low, high = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
-        for i, row in enumerate(found[todo[first]]):
-            key = (lang, *(named[x].decode() for x in row[:depth]))
-            low[i] = bisect_right(starts, (*key, *[""] * (DEPTH - depth))) - 1
-            high[i] = low[i] if depth == DEPTH else bisect_right(starts, (*key[:-1], key[-1] + "\x00")) - 1
-        out[todo] = low[at]
-        todo = todo[(low != high)[at]]
+def groups_of(lang: str, words: pa.Array, found: np.ndarray, starts: list[tuple]) -> np.ndarray:
+    """The group of each suffix: looked up once for a word, and for the whole suffix only where a group starts inside the word's."""
+    first, last = bisect_left(starts, (lang,)), bisect_left(starts, (lang + "\x00",))
+    heads = [s[1].encode() for s in starts[first:last]]
+    group, split = np.full(len(words), -1, np.int64), np.zeros(len(words), bool)
+    used = np.unique(found[:, 0])
+    for i, w in zip(used.tolist(), words.take(pa.array(used)).cast(pa.binary()).to_pylist(), strict=True):
+        low, high = bisect_left(heads, w), bisect_right(heads, w)
+        group[i] = first + high - 1
+        split[i] = high - low > 1 or (high > low and starts[first + low][2] != "")
+    out = group[found[:, 0]]
+    for i in np.flatnonzero(split[found[:, 0]]).tolist():
+        out[i] = bisect_right(starts, (lang, *(words[x].as_py() for x in found[i]))) - 1
     return out
 
 
@@ -190,7 +177,10 @@ def _subtree(min_count: int, hot1: dict, hot2: dict):
 
     def run(t: pa.Table) -> pa.Table:
         leaf, inner = ["lang", *WORDS], ["lang", *WORDS[:2]]
-        leaves = t.group_by(leaf).aggregate([("n", "sum")]).rename_columns([*leaf, "a"])
+        t = t.select(["lang", "suffix", "n"]).group_by(["lang", "suffix"]).aggregate([("n", "sum")]).combine_chunks()
+        parts = pc.split_pattern(t["suffix"], " ").combine_chunks().flatten()
+        leaves = pa.table([t["lang"], *(parts.take(pa.array(np.arange(k, len(parts), DEPTH))) for k in range(DEPTH)), t["n_sum"]], [*leaf, "a"])
+        del t, parts
         pairs = leaves.group_by(inner).aggregate([("a", "sum")]).rename_columns([*inner, "f2"])
         words = pairs.group_by(inner[:2]).aggregate([("f2", "sum")]).rename_columns([*inner[:2], "f1"])
         pairs = _known(pairs.filter(pc.not_equal(pairs["w2"], "")), inner, "f2", hot2)
@@ -222,12 +212,14 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
 
     def run(batches):
         for lang, names, found, n in suffixes(batches):
-            for at in range(0, len(n), HELD):
-                part = found[at : at + HELD]
-                yield _batch(lang, names, list(part.T), n[at : at + HELD], g=pa.array(groups_of(lang, names, part, starts), pa.int64()))
+            group = groups_of(lang, names, found, starts)
+            for at in range(0, len(n), ROWS):
+                part = slice(at, at + ROWS)
+                suffix = pc.binary_join_element_wise(*(names.take(pa.array(c)) for c in found[part].T), " ")
+                yield pa.RecordBatch.from_arrays([pa.array(group[part]), pa.repeat(lang, len(suffix)), suffix, pa.array(n[part])], ["g", "lang", "suffix", "n"])
 
     shape = "lang string, w1 string, w2 string, w3 string"
-    leaves = texts.mapInArrow(run, f"{shape}, n long, g long")
+    leaves = texts.mapInArrow(run, "g long, lang string, suffix string, n long")
     nodes = leaves.groupBy("g").applyInArrow(_subtree(min_count, *hot), f"{shape}, a long, f1 long, f2 long").distinct()
     return words, saved(nodes, "nodes")
 
