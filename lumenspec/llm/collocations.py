@@ -23,8 +23,8 @@ from lumenspec.llm.common import few, saved, shared_dir, ship
 
 #: Words in a phrase at most: the depth of the tree.
 DEPTH = 3
-#: Suffixes that a group's prefixes begin, at most: some 200 MB in a task.
-BUDGET = 2_000_000
+#: Suffixes that a group's prefixes begin, at most: some 100 MB in a task.
+BUDGET = 500_000
 #: Bytes of plain words that a task holds before it hands on their counts: about a million words.
 HELD = 6 << 20
 #: Rows of a batch that a task hands on.
@@ -158,8 +158,9 @@ def groups_of(lang: str, words: pa.Array, found: np.ndarray, starts: list[tuple]
         group[i] = first + high - 1
         split[i] = high - low > 1 or (high > low and starts[first + low][2] != "")
     out = group[found[:, 0]]
-    for i in np.flatnonzero(split[found[:, 0]]).tolist():
-        out[i] = bisect_right(starts, (lang, *(words[x].as_py() for x in found[i]))) - 1
+    inside = np.flatnonzero(split[found[:, 0]])
+    suffixes = zip(*(words.take(pa.array(c)).to_pylist() for c in found[inside].T), strict=True)
+    out[inside] = [bisect_right(starts, (lang, *s)) - 1 for s in suffixes]
     return out
 
 
