@@ -25,6 +25,8 @@ from lumenspec.llm.common import few, saved, shared_dir, ship
 DEPTH = 3
 #: Suffixes that a group's prefixes begin, at most: some 100 MB in a task.
 BUDGET = 500_000
+#: Groups that all suffixes are dealt to at least, so that a cluster's cores share them and no frequent word holds up a task, as long as they begin so many suffixes each.
+PARTS, LEAST = 200, 10_000
 #: Bytes of plain words that a task holds before it hands on their counts: about a million words.
 HELD = 6 << 20
 #: Rows of a batch that a task hands on.
@@ -194,12 +196,13 @@ def _subtree(min_count: int, hot1: dict, hot2: dict):
     return run
 
 
-def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 10, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """(words, nodes): (lang, w1, n) of all words, and (lang, w1, w2, w3, a, f1, f2) of the phrases of two and three words found ``min_count`` times: their count and those of their first word and first two; w3 is empty for two."""
+def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 10, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, int]:
+    """(words, nodes, budget): (lang, w1, n) of all words, (lang, w1, w2, w3, a, f1, f2) of the phrases of two and three words found ``min_count`` times: their count and those of their first word and first two; w3 is empty for two; and the budget that was kept to."""
     shared_dir(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = prefixes(texts, 1)
-    empty = F.lit("")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    empty, budget = F.lit(""), min(budget, max(LEAST, total // PARTS))
     tops = [{(r["lang"], r["w1"]): r["n"] for r in words.where(F.col("n") > budget).collect()}]
     whole = words.where(F.col("n") <= budget).select("lang", "w1", empty.alias("w2"), empty.alias("w3"), "n")
     if tops[0]:
@@ -222,7 +225,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     shape = "lang string, w1 string, w2 string, w3 string"
     leaves = texts.mapInArrow(run, "g long, lang string, suffix string, n long")
     nodes = leaves.groupBy("g").applyInArrow(_subtree(min_count, *hot), f"{shape}, a long, f1 long, f2 long").distinct()
-    return words, saved(nodes, "nodes")
+    return words, saved(nodes, "nodes"), budget
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 10, share: int = 50, top: int = 2000, budget: int = BUDGET) -> DataFrame:
@@ -244,9 +247,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     frequent words are extended. Suffixes are counted in the tasks before
     they are shuffled. The driver and every task hold the first prefix of
     each group and the prefixes above the budget: no more than one for each
-    ``budget`` words, three times over, and one for each partition.
+    ``budget`` words (PARTS at least), three times over, and one for each
+    partition. So ``budget`` should be raised with the tasks' memory.
     """
-    words, nodes = phrases(docs, text_col, lang_col, min_count, budget)
+    words, nodes, budget = phrases(docs, text_col, lang_col, min_count, budget)
     totals = few(words.groupBy("lang").agg(F.sum("n").alias("n")))
     two, three = nodes.where("w3 = ''"), nodes.where("w3 <> ''")
     inside = three.select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "a").groupBy("lang", "p.w1", "p.w2").agg(F.max("a").alias("longer"))
