@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 1
     from lumenspec.session import session
-    from lumenspec.sources import archive, mzml, sinks
+    from lumenspec.sources import archive, mzml, profile, sinks
 
     if kind != "archive" and (args.rt or args.ms_level or args.drop or args.no_vendor):
         print("these filters are for archives", file=sys.stderr)
@@ -101,7 +101,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     drop = (*args.drop, "vendor*") if args.no_vendor else tuple(args.drop)
     spark = session()
-    read = mzml.read_imzml if kind == "imzml" else mzml.read_mzml
+    read = {"imzml": mzml.read_imzml, "agilent_profile": lambda s, path: profile.spectra_of(profile.read_profiles(s, path))}.get(kind, mzml.read_mzml)
     if args.inspect:
         if kind == "archive":
             for name, df in archive.read_archive(spark, args.input).items():
@@ -123,7 +123,7 @@ def main(argv: list[str] | None = None) -> int:
 
         spectra = survivors(decode.read_spectra(spark, args.input, drop), args.rt, args.ms_level)
     else:
-        spectra, traces = read(spark, args.input), None if args.no_chromatograms else mzml.read_chromatograms(spark, args.input)
+        spectra, traces = read(spark, args.input), None if args.no_chromatograms or kind == "agilent_profile" else mzml.read_chromatograms(spark, args.input)
     if args.max_spectra:
         spectra = spectra.orderBy("index").limit(args.max_spectra)
     if written:

@@ -22,7 +22,7 @@ def index_member(z: zipfile.ZipFile) -> str | None:
 
 
 def detect(path: str) -> str:
-    """One of archive, mzml, imzml, tsf, or a key of PROPRIETARY; ValueError if unknown.
+    """One of archive, mzml, imzml, tsf, agilent_profile, or a key of PROPRIETARY; ValueError if unknown.
 
     A Waters ``.raw`` is a folder with a header or function files, a Thermo
     ``.raw`` a file; TSF counts only without TDF beside it.
@@ -38,7 +38,7 @@ def detect(path: str) -> str:
         if "analysis.baf" in names:
             return "baf"
         if name.endswith(".d") and "acqdata" in names:
-            return "agilent"
+            return "agilent_profile" if all((p / "AcqData" / x).is_file() for x in ("MSScan.xsd", "MSScan.bin", "MSProfile.bin")) else "agilent"
         if name.endswith(".raw") and ("_header.txt" in names or any(x.startswith("_func") and x.endswith(".dat") for x in names)):
             return "waters"
         raise ValueError(f"unknown folder: {path}")

@@ -13,15 +13,189 @@ from lumenspec.plans import facets
 from lumenspec.sources import archive, decode, detect, mzml, sinks, xmltext
 
 
+def packed_runs(values):
+    """A writer for the run-length form: every stretch without zeros is one run of the width that its largest value needs; only the first can have eight bytes."""
+    stretches, zeros = [], 0
+    for v in values:
+        if v == 0:
+            zeros += 1
+        elif zeros or not stretches:
+            stretches.append((zeros, [v]))
+            zeros = 0
+        else:
+            stretches[-1][1].append(v)
+    codes = [1 if max(s) < 2**7 else 2 if max(s) < 2**15 else 3 if max(s) < 2**31 else 4 for _, s in stretches] or [1]
+    out = struct.pack("<Iii", len(values) | 0x90 << 24, -(stretches[0][0] if stretches else 0), -codes[0])
+    for k, (_, s) in enumerate(stretches):
+        form = {1: "b", 2: "h", 3: "i", 4: "q"}[codes[k]]
+        out += struct.pack(f"<{len(s)}{form}", *s)
+        if k + 1 < len(stretches):
+            gap, code = stretches[k + 1][0], codes[k + 1]
+            while form == "b" and 4 * gap + code > 128:  # a narrow mark holds few zeros: widen first
+                out += struct.pack("<b", -3)
+                form = "i"
+            out += struct.pack(f"<{form}", -(4 * gap + code))
+    return out
+
+
 def test_run_lengths():
-    body = struct.pack("<iii", 0, -2, -1) + struct.pack("<bbbbb", 5, 7, -13, 9, 0)[:4]
-    assert binary.run_lengths(body, 8).tolist() == [0, 0, 5, 7, 0, 0, 0, 9]
+    rng = np.random.default_rng(3)
+    for top in (100, 30_000, 2**31 - 1):
+        for share in (0.02, 0.5, 1.0):
+            values = np.where(rng.random(700) < share, rng.integers(1, top, 700, endpoint=True), 0)
+            assert binary.run_lengths(packed_runs(values.tolist()), 700).tolist() == values.tolist()
+    assert binary.run_lengths(packed_runs([0, 2**32 - 1, 5, 0, 0, 9]), 6).tolist() == [0, 2**32 - 1, 5, 0, 0, 9]
+    long_run = [17] * 5000
+    body = packed_runs(long_run)
+    assert binary.run_lengths(body, 5001).tolist() == [*long_run, 0]
+    assert binary.run_lengths(packed_runs([0] * 4), 4).tolist() == [0] * 4
+    for bad in (body[:11], struct.pack("<iii", 0, 3, -1), struct.pack("<iii", 0, 0, -7), packed_runs([70_000, 1])[:-1]):
+        with pytest.raises(ValueError):
+            binary.run_lengths(bad, 5000)
     with pytest.raises(ValueError):
-        binary.run_lengths(b"\0" * 4, 1)
+        binary.run_lengths(body, 4999)
+
+
+def packed_lzf(data):
+    """A writer for LZF: greedy references to the last place of a three-byte word, overlapping ones included."""
+    out, loose, seen, i = bytearray(), bytearray(), {}, 0
+
+    def spill():
+        for k in range(0, len(loose), 32):
+            out.append(min(32, len(loose) - k) - 1)
+            out.extend(loose[k : k + 32])
+        loose.clear()
+
+    while i < len(data):
+        at = seen.get(bytes(data[i : i + 3]))
+        n = 0
+        if at is not None and i - at <= 8192:
+            while i + n < len(data) and n < 264 and data[at + n] == data[i + n]:
+                n += 1
+        if n >= 3:
+            spill()
+            far, size = i - at - 1, n - 2
+            out.append(min(size, 7) << 5 | far >> 8)
+            if size >= 7:
+                out.append(size - 7)
+            out.append(far & 255)
+        else:
+            n = 1
+            loose.append(data[i])
+        for k in range(i, i + n):
+            seen[bytes(data[k : k + 3])] = k
+        i += n
+    spill()
+    return bytes(out)
 
 
 def test_lzf():
-    assert binary.lzf(bytes([2]) + b"abc" + bytes([(4 << 5), 2]), 9) == b"abcabcabc"
+    rng = np.random.default_rng(4)
+    for data in (b"", b"xyxyxyxyxyxyxyxyxy", b"q" * 3000, rng.integers(0, 4, 5000, np.uint8).tobytes(), rng.bytes(500)):
+        assert binary.lzf(packed_lzf(data), len(data)) == data
+    whole = packed_lzf(b"hello hello hello")
+    for bad, size in ((whole[:-1], 17), (whole, 16), (bytes([5, 1]), 6), (bytes([32, 9]), 3), (bytes([224]), 9)):
+        with pytest.raises(ValueError):
+            binary.lzf(bad, size)
+
+
+SCHEMA_XML = """<?xml version="1.0"?><xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+<xs:complexType name="SpectrumParamsType"><xs:sequence><xs:element name="SpectrumFormatID" type="xs:int"/><xs:element name="SpectrumOffset" type="xs:long"/>
+<xs:element name="ByteCount" type="xs:int"/><xs:element name="PointCount" type="xs:int"/><!-- <xs:element name="Gone" type="xs:double"/> --></xs:sequence></xs:complexType>
+<xs:complexType name="ScanRecordType"><xs:sequence><xs:element name="ScanID" type="xs:int"/><xs:element name="ScanTime" type="xs:double"/><xs:element name="MSLevel" type="xs:int"/>
+<xs:element name="CalibrationID" type="xs:int"/><xs:element name="SpectrumParamValues" type="SpectrumParamsType"/></xs:sequence></xs:complexType></xs:schema>"""
+CALIBRATION_XML = """<Root><DefaultCalibration DefaultCalibrationID="1"><Step><CalibrationFormula>Traditional</CalibrationFormula><Value Number="1">0.001</Value><Value Number="2">100</Value></Step>
+<Step><CalibrationFormula>Polynomial</CalibrationFormula><ValueUseFlags>3</ValueUseFlags><Value Number="1">20000</Value><Value Number="2">60000</Value><Value Number="3">0.002</Value><Value Number="4">1e-7</Value></Step></DefaultCalibration>
+<DefaultCalibration DefaultCalibrationID="2"><Step><CalibrationFormula>Traditional</CalibrationFormula><Value Number="1">0.002</Value><Value Number="2">50</Value></Step></DefaultCalibration></Root>"""
+
+
+def profile_run(folder, scans, blocks=2, rows=None, cut=0):
+    """Scans of (time, level, calibration, first, step, intensities, LZF or not), None for a scan without points."""
+    acq = folder / "AcqData"
+    acq.mkdir(parents=True)
+    (acq / "MSScan.xsd").write_text(SCHEMA_XML)
+    (acq / "DefaultMassCal.xml").write_text(CALIBRATION_XML)
+    (acq / "MSTS.xml").write_text(f"<T><Segment><NumOfScans>{len(scans)}</NumOfScans></Segment></T>")
+    body, records = b"", b""
+    for k, (time, level, cal, first, step, values, packed) in enumerate(scans):
+        head = struct.pack("<dd", first, step)
+        segment = b"" if values is None else packed_lzf(head + np.array(values, "<u4").tobytes()) if packed else head + packed_runs(values)
+        records += struct.pack("<idii", k, time, level, cal) + struct.pack("<iqii", 1, len(body), len(segment), len(values or [])) + b"\0" * 20 * (blocks - 1)
+        body += segment
+    (acq / "MSScan.bin").write_bytes(b"\0" * 0x58 + struct.pack("<I", 0x60) + b"\0" * 4 + records)
+    (acq / "MSProfile.bin").write_bytes(body[: len(body) - cut])
+    if rows:
+        (acq / "MSMassCal.bin").write_bytes(b"\0" * 0x4C + b"".join(struct.pack("<10d", *r) + b"\0" * 4 for r in rows))
+    return str(folder)
+
+
+SCANS = [
+    (0.1, 1, 1, 20_000.0, 0.5, [0, 3, 0, 0, 70_000, 5, 0], False),
+    (0.2, 0, 2, 30_000.0, 0.25, [9, 0, 2**32 - 1], True),
+    (0.3, 2, 1, 1.0, 1.0, None, False),
+    (0.4, 2, 9, 20_000.0, 0.5, [0, 0, 0], False),
+    (0.5, 2, 9, 40_000.0, -0.5, [1, 2, 3] * 50, True),
+]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_profile_run(spark, tmp_path, blocks):
+    from lumenspec.sources import profile
+    from lumenspec.sources.detect import guard
+
+    folder = profile_run(tmp_path / "run.d", SCANS, blocks)
+    assert guard(folder) == "agilent_profile"
+    assert profile.records(spark, folder).count() == 5
+    got = {r["index"]: r for r in profile.read_profiles(spark, folder).collect()}
+    assert set(got) == {0, 1, 4}  # no points, no intensity: no row
+    assert [got[i]["ms_level"] for i in (0, 1, 4)] == [1, 1, 2] and got[0]["time"] == 0.1
+    assert (got[0]["tof_index"], got[0]["intensity"]) == ([1, 4, 5], [3.0, 70_000.0, 5.0])
+    assert (got[1]["tof_index"], got[1]["intensity"]) == ([0, 2], [9.0, 2.0**32 - 1])
+    coeff = {0: (0.001, 100), 1: (0.002, 50), 4: (0.001, 100)}  # an unknown id takes the first row
+    for i, (a, b) in coeff.items():
+        t0, delta = SCANS[i][3:5]
+        assert got[i]["c0"] == pytest.approx(a * (t0 - b)) and got[i]["c1"] == pytest.approx(a * delta)
+
+
+def test_profile_masses_and_writers(spark, tmp_path):
+    from lumenspec.sources import archive, decode, profile
+
+    folder = profile_run(tmp_path / "run.d", SCANS)
+    read = profile.read_profiles(spark, folder)
+    for r in profile.refined(read).collect():
+        _, _, cal, t0, delta, _, _ = SCANS[r["spectrum_index"]]
+        a, b = (0.002, 50) if cal == 2 else (0.001, 100)
+        t = t0 + delta * r["tof_index"]
+        grid = (a * (t - b)) ** 2
+        fit = 0.002 + 1e-7 * max(20_000, min(60_000, t)) if cal == 1 else 0.0  # flags are by id, so an unknown one has none
+        assert r["mz"] == pytest.approx(grid, rel=1e-12) and r["refined_mz"] == pytest.approx(grid - fit, rel=1e-12)
+    assert {(r["calibration_id"], r["first_index"], r["use_flags"]) for r in profile.calibrations(read).collect()} == {(1, 0, 3), (2, 1, 0), (9, 4, 0)}
+    spectra = profile.spectra_of(read)
+    falling = next(r for r in spectra.collect() if r["index"] == 4)
+    assert falling["mz"] == sorted(falling["mz"]) and falling["intensity"][:2] == [3.0, 2.0]
+    archive.write_archive(spectra, str(tmp_path / "run.zip"))
+    back = {r["index"]: r for r in decode.read_spectra(spark, str(tmp_path / "run.zip")).collect()}
+    assert back[4]["mz"] == falling["mz"] and set(back) == {0, 1, 4}
+
+
+def test_profile_run_that_was_interrupted(spark, tmp_path):
+    from lumenspec.sources import profile
+
+    rows = [[0.001, 10.0, 0, 0, 0, 0, 0, 0, 0, 0]] * 3 + [[0.003, 20.0, 0, 0, 0, 0, 0, 0, 0, 0]] * 2
+    long_scans = [*SCANS[:2], (0.3, 1, 1, 5.0, 1.0, [4] * 4000, False), (0.4, 1, 1, 5.0, 1.0, [7], False), SCANS[4]]
+    folder = profile_run(tmp_path / "a.d", long_scans, rows=rows)
+    got = {r["index"]: r for r in profile.read_profiles(spark, folder).collect()}
+    assert set(got) == {0, 1, 2, 3, 4} and got[4]["row"][:2] == [0.003, 20.0] and got[0]["row"][1] == 10.0
+    after = sum(len(struct.pack("<dd", 0, 0) + packed_runs([7])) for _ in range(1)) + len(packed_lzf(struct.pack("<dd", 40_000.0, -0.5) + np.array([1, 2, 3] * 50, "<u4").tobytes()))
+    cut = profile_run(tmp_path / "b.d", long_scans, cut=after + 1)
+    assert {r["index"] for r in profile.read_profiles(spark, cut).collect()} == {0, 1}
+    short = profile_run(tmp_path / "c.d", SCANS, rows=rows[:3])
+    with pytest.raises(ValueError, match="too short"):
+        profile.records(spark, short)
+    (tmp_path / "c.d" / "AcqData" / "MSMassCal.bin").unlink()
+    (tmp_path / "c.d" / "AcqData" / "DefaultMassCal.xml").unlink()
+    with pytest.raises(ValueError, match="calibration"):
+        profile.records(spark, short)
 
 
 def frame(n):
