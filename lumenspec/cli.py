@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 1
     from lumenspec.session import session
-    from lumenspec.sources import archive, mzml, profile, sinks
+    from lumenspec.sources import archive, members, mzml, profile, sinks
 
     if kind != "archive" and (args.rt or args.ms_level or args.drop or args.no_vendor):
         print("these filters are for archives", file=sys.stderr)
@@ -104,8 +104,8 @@ def main(argv: list[str] | None = None) -> int:
     read = {"imzml": mzml.read_imzml, "agilent_profile": lambda s, path: profile.spectra_of(profile.read_profiles(s, path))}.get(kind, mzml.read_mzml)
     if args.inspect:
         if kind == "archive":
-            for name, df in archive.read_archive(spark, args.input).items():
-                print(name, df.count())
+            for name, member in members.members(args.input).items():  # counts are in the footers
+                print(name, member.rows())
         else:
             print("spectra", read(spark, args.input).count())
         return 0

@@ -6,7 +6,6 @@ import fnmatch
 import hashlib
 import json
 import os
-import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspec.sources.detect import index_member
-from lumenspec.storage import new_path
+from lumenspec.sources.members import Member, members, scan, whole
+from lumenspec.storage import saved
 
 #: Footer entries that are made anew.
 OWN_KEYS = (b"ARROW:schema",)
@@ -32,59 +32,25 @@ def read_index(path: str) -> dict:
 
 
 def extract(path: str, folder: str) -> dict[str, str]:
-    """Parquet members as files; ``folder`` must be one that executors see."""
+    """Parquet members as files, for tools that need them so; nothing here reads an archive this way."""
     out = {}
-    with zipfile.ZipFile(path) as z:
-        for name in z.namelist():
-            if name.endswith(".parquet"):
-                target = Path(folder) / name
-                target.parent.mkdir(parents=True, exist_ok=True)
-                with z.open(name) as a, target.open("wb") as b:
-                    shutil.copyfileobj(a, b)
-                out[name] = str(target)
+    for name, member in members(path).items():
+        target = Path(folder) / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        with target.open("wb") as b:
+            member.copy_to(b)
+        out[name] = str(target)
     return out
 
 
-def shipped(spark: SparkSession, file: str) -> str:
-    """A path of a driver's file that executors see: itself on a local master, else a copy in the shared folder."""
-    if spark.sparkContext.master.startswith("local"):
-        return file
-    target = new_path(spark, "facet")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{os.path.abspath(file)}"), path(target))
-    return target
+def facet(spark: SparkSession, file: str, row: str | None = None) -> DataFrame:
+    """A facet in a file of its own, with 64-bit signed keys, and the file's row numbers as ``row``; whatever its encodings, tasks read it by row groups."""
+    return scan(spark, whole(file), row=row)
 
 
-def facet(spark: SparkSession, file: str, row: str | None = None) -> DataFrame:
-    """A facet with 64-bit signed keys, and the file's row numbers as ``row``. Byte-stream-split columns, which the vectorized reader refuses, are rewritten once."""
-    meta = pq.ParquetFile(file).metadata
-    split = any("BYTE_STREAM_SPLIT" in meta.row_group(g).column(c).encodings for g in range(meta.num_row_groups) for c in range(meta.num_columns))
-    if split:
-        plain = f"{file}.plain"
-        if not os.path.exists(plain):
-            source = pq.ParquetFile(file)
-            with pq.ParquetWriter(f"{plain}.tmp", source.schema_arrow, compression="zstd") as w:
-                for batch in source.iter_batches():
-                    w.write_batch(batch)
-            os.replace(f"{plain}.tmp", plain)
-        file = plain
-    df = spark.read.parquet(shipped(spark, file))
-    place = [F.col("_metadata.row_index").alias(row)] if row else []
-    return df.select(*(signed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema), *place)
-
-
-def signed(col, kind: T.DataType):
-    """Unsigned 64-bit keys read as decimal(20, 0); as longs they prune row groups and join fast."""
-    if isinstance(kind, T.DecimalType) and (kind.precision, kind.scale) == (20, 0):
-        return col.cast("long")
-    if isinstance(kind, T.StructType):
-        return F.when(col.isNotNull(), F.struct(*(signed(col[f.name], f.dataType).alias(f.name) for f in kind)))
-    return col
-
-
-def read_archive(spark: SparkSession, path: str, folder: str | None = None, row: str | None = None) -> dict[str, DataFrame]:
-    files = extract(path, folder or tempfile.mkdtemp(prefix="facets-"))
-    return {name: facet(spark, f, row) for name, f in files.items()}
+def read_archive(spark: SparkSession, path: str, row: str | None = None) -> dict[str, DataFrame]:
+    """The facets of an archive that executors see, scanned in place."""
+    return {name: scan(spark, m, row=row) for name, m in members(path).items()}
 
 
 def packed(batches):
@@ -151,6 +117,12 @@ class ArchiveWriter:
         self.zip.write(file, name)
         self.index["files"].append({"name": name, "entity_type": entity_type, "data_kind": data_kind})
 
+    def copy(self, name: str, member: Member, entity_type: str = "other", data_kind: str = "other") -> None:
+        """A member of another archive, byte by byte."""
+        with self.zip.open(zipfile.ZipInfo(name), "w", force_zip64=True) as b:
+            member.copy_to(b)
+        self.index["files"].append({"name": name, "entity_type": entity_type, "data_kind": data_kind})
+
     def add_bytes(self, name: str, data: bytes, **entry) -> dict:
         """A side file, with its digest and size in the index."""
         self.zip.writestr(name, data)
@@ -188,7 +160,6 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatogr
     from lumenspec.operators.encode import chunked, reindexed
     from lumenspec.plans.facets import N_POINTS
     from lumenspec.sources.mzml import BPC, TIC, TRACES, points
-    from lumenspec.storage import saved
 
     read = saved(spectra, "spectra")  # a run is decoded once for all facets
     flat = points(read)
@@ -240,19 +211,40 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatogr
         raise
 
 
-def filter_archive(spark: SparkSession, source: str, target: str, rt: tuple[float, float] | None = None, levels: tuple[int, ...] = (), drop: tuple[str, ...] = (), force: bool = False, folder: str | None = None) -> dict:
-    """A filtered copy: every facet is classified by its schema and cut to the surviving spectra. Indexes and the order of rows stay as they are, counts in footers and chromatograms are made anew."""
-    from lumenspec.plans.facets import COUNTS, apply_filter, counts_of, recounted, survivors_of
+def _selected(spark: SparkSession, found: dict[str, Member], rt: tuple[float, float] | None, levels: tuple[int, ...]):
+    """(facets, chosen spectra): metadata of the time range only, then signal of the range of chosen spectra only, by the statistics of their row groups."""
+    from lumenspec.plans.facets import classify, survivors_of
 
-    files = extract(source, folder or tempfile.mkdtemp(prefix="facets-"))
-    facets = {n: facet(spark, f, ROW) for n, f in files.items() if not any(fnmatch.fnmatchcase(n, g) for g in drop)}
+    facets = {n: scan(spark, m, row=ROW) for n, m in found.items()}
+    kinds = {n: classify(df) for n, df in facets.items()}
+    if rt:
+        times = {"spectrum_metadata": "spectrum.time"}
+        facets |= {n: scan(spark, found[n], ranges={times[k]: rt}, row=ROW) for n, (k, _) in kinds.items() if k in times}
     chosen = survivors_of(facets, rt, levels)
+    if chosen is not None:
+        chosen = saved(chosen, "chosen")
+        low, high = chosen.agg(F.min("index"), F.max("index")).first()
+        bounds = (1, 0) if low is None else (low, high)
+        facets |= {n: scan(spark, found[n], ranges={key: bounds}, row=ROW) for n, (k, key) in kinds.items() if k in ("spectrum_data", "ordinal")}
+    return facets, chosen
+
+
+def filter_archive(spark: SparkSession, source: str, target: str, rt: tuple[float, float] | None = None, levels: tuple[int, ...] = (), drop: tuple[str, ...] = (), force: bool = False) -> dict:
+    """A filtered copy: every facet is classified by its schema and cut to the surviving spectra. Indexes and the order of rows stay as they are, counts in footers and chromatograms are made anew.
+
+    Members are scanned in place, and only the row groups that can hold a
+    survivor; those that no filter touches are copied as they are.
+    """
+    from lumenspec.plans.facets import COUNTS, apply_filter, counts_of, recounted
+
+    found = {n: m for n, m in members(source).items() if not any(fnmatch.fnmatchcase(n, g) for g in drop)}
+    facets, chosen = _selected(spark, found, rt, levels)
     with zipfile.ZipFile(source) as z:
         out = ArchiveWriter(target, force, source, index_member(z) or "run_index.json")
     try:
         old = read_index(source)
         known = {f["name"]: f for f in old.get("files", [])}
-        dropped = []
+        dropped, folder = [], Path(tempfile.mkdtemp(prefix="facets-"))  # the driver's own: only it makes the archive
         with zipfile.ZipFile(source) as z:
             for name in z.namelist():
                 if name == index_member(z):
@@ -266,12 +258,12 @@ def filter_archive(spark: SparkSession, source: str, target: str, rt: tuple[floa
                     if kind == "global" and rt is not None:
                         kind, rows = recounted(facets[name], facets, rt)
                     if kind == "global":
-                        out.add(name, files[name], **entry)
+                        out.copy(name, found[name], **entry)
                     else:
-                        footer = {k.decode(): v.decode("utf-8", "replace") for k, v in (pq.ParquetFile(files[name]).metadata.metadata or {}).items()}
-                        footer = {k: v for k, v in footer.items() if k not in COUNTS} | counts_of(kind, rows)
-                        write_facet(rows, f"{files[name]}.new", [ROW], footer, leave=(ROW,))
-                        out.add(name, f"{files[name]}.new", **entry)
+                        footer = {k: v for k, v in found[name].footer().items() if k not in COUNTS} | counts_of(kind, rows)
+                        file = str(folder / name.replace("/", "_"))
+                        write_facet(rows, file, [ROW], footer, leave=(ROW,))
+                        out.add(name, file, **entry)
                 else:
                     out.add_bytes(name, z.read(name), **entry)
         out.index["metadata"] = {**old.get("metadata", {}), "filter": {"rt": list(rt) if rt else None, "ms_levels": sorted(levels), "dropped": dropped}}

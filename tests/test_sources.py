@@ -404,3 +404,75 @@ def test_decoded_layouts(spark):
         decode.spectra({"m": meta, "a": grid}).collect()
     steps = spark.createDataFrame([((1, 5, 1.0), 0), ((1, 2, 1.0), 1)], "point struct<spectrum_index long, delta int, intensity double>, _row long")
     assert decode.spectra({"m": meta, "a": steps}, (0.0, 1.0)).where("index = 1").first()["mz"] == [25.0, 49.0]
+
+
+def many_groups(spark, folder):
+    """An archive of 1,000 spectra of ten points, metadata in ten row groups and points in twenty."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 1000
+    kind = pa.struct([("index", pa.uint64()), ("time", pa.float64()), ("ms_level", pa.uint8())])
+    meta = pa.table({"spectrum": pa.array([{"index": i, "time": i / 100, "ms_level": 1 + i % 2} for i in range(n)], kind), "note": pa.array([f"s{i}" for i in range(n)], pa.large_string())})
+    at = np.repeat(np.arange(n), 10)
+    points = pa.table({"point": pa.StructArray.from_arrays([pa.array(at, pa.uint64()), pa.array(100.0 + np.arange(10 * n) % 10), pa.array(np.ones(10 * n), pa.float32())], ["spectrum_index", "mz", "intensity"])})
+    other = pa.table({"x": pa.array([1, 2, 3])})
+    out = archive.ArchiveWriter(str(folder / "groups.zip"))
+    for name, table, rows in (("spectra_metadata.parquet", meta, 100), ("spectra_data.parquet", points, 500), ("vendor/other.parquet", other, 3)):
+        file = str(folder / name.replace("/", "_"))
+        pq.write_table(table, file, row_group_size=rows)
+        out.add(name, file)
+    out.close()
+    return str(folder / "groups.zip")
+
+
+def test_members_are_scanned_in_place(spark, tmp_path, monkeypatch):
+    from lumenspec.sources import members
+
+    monkeypatch.chdir(tmp_path)
+    path = many_groups(spark, tmp_path)
+    before = sorted(p.name for p in tmp_path.rglob("*"))
+    found = members.members(path)
+    assert {k: m.rows() for k, m in found.items()} == {"spectra_metadata.parquet": 1000, "spectra_data.parquet": 10_000, "vendor/other.parquet": 3}
+    data = members.scan(spark, found["spectra_data.parquet"], row="_row")
+    assert data.rdd.getNumPartitions() == 20 and data.where("_row div 10 <> point.spectrum_index").count() == 0
+    assert dict(members.scan(spark, found["spectra_metadata.parquet"]).dtypes) == {"spectrum": "struct<index:bigint,time:double,ms_level:smallint>", "note": "string"}
+    part = members.scan(spark, found["spectra_data.parquet"], columns=["point.mz", "point.spectrum_index"], ranges={"point.spectrum_index": (250, 299)}, row="_row")
+    assert part.rdd.getNumPartitions() == 1 and set(part.schema["point"].dataType.names) == {"mz", "spectrum_index"}
+    assert (part.agg(F.min("_row"), F.max("_row"), F.count("*")).first()) == (2500, 2999, 500)
+    none = members.scan(spark, found["spectra_data.parquet"], ranges={"point.spectrum_index": (5000, None)})
+    assert none.count() == 0
+    assert sorted(p.name for p in tmp_path.rglob("*")) == before  # nothing was extracted
+    with zipfile.ZipFile(tmp_path / "c.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.parquet", b"x" * 100)
+    with pytest.raises(ValueError, match="compressed"):
+        members.members(str(tmp_path / "c.zip"))
+
+
+def test_groups_with_nulls_are_kept(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lumenspec.sources import members
+
+    file = str(tmp_path / "n.parquet")
+    pq.write_table(pa.table({"k": pa.array([1, 2, None, 4, 5, 6])}), file, row_group_size=2)
+    got = members.scan(spark, members.whole(file), ranges={"k": (5, 9), "absent": (1, 2)})
+    assert [r["k"] for r in got.collect()] == [None, 4, 5, 6]
+
+
+def test_filter_reads_few_groups(spark, tmp_path):
+    from lumenspec.sources import members
+
+    path = many_groups(spark, tmp_path)
+    found = members.members(path)
+    facets, chosen = archive._selected(spark, found, (2.5, 2.99), ())
+    assert chosen.count() == 50
+    assert facets["spectra_metadata.parquet"].rdd.getNumPartitions() == 1 and facets["spectra_data.parquet"].rdd.getNumPartitions() == 1
+    out = str(tmp_path / "cut.zip")
+    archive.filter_archive(spark, path, out, (2.5, 2.99), (2,))
+    cut = members.members(out)
+    assert {k: m.rows() for k, m in cut.items()} == {"spectra_metadata.parquet": 25, "spectra_data.parquet": 250, "vendor/other.parquet": 3}
+    assert {r[0] for r in members.scan(spark, cut["spectra_data.parquet"]).select("point.spectrum_index").collect()} == set(range(251, 300, 2))
+    archive.filter_archive(spark, path, out, (900.0, 901.0), force=True)
+    assert members.members(out)["spectra_data.parquet"].rows() == 0
