@@ -53,52 +53,22 @@ def read_archive(spark: SparkSession, path: str, row: str | None = None) -> dict
     return {name: scan(spark, m, row=row) for name, m in members(path).items()}
 
 
-def packed(batches):
-    """Arrow batches as IPC messages, one row each."""
-    for b in batches:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, b.schema) as w:
-            w.write_batch(b)
-        yield pa.RecordBatch.from_pydict({"b": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-
 def write_facet(df: DataFrame, file: str, order: list[str], footer: dict[str, str] | None = None, level: int = 5, rows: int = 1 << 17, leave: tuple[str, ...] = ()) -> None:
     """One Parquet file in a given order, without the columns ``leave``: delta for whole-number indexes, byte-stream split for tof and intensity, plain if a column refuses.
 
-    Tasks hand over Arrow batches; the driver holds one partition of them at a time and writes them on.
+    Tasks encode the row groups; the driver joins them and their footers.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    from lumenspec.sources import rowgroups
+
     ordered = df.orderBy(*order).drop(*leave)
     kinds = {f.name: f.dataType for f in ordered.schema}
     coded = {c: "DELTA_BINARY_PACKED" for c, k in kinds.items() if isinstance(k, (T.LongType, T.IntegerType)) and (c.endswith("_index") or c == "ordinal")}
     coded |= {c: "BYTE_STREAM_SPLIT" for c, k in kinds.items() if c in ("tof", "intensity") and isinstance(k, (T.FloatType, T.DoubleType, T.IntegerType))}
     schema = to_arrow_schema(ordered.schema)
     meta = {k.encode(): v.encode() for k, v in (footer or {}).items() if k.encode() not in OWN_KEYS}
-    schema = schema.with_metadata({**(schema.metadata or {}), **meta})
-
-    def tables():
-        held, n = [], 0
-        for (message,) in ordered.mapInArrow(packed, "b binary").toLocalIterator():
-            held.append(pa.ipc.open_stream(message).read_all().cast(schema))
-            n += held[-1].num_rows
-            if n >= rows:
-                yield pa.concat_tables(held)
-                held, n = [], 0
-        if held:
-            yield pa.concat_tables(held)
-
-    def write(encoding: dict[str, str]) -> None:
-        with pq.ParquetWriter(file, schema, compression="zstd", compression_level=level, use_dictionary=[n for n in kinds if n not in encoding], column_encoding=encoding or None) as w:
-            for t in tables():
-                w.write_table(t)
-
-    try:
-        write(coded)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
-        if getattr(e, "errno", None):  # the disk, not an encoding
-            raise
-        write({})
+    rowgroups.write(ordered, file, schema.with_metadata({**(schema.metadata or {}), **meta}), coded, level, rows)
 
 
 class ArchiveWriter:

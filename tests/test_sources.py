@@ -476,3 +476,40 @@ def test_filter_reads_few_groups(spark, tmp_path):
     assert {r[0] for r in members.scan(spark, cut["spectra_data.parquet"]).select("point.spectrum_index").collect()} == set(range(251, 300, 2))
     archive.filter_archive(spark, path, out, (900.0, 901.0), force=True)
     assert members.members(out)["spectra_data.parquet"].rows() == 0
+
+
+def test_joined_row_groups(tmp_path):
+    """Joined files hold the rows, statistics and metadata of all, as another reader sees them."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lumenspec.sources import rowgroups
+
+    parts = [pa.table({"i_index": pa.array(range(k * 100, k * 100 + 70), pa.int64()), "intensity": pa.array([float(k)] * 70, pa.float32()), "s": pa.array([f"é{k}"] * 69 + [None]), "l": pa.array([[k, k + 1]] * 70), "p": pa.array([{"a": k, "b": k > 3}] * 70)}).replace_schema_metadata({"note": "kept"}) for k in range(40)]
+    files = [rowgroups.encode(t, {"i_index": "DELTA_BINARY_PACKED", "intensity": "BYTE_STREAM_SPLIT"}, 5) for t in parts]
+    file = str(tmp_path / "joined.parquet")
+    assert rowgroups.join(files, file) == 2800
+    meta = pq.ParquetFile(file).metadata
+    assert (meta.num_row_groups, meta.num_rows, meta.metadata[b"note"]) == (40, 2800, b"kept")
+    assert [meta.row_group(g).column(0).statistics.min for g in range(40)] == [k * 100 for k in range(40)]
+    assert pq.read_table(file).equals(pa.concat_tables(parts))
+    assert duckdb.sql(f"select count(*), sum(i_index), sum(intensity), count(s), sum(p.a), count(*) filter (where p.b), sum(list_sum(l)) from '{file}'").fetchall()[0] == (2800, sum(k * 100 * 70 + 69 * 35 for k in range(40)), 70 * 780.0, 69 * 40, 70 * 780, 70 * 36, 70 * (780 * 2 + 40))
+    with pytest.raises(ValueError):
+        rowgroups.join([], file)
+
+
+def test_facets_are_encoded_in_tasks(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(0, 50_000, 1, 8).select((F.col("id") * 7 % 50_000).alias("ordinal"), F.struct(F.col("id").alias("spectrum_index"), F.lit(1.5).alias("mz")).alias("point"), F.rand(3).cast("float").alias("intensity"), F.lit(None).cast("string").alias("gone"))
+    file = str(tmp_path / "f.parquet")
+    archive.write_facet(df, file, ["ordinal"], {"note": "x"}, rows=3000, leave=("gone",))
+    read = pq.ParquetFile(file)
+    assert read.metadata.num_rows == 50_000 and read.metadata.metadata[b"note"] == b"x"
+    assert max(read.metadata.row_group(g).num_rows for g in range(read.metadata.num_row_groups)) == 3000
+    assert read.read(["ordinal"])["ordinal"].to_pylist() == list(range(50_000))
+    assert "BYTE_STREAM_SPLIT" in read.metadata.row_group(0).column(3).encodings
+    assert spark.read.parquet(file).agg(F.sum("point.spectrum_index")).first()[0] == sum(range(50_000))
+    archive.write_facet(df.where("false"), file, ["ordinal"])
+    assert pq.ParquetFile(file).metadata.num_rows == 0
