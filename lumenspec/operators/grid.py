@@ -14,6 +14,8 @@ MIN_PROBES, MIN_POINTS, MAX_STEP, HALVINGS = 2, 16, 4, 14
 #: Of one spectrum: points and gaps that a step estimate needs.
 STEP_POINTS, STEP_GAPS, GAP = 8, 4, 1e-10
 NO_STEP = 2**63 - 1
+#: Parts in which values are counted to find one by its rank, and how many values are fetched once they are so few.
+BUCKETS, FETCHED = 4096, 10_000
 
 
 @dataclass(frozen=True)
@@ -62,14 +64,40 @@ def worst(points: DataFrame, c0: float, c1: float) -> DataFrame:
     return s.select(F.coalesce("max_ppm", F.lit(float("inf"))).alias("max_ppm"), F.coalesce(F.greatest(F.col("k"), F.lit(0.0)), F.lit(0.0)).cast("long").alias("max_k"), "n")
 
 
-def evaluated(points: DataFrame, c0: float, c1: float) -> DataFrame:
-    """(max_ppm, median_ppm, max_k): the upper median comes from a distributed sort, so no task holds all errors."""
-    from lumenspec.operators.encode import reindexed
+def value_at_rank(values: DataFrame, column: str, rank: int) -> float | None:
+    """The value at a 0-based rank in rising order, infinity and then NaN last, nulls left out; none beyond the end.
+
+    Values are counted in BUCKETS equal parts of their range, by partial sums,
+    and the part that holds the rank is counted again in as many, until all of
+    it is one value or few enough to be fetched. Nothing is sorted or shuffled
+    but counts.
+    """
+    v = F.col(column)
+    held, infinity = values.select(v.cast("double").alias("v")), float("inf")
+    low, high, n, n_high = held.agg(F.min(F.when(F.col("v") < infinity, F.col("v"))), F.max(F.when(F.col("v") < infinity, F.col("v"))), F.count_if(F.col("v") < infinity), F.count_if(F.col("v") == infinity)).first()
+    if rank >= n:
+        return infinity if rank < n + n_high else None if rank >= n + n_high + held.where(F.isnan("v")).count() else float("nan")
+    while low < high and n > FETCHED:
+        part = F.least(F.floor((F.col("v") - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
+        counted = held.where(F.col("v").between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for row in sorted(counted.collect()):  # BUCKETS rows at most
+            if rank < row["n"]:
+                low, high, n = row["low"], row["high"], row["n"]
+                break
+            rank -= row["n"]
+    if low == high:
+        return low
+    return sorted(r["v"] for r in held.where(F.col("v").between(low, high)).collect())[rank]  # FETCHED rows at most
 
-    ordered = reindexed(_errors(points, c0, c1).select("e"), ["e"])
+
+def evaluated(points: DataFrame, c0: float, c1: float) -> DataFrame:
+    """(max_ppm, median_ppm, max_k) of a grid over all points; the upper median is found by counting."""
     total = worst(points, c0, c1)
-    middle = ordered.join(F.broadcast(total), F.col("index") == F.floor(F.col("n") / 2)).select("e")  # one row is broadcast
-    return total.join(middle).select("max_ppm", F.col("e").alias("median_ppm"), "max_k").unionByName(total.where("n = 0").select("max_ppm", F.col("max_ppm").alias("median_ppm"), "max_k"))
+    n = total.first()["n"]
+    if not n:
+        return total.select("max_ppm", F.col("max_ppm").alias("median_ppm"), "max_k")
+    median = value_at_rank(_errors(points, c0, c1), "e", n // 2)
+    return total.select("max_ppm", F.lit(median).alias("median_ppm"), "max_k")
 
 
 def median_steps(points: DataFrame, c0: float, c1: float) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,42 @@ def test_integer_intensity_only_if_lossless(spark):
     p = spark.createDataFrame([(1, 2.0), (1, 3.0)], "spectrum_index long, intensity double")
     assert dict(encode.integer_intensity(p).dtypes)["intensity"] == "int"
     assert dict(encode.integer_intensity(p.withColumn("intensity", F.col("intensity") + 0.5)).dtypes)["intensity"] == "double"
+
+
+def test_nearest_over_skewed_and_equal_values(spark):
+    """Nine tenths of the probes in one narrow range, many equal ones, few axis values: as by sorting, and no partition holds more than its share."""
+    import bisect
+
+    from lumenspec.operators import calibration
+
+    r = random.Random(6)
+    probe = [500 + r.random() / 1000 for _ in range(3000)] + [7.0] * 1500 + [r.uniform(-1000, 1000) for _ in range(500)] + [-0.0, 1e300, -1e300]
+    for axis in ([500 + r.random() / 1000 for _ in range(200)] + [7.0, -3.5], [0.25], sorted(probe)[::7]):
+        ordered = sorted(axis)
+
+        def want(x, ordered=ordered):
+            i = bisect.bisect_left(ordered, x)
+            near = ordered[max(i - 1, 0) : i + 1]
+            return min(near, key=lambda a: (abs(x - a), a))
+
+        df = spark.createDataFrame([(x,) for x in probe], "x double").repartition(3)
+        got = calibration.nearest(df.unionByName(spark.createDataFrame([(None,), (float("nan"),)], "x double")), spark.createDataFrame([(a,) for a in axis], "x double")).collect()
+        assert sorted((x["x"], x["nearest"]) for x in got) == sorted((x, want(x)) for x in probe)
+    assert calibration.nearest(df.limit(0), df).count() == 0
+    assert [x["nearest"] for x in calibration.nearest(df.limit(2), df.limit(0)).collect()] == [None, None]
+
+
+def test_value_at_rank(spark, monkeypatch):
+    from lumenspec.operators import grid
+
+    monkeypatch.setattr(grid, "FETCHED", 3)
+    monkeypatch.setattr(grid, "BUCKETS", 5)
+    r = random.Random(2)
+    inf, nan = float("inf"), float("nan")
+    for values in ([0.0] * 50 + [1.0], [r.random() ** 9 for _ in range(400)], [5e-324, 0.0, 1e308, 3.0] * 5 + [inf, inf, nan], [r.choice([1e-9, 1e-9 + 1e-25, 2e-9]) for _ in range(90)], [4.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "e double")
+        ordered = sorted(values, key=lambda v: (v != v, v))
+        for rank in {0, len(values) // 2, len(values) - 1}:
+            got = grid.value_at_rank(df, "e", rank)
+            assert got == ordered[rank] or (got != got and ordered[rank] != ordered[rank])
+        assert grid.value_at_rank(df, "e", len(values)) is None
