@@ -10,6 +10,9 @@ from lumenspec.operators.selection import parse_range
 from lumenspec.sources.detect import UnsupportedFormat, guard
 
 
+GRID = ("off", "auto", "on")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("lumenspec")
     p.add_argument("input")
@@ -22,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sdrf", help="a table of samples and data files to put into a new archive")
     p.add_argument("--layout", choices=("point", "chunk"), help="of the signal in a new archive")
     p.add_argument("--chunk-size", type=float, help="m/z range of a chunk")
-    p.add_argument("--grid", action="store_true", help="store spectra on a shared lattice by their indexes")
+    p.add_argument("--grid", nargs="?", const="auto", choices=GRID, help="store spectra on a shared lattice by their indexes; on: fail where there is none")
     p.add_argument("--no-chromatograms", action="store_true", help="leave the chromatograms of the input out")
     p.add_argument("--config", help="a YAML file of the options below; the command line goes first")
     p.add_argument("--max-spectra", type=int)
@@ -31,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 #: Options that a file may give, with their types; switches can be turned on by either side.
-SETTINGS = {"output": str, "force": bool, "no_vendor": bool, "no_chromatograms": bool, "sdrf": str, "layout": str, "chunk_size": float, "grid": bool}
+SETTINGS = {"output": str, "force": bool, "no_vendor": bool, "no_chromatograms": bool, "sdrf": str, "layout": str, "chunk_size": float, "grid": str}
 
 
 def with_config(args: argparse.Namespace) -> argparse.Namespace:
@@ -49,6 +52,8 @@ def with_config(args: argparse.Namespace) -> argparse.Namespace:
     if not isinstance(held or {}, dict):
         raise ValueError(f"no settings: {args.config}")
     for key, value in (held or {}).items():
+        if key == "grid" and isinstance(value, bool):  # YAML reads on and off so
+            value = "on" if value else "off"
         if key not in SETTINGS:
             raise ValueError(f"unknown setting: {key}")
         if value is None:
@@ -58,6 +63,8 @@ def with_config(args: argparse.Namespace) -> argparse.Namespace:
             raise ValueError(f"setting {key} is no {SETTINGS[key].__name__}")
         if key == "layout" and value not in ("point", "chunk"):
             raise ValueError(f"no layout: {value}")
+        if key == "grid" and value not in GRID:
+            raise ValueError(f"no grid mode: {value}")
         given = getattr(args, key)
         setattr(args, key, given or value if SETTINGS[key] is bool else value if given is None else given)
     return args
@@ -129,7 +136,11 @@ def main(argv: list[str] | None = None) -> int:
     if written:
         sinks.write_mzml(spectra, args.output, traces)
     else:
-        archive.write_archive(spectra, args.output, args.force, traces, _samples(spark, args.sdrf), args.layout or "point", args.chunk_size or 50.0, args.grid)
+        try:
+            archive.write_archive(spectra, args.output, args.force, traces, _samples(spark, args.sdrf), args.layout or "point", args.chunk_size or 50.0, args.grid or "off")
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 1
     return 0
 
 

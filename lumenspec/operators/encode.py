@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenspec.functions.scalar import grid_mz
 from lumenspec.storage import saved
 
+#: Chunks of a row group: some hundreds of thousand points, so that its bounds exclude much.
+GROUP_CHUNKS = 8192
+
 
 def delta_encoded(points: DataFrame, keys: list[str], value: str = "tof", order: str = "ordinal") -> DataFrame:
     """delta: the value less the one before it in its scan; the first of each scan stays absolute."""
@@ -34,6 +38,44 @@ def unchunked(chunks: DataFrame) -> DataFrame:
     return chunks.select("spectrum_index", F.explode(zipped).alias("x")).select("spectrum_index", "x.ordinal", "x.mz", "x.intensity")
 
 
+def tof_chunks(points: DataFrame, c0: float, c1: float, width: float = 50.0) -> DataFrame:
+    """Chunks by m/z range of points that hold lattice indexes (``tof``): bounds in m/z, indexes in rising order, as the file format packs their steps."""
+    mz = grid_mz(F.lit(c0), F.lit(c1), F.col("tof"))
+    bins = points.select("spectrum_index", "ordinal", "tof", "intensity", mz.alias("mz"), F.floor(mz / width).cast("int").alias("chunk_no"))
+    held = bins.groupBy("spectrum_index", "chunk_no").agg(F.min("mz").alias("chunk_start"), F.max("mz").alias("chunk_end"), F.array_sort(F.collect_list(F.struct("tof", "ordinal", "intensity"))).alias("p"))
+    return held.select("spectrum_index", "chunk_no", "chunk_start", "chunk_end", F.col("p.tof").alias("tof_values"), F.col("p.intensity").alias("intensity"), F.col("p.ordinal").alias("ordinals"))
+
+
+def write_chunks(chunks: DataFrame, path: str, rows: int = GROUP_CHUNKS) -> None:
+    """Writes chunks by m/z range and then spectrum, in row groups of so many: the bounds in their statistics are the zone map of a slice."""
+    order = ["chunk_no", "spectrum_index"]
+    chunks.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.row.count.limit", rows).parquet(path)
+
+
+def chunk_slice(chunks: DataFrame, low: float, high: float, values: str = "mz_values", inside: tuple[int, int] | None = None) -> DataFrame:
+    """(spectrum_index, ordinal, value, intensity) of the points in a range of m/z, both ends included.
+
+    Bounds go to the scan, so row groups outside the range are not read.
+    Points are then held against the range itself, or, where ``values`` are
+    lattice indexes, against the range of indexes ``inside``.
+    """
+    # Bounds of lattice chunks are computed: a little slack loses no point, as each is judged by itself.
+    slack = 1e-9 if inside else 0.0
+    near = chunks.where((F.col("chunk_end") >= low * (1 - slack)) & (F.col("chunk_start") <= high * (1 + slack)))
+    zipped = F.arrays_zip(F.col(values).alias("value"), F.col("intensity"), F.col("ordinals").alias("ordinal"))
+    each = near.select("spectrum_index", F.explode(zipped).alias("x")).select("spectrum_index", "x.ordinal", "x.value", "x.intensity")
+    return each.where(F.col("value").between(*(inside or (low, high))))
+
+
+def rising(points: DataFrame) -> DataFrame:
+    """``points`` with ``place``: their order within each spectrum, turned round where the last m/z is below the first. Nothing is sorted by m/z: a profile's axis runs one way or the other."""
+    w = Window.partitionBy("spectrum_index").orderBy("ordinal")
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.row_number().over(w)
+    falls = F.first("mz").over(all_) > F.last("mz").over(all_)
+    return points.withColumn("place", F.when(falls, F.count("*").over(all_) - at).otherwise(at - 1).cast("long"))
+
+
 def scans_of_offsets(frames: DataFrame) -> DataFrame:
     """The scan of each peak from an array of offsets: scan s holds peaks offsets[s] to offsets[s + 1] - 1."""
     spans = F.transform(F.sequence(F.lit(0), F.size("offsets") - 2), lambda s: F.struct(s.alias("scan"), F.element_at("offsets", s + 1).alias("a"), F.element_at("offsets", s + 2).alias("b")))

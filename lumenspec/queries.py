@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from lumenspec.functions import scalar as S
 from lumenspec.functions import text as X
-from lumenspec.operators import calibration, chrom, encode, grid, report, selection, vendor
+from lumenspec.operators import calibration, chrom, encode, frames, grid, report, selection, vendor
 from lumenspec.plans import facets
+from lumenspec.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +129,39 @@ def mz_slice(spark, sf):
     return selection.points_in_range(points(spark, sf), 100.0, 150.0).select("spectrum_index", "ordinal", "mz", "intensity")
 
 
+@query("SELECT spectrum_index, ordinal, mz, intensity FROM points WHERE mz BETWEEN 100 AND 150")
+def chunk_slice(spark, sf):
+    path = new_path(spark, "chunks")
+    encode.write_chunks(encode.chunked(points(spark, sf)), path)
+    return encode.chunk_slice(spark.read.parquet(path), 100.0, 150.0).select("spectrum_index", "ordinal", F.col("value").alias("mz"), "intensity")
+
+
+@query("SELECT spectrum_index, ordinal, tof FROM points WHERE tof BETWEEN ceil((sqrt(100.0) - 9.5) / 0.01) AND floor((sqrt(200.0) - 9.5) / 0.01)")
+def chunk_slice_on_grid(spark, sf):
+    path = new_path(spark, "chunks")
+    encode.write_chunks(encode.tof_chunks(points(spark, sf), 9.5, 0.01), path)
+    inside = selection.index_range(9.5, 0.01, 100.0, 200.0)
+    return encode.chunk_slice(spark.read.parquet(path), 100.0, 200.0, "tof_values", inside).select("spectrum_index", "ordinal", F.col("value").alias("tof"))
+
+
+@query("WITH w AS (SELECT spectrum_index, ordinal, mz, row_number() OVER s AS r, count(*) OVER (PARTITION BY spectrum_index) AS n, first_value(mz) OVER f AS a, last_value(mz) OVER f AS b FROM points WINDOW s AS (PARTITION BY spectrum_index ORDER BY ordinal), f AS (PARTITION BY spectrum_index ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT spectrum_index, ordinal, mz, CASE WHEN a > b THEN n - r ELSE r - 1 END AS place FROM w")
+def descending_profiles(spark, sf):
+    return encode.rising(points(spark, sf)).select("spectrum_index", "ordinal", "mz", "place")
+
+
+@query("SELECT spectrum_index AS frame, scan, tof, CAST(intensity AS BIGINT) AS intensity, row_number() OVER (PARTITION BY spectrum_index ORDER BY scan, tof, intensity) - 1 AS ordinal FROM points")
+def frame_points(spark, sf):
+    flat = points(spark, sf).select(F.col("spectrum_index").alias("frame"), F.col("scan").cast("int").alias("scan"), "tof", "intensity")
+    return frames.frame_points(frames.frame_buffers(flat, 4)).select("frame", "scan", "tof", "intensity", "ordinal")
+
+
+@query("WITH m AS (SELECT spectrum_index AS frame, (9.5 + 0.01 * tof) * (9.5 + 0.01 * tof) AS mz, 1.6 - 0.1 * scan AS mobility, CAST(intensity AS BIGINT) AS intensity, row_number() OVER (PARTITION BY spectrum_index ORDER BY scan, tof, intensity) AS o FROM points) SELECT frame, CAST(mz AS DOUBLE) AS mz, CAST(mobility AS DOUBLE) AS mobility, intensity, row_number() OVER (PARTITION BY frame ORDER BY mz, o) - 1 AS place FROM m")
+def frame_points_by_mass(spark, sf):
+    flat = points(spark, sf).select(F.col("spectrum_index").alias("frame"), F.col("scan").cast("int").alias("scan"), "tof", "intensity")
+    mz = S.grid_mz(F.lit(9.5), F.lit(0.01), F.col("tof"))
+    return frames.by_mass(frames.frame_points(frames.frame_buffers(flat, 4)), mz, F.lit(1.6) - F.lit(0.1) * F.col("scan"))
+
+
 @query("SELECT spectrum_index, ordinal, tof FROM points WHERE tof BETWEEN ceil((sqrt(100.0) - 9.5) / 0.01) AND floor((sqrt(200.0) - 9.5) / 0.01)")
 def mz_slice_on_grid(spark, sf):
     low, high = selection.index_range(9.5, 0.01, 100.0, 200.0)

@@ -115,19 +115,19 @@ def calibration_block(c0: float, c1: float) -> dict:
     return {"model": "sqrt", "formula": "mz = (c0 + c1 * tof_index)^2", "c0": c0, "c1": c1}
 
 
-def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatograms: DataFrame | None = None, extra=None, layout: str = "point", width: float = 50.0, lattice: bool = False) -> None:
+def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatograms: DataFrame | None = None, extra=None, layout: str = "point", width: float = 50.0, lattice: bool | str = "off") -> None:
     """Spectra (the columns of the mzML source) as an archive of metadata and signal, with TIC and BPC of the first level.
 
-    The layout ``chunk`` stores lists for each spectrum and m/z range of ``width``, in m/z order. With ``lattice``, spectra
-    all of whose points lie on a lattice that the run shares go to a facet of lattice indexes, whose m/z come back within
-    its tolerance; where there is no such lattice nothing changes.
+    The layout ``chunk`` stores lists for each spectrum and m/z range of ``width``, in m/z order. With the ``lattice`` auto (or true) or
+    on, spectra all of whose points lie on a lattice that the run shares go to a facet of lattice indexes, whose m/z come
+    back within its tolerance; where there is no such lattice, auto changes nothing and on is an error.
 
     Chromatograms (the columns of the mzML source) of other types follow them.
     ``extra`` gets the writer before it is closed, to add side files.
     """
     from lumenspec.operators import chrom
     from lumenspec.operators import grid
-    from lumenspec.operators.encode import chunked, reindexed
+    from lumenspec.operators.encode import GROUP_CHUNKS, chunked, reindexed
     from lumenspec.plans.facets import N_POINTS
     from lumenspec.sources.mzml import BPC, TIC, TRACES, points
 
@@ -135,7 +135,9 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatogr
     flat = points(read)
     renamed = {"ms_level": "MS_1000511_ms_level"}
     meta = read.select(F.struct(*(F.col(c).alias(renamed.get(c, c)) for c in read.columns if c not in ("mz", "intensity"))).alias("spectrum"))
-    found = grid.fit(grid.sampled(read.select("index"), flat)) if lattice else None
+    found = grid.fit(grid.sampled(read.select("index"), flat)) if lattice not in (False, "off") else None
+    if lattice == "on" and not found:
+        raise ValueError(f"no lattice within {grid.PPM_TOLERANCE} ppm is shared by the spectra; auto keeps their m/z as they are")
     exact, gridded = flat, None
     if found:
         dealt = saved(grid.routed(flat, found.c0, found.c1), "routed")
@@ -171,7 +173,7 @@ def write_archive(spectra: DataFrame, path: str, force: bool = False, chromatogr
     try:
         folder = Path(tempfile.mkdtemp(prefix="facets-"))  # the driver's own: only it makes the archive
         for name, df, order, entity, kind in facets:
-            write_facet(df, str(folder / name), order, leave=("ordinal",))
+            write_facet(df, str(folder / name), order, leave=("ordinal",), **({"rows": GROUP_CHUNKS} if layout == "chunk" and name == "spectra_data.parquet" else {}))
             out.add(name, str(folder / name), entity, kind)
         if extra:
             extra(out)

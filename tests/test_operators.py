@@ -209,3 +209,69 @@ def test_value_at_rank(spark, monkeypatch):
             got = grid.value_at_rank(df, "e", rank)
             assert got == ordered[rank] or (got != got and ordered[rank] != ordered[rank])
         assert grid.value_at_rank(df, "e", len(values)) is None
+
+
+def test_chunk_slice_reads_few_points(spark, tmp_path):
+    """A slice of 20 Th of 1,900 reads under a tenth of the points: row groups are bounded by their chunks' m/z."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    pts = spark.range(60_000).select((F.col("id") % 300).alias("spectrum_index"), F.col("id").alias("ordinal"), (100 + F.pmod(F.xxhash64("id"), F.lit(1900)).cast("double")).alias("mz"), F.lit(1.0).alias("intensity"))
+    path = str(tmp_path / "chunks")
+    encode.write_chunks(encode.chunked(pts), path, rows=200)
+    read = total = 0
+    for file in glob.glob(f"{path}/*.parquet"):
+        f = pq.ParquetFile(file)
+        at = {f.metadata.schema.column(c).path: c for c in range(len(f.metadata.schema))}
+        for g in range(f.metadata.num_row_groups):
+            group = f.metadata.row_group(g)
+            assert group.num_rows <= 200
+            n = len(f.read_row_group(g, columns=["mz_values"])["mz_values"].combine_chunks().flatten())
+            total += n
+            low, high = group.column(at["chunk_start"]).statistics.min, group.column(at["chunk_end"]).statistics.max
+            read += n if high >= 700 and low <= 720 else 0
+    assert total == 60_000 and read < 0.1 * total
+    chunks = spark.read.parquet(path)
+    got = {(r["spectrum_index"], r["ordinal"], r["value"]) for r in encode.chunk_slice(chunks, 700.0, 720.0).collect()}
+    assert got == {(r["spectrum_index"], r["ordinal"], r["mz"]) for r in pts.where("mz between 700 and 720").collect()}
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = encode.chunk_slice(spark.read.parquet(path), 700.0, 720.0)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(chunk_end,700.0)" in plan and "LessThanOrEqual(chunk_start,720.0)" in plan
+
+
+def test_lattice_chunks_of_a_falling_axis(spark):
+    rows = [(0, i, k, float(k)) for i, k in enumerate(range(100, 400, 3))]
+    pts = spark.createDataFrame(rows, "spectrum_index long, ordinal long, tof int, intensity double")
+    chunks = encode.tof_chunks(pts, 40.0, -0.05, 25.0)
+    assert chunks.where("chunk_start > chunk_end").count() == 0
+    inside = (150, 250)
+    low, high = ((40 - 0.05 * k) ** 2 for k in (250, 150))
+    got = sorted(r["value"] for r in encode.chunk_slice(chunks, low, high, "tof_values", inside).collect())
+    assert got == [k for _, _, k, _ in rows if 150 <= k <= 250]
+
+
+def test_frame_buffers(spark):
+    import numpy as np
+
+    from lumenspec.functions.binary import scan_buffer
+    from lumenspec.operators import frames
+
+    scan, tof, intensity = scan_buffer(np.array([2, 0, 1, 7, 9, 70, 90, 5, 50]), 3)
+    assert (scan.tolist(), tof.tolist(), intensity.tolist()) == ([0, 0, 2], [7, 9, 5], [70, 90, 50])
+    for words, scans in (([2, 0], 3), ([2, 1, 2, 3], 1), ([1, 4, 5, 6], 1), ([-1, 3], 1), ([], -1)):
+        with pytest.raises(ValueError):
+            scan_buffer(np.array(words), scans)
+    held = spark.createDataFrame([(1, 3, [2, 0, 1, 7, 9, 70, 90, 5, 50]), (2, 2, [0, 0]), (3, 1, None)], "frame long, scans int, words array<int>")
+    got = frames.frame_points(held)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, 7, 70), (1, 1, 0, 9, 90), (1, 2, 2, 5, 50)]
+    by = frames.by_mass(got, scalar.grid_mz(F.lit(1.0), F.lit(1.0), F.col("tof")), 1.0 - F.col("scan") / 10).orderBy("place").collect()
+    assert [(r["mz"], r["mobility"], r["intensity"]) for r in by] == [(36.0, 0.8, 50), (64.0, 1.0, 70), (100.0, 1.0, 90)]
+    with pytest.raises(Exception, match="frame 4"):
+        frames.frame_points(spark.createDataFrame([(4, 2, [1, 1, 3])], "frame long, scans int, words array<int>")).collect()
+
+
+def test_rising_order(spark):
+    rows = [(0, 0, 9.0), (0, 1, 5.0), (0, 2, 1.0), (1, 4, 2.0), (1, 7, 3.0), (2, 0, 4.0)]
+    got = encode.rising(spark.createDataFrame(rows, "spectrum_index long, ordinal long, mz double")).collect()
+    assert {(r["spectrum_index"], r["mz"]): r["place"] for r in got} == {(0, 1.0): 0, (0, 5.0): 1, (0, 9.0): 2, (1, 2.0): 0, (1, 3.0): 1, (2, 4.0): 0}

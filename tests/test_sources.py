@@ -513,3 +513,27 @@ def test_facets_are_encoded_in_tasks(spark, tmp_path):
     assert spark.read.parquet(file).agg(F.sum("point.spectrum_index")).first()[0] == sum(range(50_000))
     archive.write_facet(df.where("false"), file, ["ordinal"])
     assert pq.ParquetFile(file).metadata.num_rows == 0
+
+
+def test_grid_modes(spark, tmp_path, monkeypatch):
+    """off stores m/z, auto falls back to it where no lattice is shared, on fails there and writes nothing."""
+    from lumenspec import cli, session
+    from lumenspec.sources import members
+
+    monkeypatch.setattr(session, "session", lambda: spark)
+    none = (None,) * 4  # no precursor
+    k = [100_000 + 3 * i if i % 7 == 0 else 100_000 + 3 * (i - 1) + 1 for i in range(300)]
+    on_grid = [(17.32 + 1.6e-5 * x) ** 2 for x in sorted(set(k))]
+    drift = [400 + 0.31 * i + 0.0007 * i * i + (i * 7919 % 101) * 1e-4 for i in range(300)]
+
+    def run(masses, mode):
+        df = spark.createDataFrame([(i, f"s{i}", i / 10, 1, "positive", "Profile", *none, masses, [1.0] * len(masses)) for i in range(4)], mzml.SCHEMA)
+        sinks.write_mzml(df, str(tmp_path / "in.mzML"))
+        target = str(tmp_path / f"{len(list(tmp_path.iterdir()))}.zip")
+        code = cli.main([str(tmp_path / "in.mzML"), "-o", target, "--no-chromatograms", f"--grid={mode}"])
+        return code, set(members.members(target)) if code == 0 else (tmp_path / target).exists()
+
+    assert run(drift, "off")[0] == 0 and "spectra_grid.parquet" not in run(on_grid, "off")[1]
+    assert run(drift, "auto") == (0, run(drift, "off")[1])
+    assert "spectra_grid.parquet" in run(on_grid, "auto")[1] and "spectra_grid.parquet" in run(on_grid, "on")[1]
+    assert run(drift, "on") == (1, False)
