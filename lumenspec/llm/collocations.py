@@ -23,14 +23,14 @@ from lumenspec.llm.common import few, saved, shared_dir, ship
 
 #: Words in a phrase at most: the depth of the tree.
 DEPTH = 3
-#: Suffixes that a group's prefixes begin, at most: some 100 MB in a task.
-BUDGET = 500_000
+#: Suffixes that a group's prefixes begin, at most: some 50 MB in a task.
+BUDGET = 250_000
 #: Groups that all suffixes are dealt to at least, so that a cluster's cores share them and no frequent word holds up a task, as long as they begin so many suffixes each.
-PARTS, LEAST = 200, 10_000
-#: Bytes of plain words that a task holds before it hands on their counts: about a million words.
-HELD = 6 << 20
+PARTS, LEAST = 400, 10_000
+#: Bytes of plain words that a task holds before it hands on their counts: about half a million words.
+HELD = 3 << 20
 #: Rows of a batch that a task hands on.
-ROWS = 200_000
+ROWS = 100_000
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 20
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -101,6 +101,7 @@ def suffixes(batches, depth: int = DEPTH):
         while sum(s.held for s in streams.values()) > 2 * HELD:  # many languages with few words each
             lang = max(streams, key=lambda x: streams[x].held)
             yield (lang, *streams.pop(lang).flush(last=True))
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
     for lang, stream in streams.items():
         yield (lang, *stream.flush(last=True))
 
@@ -190,6 +191,7 @@ def _subtree(min_count: int, hot1: dict, hot2: dict):
         pairs = pairs.filter(pc.greater_equal(pairs["f2"], min_count)).join(_known(words, inner[:2], "f1", hot1), inner[:2])
         often = leaves.filter(pc.and_(pc.not_equal(leaves["w3"], ""), pc.greater_equal(leaves["a"], min_count)))
         out = [*leaf, "a", "f1", "f2"]
+        pa.default_memory_pool().release_unused()
         two = pairs.append_column("w3", pa.repeat(pa.scalar(""), len(pairs))).append_column("a", pairs["f2"])
         return pa.concat_tables([two.select(out), often.join(pairs, inner).select(out)])
 
