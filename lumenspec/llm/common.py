@@ -6,16 +6,19 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Rows of a few bytes that are broadcast at most; beyond, they are joined by shuffle.
 FEW_KEYS = 500_000
+#: Code points of a block of a text.
+BLOCK = 4096
 #: Rows of an Arrow batch: at 2 KB a text, a few MB for each worker and each task.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
@@ -25,6 +28,24 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks(text: Column) -> Column:
+    """A text as an array of BLOCK code points each, so that cut() needn't count from the text's beginning."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text from its blocks()."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    held = F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(held, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+
 def ship(module: str) -> None:
     """Send the functions of a module to executors by value, so executors need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

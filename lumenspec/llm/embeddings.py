@@ -171,11 +171,16 @@ def candidates(nodes: DataFrame, threshold: float, passes: int = PASSES, window:
     return rows.where("a is not null").select("a", "b").unionByName(near.groupBy("border").applyInPandas(_across(threshold - SLACK, window), "a long, b long"))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between a half and 1, so that no square overflows or vanishes; cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _exact(threshold: float):
     """Links among the members of each group in a task, counted with copies, and a forest of them."""
 
     def pairs(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> list[pd.DataFrame]:
-        x, y = (np.stack(t["v"].to_numpy()).astype(np.float64) for t in (a, b))
+        x, y = (_scaled(np.stack(t["v"].to_numpy()).astype(np.float64)) for t in (a, b))
         near = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]) >= threshold
         if same:
             np.fill_diagonal(near, False)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -203,6 +204,30 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_extreme_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [5.0, 0.0]), (6, [0.0, 1e-320]), (7, [1e-300, 1e200]), (8, [1.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 8: (2, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (1, 6), 7: (1, 6)}
+
+
+def test_lines_of_long_texts(spark):
+    """Time follows the number of lines of one text, and rows that share an id but not a text lose their own lines."""
+    own = lambda k, n: "\n".join(f"line {j} of {'many' if j % 2 else k} with enough characters to count" for j in range(n))
+    took = []
+    for n in (50_000, 200_000):
+        rows = spark.createDataFrame([(k, own(k, n)) for k in range(5)], "doc_id long, text string").repartition(5)
+        start = time.monotonic()
+        got = {r["doc_id"]: r for r in linededup.dedup_lines(rows).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256) h").collect()}
+        took.append(time.monotonic() - start)
+        assert [got[k]["n_dropped"] for k in range(5)] == [n // 2] * 4 + [0]
+        assert got[0]["h"] == hashlib.sha256("\n".join(own(0, n).split("\n")[::2]).encode()).hexdigest()
+    assert took[1] < 8 * took[0]
+    line = "a line that stands in five documents, long enough"
+    rows = [(1, f"{line}\nx"), (1, f"x\ny\n{line}")] + [(k, line) for k in range(2, 6)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, "x"), (1, "x\ny"), (2, ""), (3, ""), (4, ""), (5, line)]
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     r = np.random.default_rng(6)
