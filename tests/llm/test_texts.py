@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import sys
+import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -408,6 +410,25 @@ def test_layer_against_brute_force():
     assert all(secrets.scan(prose(200, k))[1] == [] for k in range(20))
 
 
+@pytest.mark.parametrize("nested", ["%" + "25" * 500_000 + "3D", "\\u005c" + "u005c" * 200_000 + "u003d", "%5C" + "u00255C" * 140_000 + "u003d", "\\x5c" + "x5c" * 330_000 + "x3d"], ids=["url", "unicode", "both", "hex"])
+def test_nested_escapes_in_linear_memory(nested):
+    text = f"é token{nested}Zz12345678 end"
+    tracemalloc.start()
+    start = time.monotonic()
+    base, spans = secrets.scan(text)
+    took, peak = time.monotonic() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ("assign", 2, len(text) - 4) in spans and not any(k == "assign" for k, _, _ in base)
+    assert peak < 500e6 and took < 60  # tracing slows it down several times
+
+
+def test_settled_escapes():
+    for text, want in [("%2541", "A"), ("%%34%31", "A"), ("a%25C3%25A9 b", "aé b"), ("\\u{5c}x41 \\u005cu{1F600}", "A \U0001f600"), ("%FFz%", "\udcffz%"), ("%5Cu00253D", "=")]:
+        new, starts, ends = secrets._settled(text)
+        assert new == want and starts[0] == 0 and ends[-1] == len(text) and list(starts[1:]) == list(ends[:-1])
+    assert secrets._settled("no escape % here \\u12") is None
+
+
 def test_cycle_in_a_large_table(spark):
     """A leaf that hangs on a cycle is followed no further than its tree is large."""
     rows = [(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0), (1, 3, 2, "user", "leaf", 0.0), (3, 1, None, "user", "root", 0.0), (3, 2, 1, "assistant", "leaf", 0.0)]
