@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lumenspec.llm.common import saved, shared_dir
+from lumenspec.llm.common import blocks, cut, let, saved, shared_dir
 
 OPEN, SHUT, END = "<turn ", ">", "</turn>\n"
 #: Escapes; every backslash of an escaped text begins one, and the backslash's own comes first when escaping, last when undoing.
@@ -78,21 +77,16 @@ def format_trees(nodes: DataFrame, top: int = 1, learn_from: str = "assistant")
     scored = way.join(one.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= top)
     rows = way.join(best, ["tree", "leaf"]).join(one.select("tree", "node", "role", "text"), ["tree", "node"])
-    turn = F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    held = rows.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(SHUT)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == learn_from).alias("learn")))
-    held = held.withColumn("parts", parts).drop("turns")
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(T.ArrayType(span)).alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + F.length(p["head"])
-        b = a + F.length(p["body"])
-        spans = F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))))).otherwise(acc["spans"])
-        return F.struct((b + len(END)).cast("long").alias("at"), spans.alias("spans"))
-
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return held.select("tree", "leaf", "rank", "score", whole.alias("formatted"), F.aggregate("parts", start, step, lambda x: x["spans"]).alias("loss"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    parts = rows.select("tree", "leaf", "rank", "score", "up", F.concat(F.lit(OPEN), escaped(role), F.lit(SHUT)).alias("head"), escaped(text).alias("body"), (role == learn_from).alias("learn"))
+    # Where a turn ends in the whole text is a running sum; window and grouping share one shuffle.
+    so_far = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shut = F.sum(F.length("head") + F.length("body") + len(END)).over(so_far) - len(END)
+    placed = parts.withColumn("end", shut.cast("long")).withColumn("start", F.col("end") - F.length("body"))
+    turn = F.struct((-F.col("up")).alias("at"), F.concat("head", "body", F.lit(END)).alias("said"), "learn", "start", "end")
+    held = placed.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    loss = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return held.select("tree", "leaf", "rank", "score", F.array_join("turns.said", "").alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -103,5 +97,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         head = F.position(F.lit(SHUT), x)
         return F.struct(unescaped(F.substring(x, F.lit(len(OPEN) + 1), head - len(OPEN) - 1)).alias("role"), unescaped(F.substring(x, head + 1, F.length(x))).alias("text"))
 
-    learned = F.array_join(F.transform("loss", lambda s: unescaped(F.substring("formatted", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
+    learned = let(blocks(F.col("formatted")), lambda b: F.array_join(F.transform("loss", lambda x: unescaped(cut(b, x["start"], x["end"]))), ""))
     return formatted.withColumn("turns", F.transform(pieces, turn)).withColumn("learned", learned)

@@ -410,6 +410,19 @@ def test_layer_against_brute_force():
     assert all(secrets.scan(prose(200, k))[1] == [] for k in range(20))
 
 
+def test_long_conversation_in_linear_time(spark):
+    """Time follows the turns of a path, when formatting and when reading back."""
+    took = []
+    for n in (20_000, 80_000):
+        rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('<turn> é ', id, repeat(' word', 10)) text")
+        start = time.monotonic()
+        got = chat.read_back(chat.format_trees(chat.chain(rows))).selectExpr("size(turns) n", "size(loss) k", "sha2(learned, 256) h", "turns[1].text said").first()
+        took.append(time.monotonic() - start)
+        want = "".join(f"<turn> é {k}{' word' * 10}" for k in range(1, n, 2))
+        assert (got["n"], got["k"], got["h"]) == (n, n // 2, hashlib.sha256(want.encode()).hexdigest()) and got["said"].startswith("<turn> é 1 word")
+    assert took[1] < 6 * took[0]
+
+
 @pytest.mark.parametrize("nested", ["%" + "25" * 500_000 + "3D", "\\u005c" + "u005c" * 200_000 + "u003d", "%5C" + "u00255C" * 140_000 + "u003d", "\\x5c" + "x5c" * 330_000 + "x3d"], ids=["url", "unicode", "both", "hex"])
 def test_nested_escapes_in_linear_memory(nested):
     text = f"é token{nested}Zz12345678 end"
