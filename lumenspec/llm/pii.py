@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspec.llm.common import few, saved, shared_dir
+from lumenspec.llm.common import blocks, cut, few, let, saved, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns with possessive loops, so that no text makes the matcher recurse or retry; what needs counting is checked after.
@@ -36,22 +36,42 @@ LOOSE_NEEDS = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9][.:-][0-9]", "card": r"
 ROUNDS, SEEDS, TRUST, ACCEPT = 3, 3, 0.8, 0.9
 #: Characters on each side of an instance in which its context words are looked for.
 AROUND = 64
+#: Values that running() goes through at a time, and a place beyond every text.
+STEP, FAR = 256, 1 << 40
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("m", T.StringType())]))
 
 
+def running(values: Column, start: int, combine) -> Column:
+    """An array's running values under an associative ``combine``, from ``start`` on.
+
+    Steps of STEP values are run through by themselves, then their last values, so that what a step copies stays short.
+    """
+    longs = F.array().cast(T.ArrayType(T.LongType()))
+    first = F.array(F.lit(start).cast("long"))
+
+    def scan(v: Column) -> Column:
+        return F.aggregate(v, first, lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def steps(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda i: scan(F.slice(v, i * STEP + 1, F.lit(STEP))))
+
+    def joined(runs: Column) -> Column:
+        heads = F.slice(scan(F.transform(runs, lambda r: F.element_at(r, -1))), F.lit(1), F.size(runs))
+        return F.flatten(F.zip_with(runs, heads, lambda r, h: F.transform(F.slice(r, F.lit(2), F.lit(STEP)), lambda x: combine(h, x))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, longs).otherwise(let(steps(v), joined)))
+
+
 def matches(text: Column, pattern: str, needs: str) -> Column:
     """All matches (start, end, m) of a pattern in code points: the pieces between them tell where they lie."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["m"])
-        return F.struct(b.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), x["m"].alias("m")))).alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(gaps, found, lambda p, m: (F.length(p) + F.length(m)).cast("long")), 0, lambda a, b: a + b)
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("m")))
 
-    return F.when(text.rlike(needs), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(needs), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _digits(m: Column) -> Column:
@@ -102,19 +122,45 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base", F.array_sort(F.concat(*kinds))).drop(*(f"_{k}" for k in KINDS))
 
 
-def _context(text: Column, x: Column) -> list[Column]:
+def _context(parts: Column, x: Column) -> Column:
     """Lexical patterns of an instance: the word before, the two words before, the word after."""
-    left = F.lower(F.substring(text, F.greatest(x["start"] - AROUND, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(AROUND)).cast("int")))
-    right = F.lower(F.substring(text, x["end"].cast("int") + 1, F.lit(AROUND)))
-    before = F.regexp_extract(left, r"(\S+)\s*$", 1)
-    two = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
-    after = F.regexp_extract(right, r"^\s*(\S+)", 1)
-    return [F.when(v != "", F.concat(F.lit(f"{n}:"), F.regexp_replace(v, r"\s+", " "))) for n, v in (("before", before), ("two before", two), ("after", after))]
 
+    def named(name: str, side: Column, pattern: str) -> Column:
+        word = F.regexp_extract(side, pattern, 1)
+        return F.when(word != "", F.concat(F.lit(f"{name}:"), F.regexp_replace(word, r"\s+", " ")))
+
+    left = F.lower(cut(parts, F.greatest(x["start"] - AROUND, F.lit(0)), x["start"]))
+    right = F.lower(cut(parts, x["end"], x["end"] + AROUND))
+    before = let(left, lambda v: F.array(named("before", v, r"(\S+)\s*$"), named("two before", v, r"(\S+\s+\S+)\s*$")))
+    return F.array_compact(F.concat(before, F.array(named("after", right, r"^\s*(\S+)"))))
+
+
+def _sown(spans: Column, seed: bool) -> Column:
+    return F.transform(spans, lambda x: F.struct(x.alias("x"), F.lit(seed).alias("seed")))
+
+
+def _seen(parts: Column, x: Column, seed: Column) -> Column:
+    return F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["m"]).alias("name"), seed.alias("seed"), _context(parts, x).alias("patterns"))
+
+
+def _free(base: Column, loose: Column) -> Column:
+    """The spans of ``loose`` that share no place with one of ``base``.
+
+    In the order of starts, the largest end of the base spans up to a candidate and the first start beyond it decide.
+    """
+
+    def marked(spans: Column, candidate: bool) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(candidate).alias("candidate"), x.alias("x")))
+
+    def kept(marks: Column) -> Column:
+        latest = running(F.transform(marks, lambda y: F.when(y["candidate"], 0).otherwise(y["x"]["end"])), 0, F.greatest)
+        ahead = F.transform(F.reverse(marks), lambda y: F.when(y["candidate"], FAR).otherwise(y["start"]))
+        near = F.zip_with(latest, F.reverse(running(ahead, FAR, F.least)), lambda a, b: F.struct(a.alias("latest"), b.alias("next")))
+        free = lambda y, n: y["candidate"] & (n["latest"] <= y["start"]) & (n["next"] >= y["x"]["end"])
+        return F.array_compact(F.zip_with(marks, near, lambda y, n: F.when(free(y, n), y["x"])))
 
-def _seen(text: Column, x: Column, seed: Column) -> Column:
-    patterns = F.array_compact(F.array(*_context(text, x)))
-    return F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["m"]).alias("name"), seed.alias("seed"), patterns.alias("patterns"))
+    both = let(F.array_sort(F.concat(marked(base, False), marked(loose, True))), kept)
+    return F.when((F.size(base) == 0) | (F.size(loose) == 0), loose).otherwise(both)
 
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -123,11 +169,10 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     out = base_spans(docs, text)
     for k in KINDS:
         out = out.withColumn(f"_{k}", matches(t, LOOSE[k], LOOSE_NEEDS[k]))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    loose = F.concat(*(_ranked(F.filter(f"_{k}", free), r) for r, k in enumerate(KINDS)))
-    both = F.concat(F.transform("base", lambda x: F.struct(x.alias("x"), F.lit(True).alias("seed"))), F.transform(loose, lambda x: F.struct(x.alias("x"), F.lit(False).alias("seed"))))
-    seen = F.transform(both, lambda y: _seen(t, y["x"], y["seed"]))
-    return out.withColumn("seen", seen).drop(*(f"_{k}" for k in KINDS))
+    out = out.withColumn("_loose", F.concat(*(_ranked(F.col(f"_{k}"), r) for r, k in enumerate(KINDS)))).withColumn("_loose", _free(F.col("base"), F.col("_loose")))
+    out = out.withColumn("_both", F.concat(_sown(F.col("base"), True), _sown(F.col("_loose"), False)))
+    found = F.when(F.size("_both") > 0, let(blocks(t), lambda parts: F.transform("_both", lambda y: _seen(parts, y["x"], y["seed"]))))
+    return out.withColumn("seen", found).drop("_loose", "_both", *(f"_{k}" for k in KINDS))
 
 
 def bootstrap(seen: DataFrame) -> DataFrame:
@@ -166,4 +211,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     good = few(bootstrap(each.select("rank", "name", "seed", F.explode("patterns").alias("pattern"))).checkpoint())
     more = each.where("not seed").join(good, ["rank", "name"]).groupBy("id", "h").agg(F.collect_set(F.struct("start", "rank", "end")).alias("more"))
     met = rows.drop("seen").alias("r").join(more.alias("m"), F.col("r.id").eqNullSafe(F.col("m.id")) & (F.col("r.h") == F.col("m.h")), "left")
-    return met.select(F.col("r.id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.array_union("base", "more"))).alias("spans"))
+    return met.select(F.col("r.id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))

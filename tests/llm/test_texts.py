@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import sys
@@ -191,6 +192,47 @@ def test_bootstrapping(spark):
     assert more[50] == 1 and more[51] == 0 and more[None] == 1 and all(set(r["base"]) <= set(r["spans"]) for r in got)
 
 
+def test_running_values(spark, monkeypatch):
+    monkeypatch.setattr(pii, "STEP", 4)
+    r = random.Random(3)
+    rows = [(k, [r.randrange(-50, 50) for _ in range(k)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, v array<bigint>")
+    got = df.select("k", "v", pii.running(F.col("v"), 0, lambda a, b: a + b).alias("total"), pii.running(F.col("v"), -9, F.greatest).alias("most")).collect()
+    for x in got:
+        assert x["total"] == list(itertools.accumulate(x["v"])) and x["most"] == list(itertools.accumulate(x["v"], max, initial=-9))[1:]
+
+
+def test_candidates_lie_beside_base_spans(spark, monkeypatch):
+    monkeypatch.setattr(pii, "STEP", 3)
+    r = random.Random(5)
+    al = ["1.2.3.4", "5:6:7:8", "x@y.zz", "u [at] v.ww", "+1 555 010 9999", "555 010 9999", "4532015112830366", "4532-0151-1283-0366", " ", " say ", ".", "@", "\U0001f600"]
+    texts = ["".join(r.choice(al) for _ in range(r.randrange(40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = lambda m, n: (m.start(), n, m.end())
+    for x in pii.occurrences(df).collect():
+        base = [(b["start"], b["end"]) for b in x["base"]]
+        every = [spans(m, n) for n, k in enumerate(pii.KINDS) for m in re.finditer(pii.LOOSE[k], x["text"])]
+        want = sorted(c for c in every if not any(a < c[2] and c[0] < b for a, b in base))
+        seen = x["seen"] or []
+        assert sorted((y["start"], y["rank"], y["end"]) for y in seen if not y["seed"]) == want, x["text"]
+        for y in seen:
+            left = re.search(r"(\S+)\s*$", x["text"][max(0, y["start"] - pii.AROUND) : y["start"]])
+            assert [p[7:] for p in y["patterns"] if p.startswith("before:")] == ([left[1].lower()] if left else [])
+
+
+def test_many_matches_in_linear_time(spark):
+    """Base spans, candidates and their contexts of one text: time follows their number."""
+    took = []
+    for n in (25_000, 100_000):
+        text = "".join(f"call u{k}@ex.org or 10:0:{k % 250}:7 now; " for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.monotonic()
+        got = pii.occurrences(df).selectExpr("size(base) n", "size(seen) k", "base[size(base) - 1].start at", "seen[size(seen) - 1].patterns p").first()
+        took.append(time.monotonic() - start)
+        assert (got["n"], got["k"], got["at"]) == (n, 2 * n, text.rindex("u")) and got["p"] == ["before:or", f"two before:u{n - 1}@ex.org or", "after:now;"]
+    assert took[1] < 6 * took[0], took
+
+
 def test_native_plans(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (pii.find_pii(docs), chat.format_trees(chat.chain(spark.read.parquet(f"{SF}/conversations.parquet")))):
