@@ -23,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--drop", action="append", default=[], help="glob of members to drop")
     p.add_argument("--no-vendor", action="store_true", help="drop the vendor's side files of an archive")
     p.add_argument("--sdrf", help="a table of samples and data files to put into a new archive")
+    p.add_argument("--image", action="append", default=[], help="an optical image to put into a new archive; one beside an imzML file is found by its name")
+    p.add_argument("--mobility-table", action="store_true", help="write what the scans of a TDF folder stand for as CSV, read from its side tables only")
     p.add_argument("--layout", choices=("point", "chunk"), help="of the signal in a new archive")
     p.add_argument("--chunk-size", type=float, help="m/z range of a chunk")
     p.add_argument("--grid", nargs="?", const="auto", choices=GRID, help="store spectra on a shared lattice by their indexes; on: fail where there is none")
@@ -70,6 +72,46 @@ def with_config(args: argparse.Namespace) -> argparse.Namespace:
     return args
 
 
+def _mobility(args) -> int:
+    from pathlib import Path
+
+    from lumenspec.operators import mobility
+    from lumenspec.session import session
+    from lumenspec.sources import sidetables, sqlite
+
+    file, meta = str(Path(args.input) / "analysis.tdf"), sqlite.global_metadata(args.input) or {}
+    if not args.output or not Path(file).exists() or "OneOverK0AcqRangeLower" not in meta:
+        print("a mobility table needs a TDF folder with its range, and an output", file=sys.stderr)
+        return 1
+    spark, columns = session(), "id long, model_type int, " + ", ".join(f"c{k} double" for k in (0, 1, 2, 3, 6, 7))
+    models = None
+    if "TimsCalibration" in sqlite.tables(file):
+        stored = columns.replace("id ", "Id ").replace("model_type", "ModelType").replace("c", "C")
+        models = sqlite.read(spark, file, "TimsCalibration", stored).toDF(*(c.split()[0] for c in columns.split(", ")))
+    low, high = (float(meta[f"OneOverK0AcqRange{end}"]) for end in ("Lower", "Upper"))
+    frames = sidetables.frame_table(spark, file)
+    if frames is None:
+        print("no table of frames", file=sys.stderr)
+        return 1
+    mobility.write_table(mobility.mobility_table(frames, low, high, models), args.output, args.force)
+    return 0
+
+
+def _side(spark, args, kind: str):
+    """What puts a table of samples and optical images into an archive."""
+    from lumenspec.sources.sinks import discovered_image, embed_images, pixel_grid
+
+    samples = _samples(spark, args.sdrf)
+    found = discovered_image(args.input) if kind == "imzml" else None
+
+    def add(out):
+        if samples:
+            samples(out)
+        embed_images(out, args.image, [found] if found else [], pixel_grid(args.input) if kind == "imzml" else None)
+
+    return add
+
+
 def _samples(spark, file: str | None):
     """What puts a table of samples into an archive, or nothing."""
     if not file:
@@ -90,6 +132,8 @@ def main(argv: list[str] | None = None) -> int:
         args = with_config(args)
         if args.chunk_size is not None and not args.chunk_size > 0:
             raise ValueError("a chunk's range is positive")
+        if args.mobility_table:
+            return _mobility(args)
         kind = guard(args.input)
     except UnsupportedFormat as e:
         print(e, file=sys.stderr)
@@ -103,8 +147,8 @@ def main(argv: list[str] | None = None) -> int:
     if kind != "archive" and (args.rt or args.ms_level or args.drop or args.no_vendor):
         print("these filters are for archives", file=sys.stderr)
         return 1
-    if args.sdrf and (kind == "archive" or not args.output or args.output.lower().endswith(".mzml")):
-        print("a table of samples goes into a new archive", file=sys.stderr)
+    if (args.sdrf or args.image) and (kind == "archive" or not args.output or args.output.lower().endswith(".mzml")):
+        print("a table of samples and images go into a new archive", file=sys.stderr)
         return 1
     drop = (*args.drop, "vendor*") if args.no_vendor else tuple(args.drop)
     spark = session()
@@ -137,7 +181,7 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_mzml(spectra, args.output, traces)
     else:
         try:
-            archive.write_archive(spectra, args.output, args.force, traces, _samples(spark, args.sdrf), args.layout or "point", args.chunk_size or 50.0, args.grid or "off")
+            archive.write_archive(spectra, args.output, args.force, traces, _side(spark, args, kind), args.layout or "point", args.chunk_size or 50.0, args.grid or "off")
         except ValueError as e:
             print(e, file=sys.stderr)
             return 1

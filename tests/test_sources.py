@@ -537,3 +537,109 @@ def test_grid_modes(spark, tmp_path, monkeypatch):
     assert run(drift, "auto") == (0, run(drift, "off")[1])
     assert "spectra_grid.parquet" in run(on_grid, "auto")[1] and "spectra_grid.parquet" in run(on_grid, "on")[1]
     assert run(drift, "on") == (1, False)
+
+
+# --- side tables and images
+
+
+def side_file(path, tables):
+    import sqlite3
+
+    db = sqlite3.connect(path)
+    for name, (columns, rows) in tables.items():
+        db.execute(f"CREATE TABLE {name} ({columns})")
+        db.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(columns.split(',')))})", rows)
+    db.commit()
+    db.close()
+    return str(path)
+
+
+DDA = ("Frame INT, ScanNumBegin INT, ScanNumEnd INT, IsolationMz REAL, IsolationWidth REAL, CollisionEnergy REAL, Precursor INT", [(2, -3, 10, 500.0, 2.0, 20.0, 1), (2, 11, 20, 600.0, 2.0, 25.0, 99), (3, 0, 5, 700.0, 3.0, 30.0, None)])
+PRECURSORS = ("Id INT, MonoisotopicMz REAL, AverageMz REAL, Charge INT, Intensity REAL", [(1, 499.5, 500.1, 2, 1e4)])
+
+
+def test_isolation_windows(spark, tmp_path, monkeypatch):
+    from lumenspec.sources import sidetables, sqlite
+
+    monkeypatch.setattr(sqlite, "ROWS", 2)
+    got = sidetables.isolation_windows(spark, side_file(tmp_path / "a", {"PasefFrameMsMsInfo": DDA, "Precursors": PRECURSORS})).orderBy("frame", "scan_begin").collect()
+    assert [(r["frame"], r["scan_begin"], r["isolation_mz"], r["mono_mz"], r["charge"]) for r in got] == [(2, 0, 500.0, 499.5, 2), (2, 11, 600.0, None, None), (3, 0, 700.0, None, None)]
+    dia = {"DiaFrameMsMsInfo": ("Frame INT, WindowGroup INT", [(2, 7), (4, 7), (5, 8)]), "DiaFrameMsMsWindows": ("WindowGroup INT, " + DDA[0][11:-15], [(7, 0, 9, 400.0, 25.0, 10.0), (7, 10, 19, 425.0, 25.0, 11.0)])}
+    got = sidetables.isolation_windows(spark, side_file(tmp_path / "b", dia)).orderBy("frame", "scan_begin").collect()
+    assert [(r["frame"], r["isolation_mz"], r["charge"]) for r in got] == [(2, 400.0, None), (2, 425.0, None), (4, 400.0, None), (4, 425.0, None)]
+    assert sidetables.isolation_windows(spark, side_file(tmp_path / "c", {"PrmFrameMsMsInfo": DDA, "Precursors": PRECURSORS})) is None
+    assert sidetables.isolation_windows(spark, side_file(tmp_path / "d", {"PasefFrameMsMsInfo": (DDA[0], []), "Precursors": PRECURSORS})).count() == 0
+
+
+FRAMES = ("Id INT, NumPeaks INT, NumScans INT, Time REAL, MsMsType INT, Polarity TEXT", [(1, 5, 3, 0.5, 0, "+"), (2, -1, 4, 0.7, 8, "-")])
+
+
+def test_frame_table_is_dropped_if_rows_differ(spark, tmp_path):
+    from lumenspec.sources import sidetables
+
+    file = side_file(tmp_path / "a", {"Frames": FRAMES})
+    rows = sidetables.frame_table(spark, file, 2).orderBy("frame").collect()
+    assert [(r["n_points"], r["ms_level"], r["polarity"]) for r in rows] == [(5, 1, "Positive"), (0, 2, "Negative")]
+    assert sidetables.frame_table(spark, file, 3) is None and sidetables.frame_table(spark, side_file(tmp_path / "b", {"Other": FRAMES})) is None
+
+
+def test_line_spectra_tables(spark, tmp_path):
+    from lumenspec.sources import sidetables
+
+    columns, keys = "Id INT, Rt REAL, AcquisitionKey INT, LineMzId INT, LineIntensityId INT, ProfileMzId INT, ProfileIntensityId INT", "Id INT, MsLevel INT, Polarity INT"
+    good = {"Spectra": (columns, [(1, None, 1, 10, 11, None, None), (2, 3.0, 2, None, None, 20, 21)]), "AcquisitionKeys": (keys, [(1, 0, 0), (2, 1, 1)])}
+    rows = sidetables.line_spectra(spark, side_file(tmp_path / "a", good)).orderBy("index").collect()
+    assert [(r["time"], r["ms_level"], r["polarity"], r["continuity"], r["profile_mz"]) for r in rows] == [(0.0, 1, "Positive", "Centroid", None), (3.0, 2, "Negative", "Profile", 20)]
+    for k, bad in enumerate(((1, 1.0, 9, 10, 11, None, None), (1, 1.0, 1, 0, 11, None, None), (1, 1.0, 1, None, None, 5, None), (1, 1.0, 1, None, None, -5, 6), (1, 1.0, 3, 10, 11, None, None))):
+        df = sidetables.line_spectra(spark, side_file(tmp_path / f"b{k}", {"Spectra": (columns, [bad]), "AcquisitionKeys": (keys, [(1, 0, 0), (3, None, 0)])}))
+        with pytest.raises(Exception, match="damaged|without acquisition key"):
+            df.collect()
+    with pytest.raises(ValueError, match="twice"):
+        sidetables.line_spectra(spark, side_file(tmp_path / "c", {"Spectra": good["Spectra"], "AcquisitionKeys": (keys, [(1, 0, 0), (1, 1, 0)])}))
+
+
+def test_mobility_table(spark, tmp_path):
+    from lumenspec import cli
+    from lumenspec.operators import mobility
+
+    calibration = ("Id INT, ModelType INT, C0 REAL, C1 REAL, C2 REAL, C3 REAL, C6 REAL, C7 REAL", [(1, 2, 0.0, 4.0, 200.0, 40.0, 0.5, 0.1)])
+    meta = ("Key TEXT, Value TEXT", [("OneOverK0AcqRangeLower", "0.6"), ("OneOverK0AcqRangeUpper", "1.6")])
+    side_file(tmp_path / "analysis.tdf", {"Frames": FRAMES, "TimsCalibration": calibration, "GlobalMetadata": meta})
+    out = str(tmp_path / "table")
+    assert cli.main([str(tmp_path), "--mobility-table", "-o", out]) == 0
+    rows = spark.read.csv(out, header=True, inferSchema=True).orderBy("scan").collect()
+    assert [r["scan"] for r in rows] == [0, 1, 2, 3] and [r["linear"] for r in rows] == pytest.approx([1.6, 1.35, 1.1, 0.85])
+    offset = 0.6 * (0.1 + 0.5 * 40) - 40
+    want = [(v + offset) / (0.1 + 0.5 * v) for v in (200.0, 160.0, 120.0, 80.0)]
+    assert [r["recalibrated"] for r in rows] == pytest.approx(want) and [r["abs_diff"] for r in rows] == pytest.approx([abs(r["linear"] - w) for r, w in zip(rows, want, strict=True)])
+    assert cli.main([str(tmp_path), "--mobility-table"]) == 1
+    points = spark.createDataFrame([(1, 2.0), (1, 3.0), (None, 9.0)], "scan long, intensity double")
+    frames = spark.createDataFrame([(3,)], "num_scans long")
+    rows = mobility.mobility_table(frames, 0.6, 1.6, None, mobility.scan_statistics(points)).orderBy("scan").collect()
+    assert [(r["scan"], r["recalibrated"], r["n_points"], r["total"]) for r in rows] == [(0, None, None, None), (1, None, 2, 5.0), (2, None, None, None)]
+    assert mobility.mobility_table(frames.limit(0), 0.6, 1.6).count() == 0
+
+
+def test_images_beside_a_run(tmp_path):
+    run = tmp_path / "x.imzML"
+    run.write_text('<mzML><cvParam value="3" accession="IMS:1000042"/><cvParam accession="IMS:1000043" name="y" value="9"/><run><cvParam accession="IMS:1000042" value="77"/>')
+    assert sinks.pixel_grid(str(run)) == (3, 9) and sinks.pixel_grid(str(tmp_path)) is None
+    assert sinks.discovered_image(str(run)) is None
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 5, 1)
+    (tmp_path / "x-opticalimage.jpg").write_bytes(b"no image")
+    (tmp_path / "x-opticalimage.png").write_bytes(png)
+    found = sinks.discovered_image(str(run))
+    assert found.endswith(".png")
+
+    class Writer:
+        def add_bytes(self, name, data, **entry):
+            return {"name": name, **entry}
+
+    bad = str(tmp_path / "x-opticalimage.jpg")
+    got = sinks.embed_images(Writer(), [found], [bad, found, str(tmp_path / "none.png")], (3, 9))
+    assert [(g["name"], g["affine"]) for g in got] == [("images/image_0000.png", [0.5, 0.0, 1.0, 0.0, 0.0, 1.0])]
+    with pytest.raises(ValueError):
+        sinks.embed_images(Writer(), [bad], [], (3, 9))
+    with pytest.raises(ValueError):
+        sinks.embed_images(Writer(), [found], [], None)
+    assert sinks.embed_images(Writer(), [], [found], None) == []
