@@ -501,7 +501,8 @@ def native_ids(spark, sf):
 
 @query("SELECT o_orderkey AS index, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 2 END AS ms_level, CASE WHEN o_custkey % 2 = 0 THEN 'Centroid' ELSE 'Profile' END AS continuity FROM orders")
 def line_spectra(spark, sf):
-    s = read(spark, sf, "orders").selectExpr("o_orderkey index", "o_custkey % 2 acquisition_key", "if(o_custkey % 2 = 0, o_orderkey, null) line_mz", "if(o_custkey % 2 = 0, o_orderkey, null) line_intensity")
+    array = "if(o_custkey % 2 = 0, abs(coalesce(o_orderkey, 0)) + 1, null)"  # numbers of arrays begin with 1, keys of orders with 0
+    s = read(spark, sf, "orders").selectExpr("o_orderkey index", "if(o_custkey % 2 = 0, 0, 1) acquisition_key", f"{array} line_mz", f"{array} line_intensity")
     keys = spark.createDataFrame([(0, 0), (1, 1)], "acquisition_key long, code int").select("acquisition_key", S.level("rising", F.col("code")).alias("ms_level"))
     return calibration.line_spectra(s, keys).select("index", "ms_level", "continuity")
 
