@@ -271,6 +271,30 @@ def test_frame_buffers(spark):
         frames.frame_points(spark.createDataFrame([(4, 2, [1, 1, 3])], "frame long, scans int, words array<int>")).collect()
 
 
+def test_frames_of_many_batches(spark):
+    """A frame may lie in several batches of rows, and one batch may hold many frames; work follows the points, not the frames."""
+    import time
+
+    from lumenspec.operators import frames
+
+    points = spark.createDataFrame([(f, s, 10 * s + k, k) for f in (3, None, 1, 2) for s in (2, 0) for k in range(f or 5)], "frame long, scan int, tof long, intensity int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        held = {r["frame"]: r["words"] for r in frames.frame_buffers(points, 3).collect()}
+        got = sorted(map(tuple, frames.frame_points(frames.frame_buffers(points.where("frame > 0"), 3)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert held == {f: [f or 5, 0, f or 5, *range(f or 5), *range(f or 5), *(20 + k for k in range(f or 5)), *range(f or 5)] for f in (3, None, 1, 2)}
+    assert got == sorted((f, k + f * (s > 0), s, 10 * s + k, k) for f in (1, 2, 3) for s in (0, 2) for k in range(f))
+    for bad in ([(1, 0, None, 1)], [(1, 3, 1, 1)], [(1, None, 1, 1)]):
+        with pytest.raises(Exception, match="a null|outside"):
+            frames.frame_buffers(spark.createDataFrame(bad, "frame long, scan int, tof long, intensity int"), 3).collect()
+    many = spark.range(1_600_000).selectExpr("id div 4 frame", "cast(id % 4 as int) scan", "id % 1000 tof", "cast(id % 7 as int) intensity")
+    start = time.monotonic()
+    assert frames.frame_points(frames.frame_buffers(many, 4)).where("tof % 4 = scan").count() == 1_600_000
+    assert time.monotonic() - start < 25
+
+
 def test_rising_order(spark):
     rows = [(0, 0, 9.0), (0, 1, 5.0), (0, 2, 1.0), (1, 4, 2.0), (1, 7, 3.0), (2, 0, 4.0)]
     got = encode.rising(spark.createDataFrame(rows, "spectrum_index long, ordinal long, mz double")).collect()
