@@ -295,6 +295,17 @@ def test_frames_of_many_batches(spark):
     assert time.monotonic() - start < 25
 
 
+def test_windows_of_groups_take_little_disk(spark, tmp_path):
+    """Rows are frames times windows: what is written repeats within a task. Frames without a group have no row, and many windows meet without a broadcast."""
+    few = calibration.dia_windows(spark.createDataFrame([(1, 5), (1, 6), (2, 7), (None, 8), (4, 9)], "window_group int, frame long"), spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13), (None, 14)], "window_group int, window_id long"))
+    assert sorted(map(tuple, few.collect())) == [(1, 5, 10), (1, 5, 11), (1, 6, 10), (1, 6, 11), (2, 7, 12)]
+    frames = spark.range(40_000).selectExpr("id frame", "cast(id % 25 as int) window_group")
+    windows = spark.range(6_000).selectExpr("cast(hash(id) & 31 as int) % 25 window_group", "id window_id")
+    calibration.dia_windows(frames, windows).select("frame", "window_id").write.parquet(str(tmp_path / "o"))
+    rows = spark.read.parquet(str(tmp_path / "o")).count()
+    assert rows == frames.join(windows, "window_group").count() and sum(f.stat().st_size for f in (tmp_path / "o").glob("*.parquet")) < 0.7 * rows
+
+
 def test_rising_order(spark):
     rows = [(0, 0, 9.0), (0, 1, 5.0), (0, 2, 1.0), (1, 4, 2.0), (1, 7, 3.0), (2, 0, 4.0)]
     got = encode.rising(spark.createDataFrame(rows, "spectrum_index long, ordinal long, mz double")).collect()
