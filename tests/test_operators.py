@@ -306,6 +306,20 @@ def test_windows_of_groups_take_little_disk(spark, tmp_path):
     assert rows == frames.join(windows, "window_group").count() and sum(f.stat().st_size for f in (tmp_path / "o").glob("*.parquet")) < 0.7 * rows
 
 
+def test_many_frames_by_mass(spark):
+    """Work follows the points of frames, not their number."""
+    import time
+
+    from lumenspec.operators import frames
+
+    many = spark.range(1_200_000).selectExpr("id div 4 frame", "cast(id % 4 as int) scan", "100 - id % 4 tof", "cast(id % 7 as int) intensity")
+    start = time.monotonic()
+    by = frames.by_mass(frames.frame_points(frames.frame_buffers(many, 4)), scalar.grid_mz(F.lit(1.0), F.lit(1.0), F.col("tof")), F.col("scan") / 10)
+    got = by.groupBy("place", "mz", "mobility").count().orderBy("place").collect()
+    assert list(map(tuple, got)) == [(k, float((98 + k) ** 2), (3 - k) / 10, 300_000) for k in range(4)]
+    assert time.monotonic() - start < 25
+
+
 def test_rising_order(spark):
     rows = [(0, 0, 9.0), (0, 1, 5.0), (0, 2, 1.0), (1, 4, 2.0), (1, 7, 3.0), (2, 0, 4.0)]
     got = encode.rising(spark.createDataFrame(rows, "spectrum_index long, ordinal long, mz double")).collect()
