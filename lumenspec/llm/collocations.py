@@ -167,33 +167,46 @@ def groups_of(lang: str, words: pa.Array, found: np.ndarray, starts: list[tuple]
     return out
 
 
-def _known(t: pa.Table, keys: list[str], count: str, known: dict[tuple, int]) -> pa.Table:
-    """The table with the whole counts of those nodes whose subtrees are spread over groups."""
-    if not known:
-        return t
-    rows = zip(*(t[k].to_pylist() for k in keys), strict=True)
-    whole = [known.get(row, n) for row, n in zip(rows, t[count].to_pylist(), strict=True)]
-    return t.set_column(t.column_names.index(count), count, pa.array(whole, pa.int64()))
+def _subtree(min_count: int, hot1: dict, hot2: dict):
+    """The nodes of two and three words of one group's subtree: leaves first, then each level from the totals of the one below.
 
+    ``hot1`` and ``hot2`` have the whole counts of those nodes whose subtrees are spread over groups.
+    """
 
-def _subtree(min_count: int, hot1: dict, hot2: dict):
-    """The nodes of two and three words of one group's subtree: leaves first, then each level from the totals of the one below."""
+    def of_lang(lang: str, t: pa.Table) -> pa.Table:
+        leaves = pc.split_pattern(t["suffixes"], "\n").combine_chunks().flatten().dictionary_encode()
+        a = np.bincount(leaves.indices, t["counts"].combine_chunks().flatten(), len(leaves.dictionary)).astype(np.int64)  # exact up to 2**53
+        coded = pc.split_pattern(leaves.dictionary, " ").flatten().dictionary_encode()
+        words, size = coded.dictionary, len(coded.dictionary)
+        del leaves
+        w1, w2, w3 = coded.indices.to_numpy().astype(np.int64).reshape(-1, DEPTH).T
+        at = lambda w: pc.index(words, w).as_py()
+        f1 = np.bincount(w1, a, size).astype(np.int64)
+        pairs, pair = np.unique(w1 * size + w2, return_inverse=True)
+        f2 = np.bincount(pair, a, len(pairs)).astype(np.int64)
+        mine, held = [k for k in hot1 if k[0] == lang], [k for k in hot2 if k[0] == lang]
+        ids = dict(zip(names := sorted({w for k in (*mine, *held) for w in k[1:]}), pc.index_in(pa.array(names, pa.string()), words).to_pylist(), strict=True))
+        for key in mine:
+            if ids[key[1]] is not None:
+                f1[ids[key[1]]] = hot1[key]
+        for key in held:
+            if None not in (i := [ids[w] for w in key[1:]]):
+                code = i[0] * size + i[1]
+                k = int(np.searchsorted(pairs, code))
+                if k < len(pairs) and pairs[k] == code:
+                    f2[k] = hot2[key]
+        none = at("")
+        two = np.flatnonzero((f2 >= min_count) & (pairs % size != none))
+        three = np.flatnonzero((a >= min_count) & (w3 != none))
+        first, second = np.append(pairs[two] // size, w1[three]), np.append(pairs[two] % size, w2[three])
+        third = pa.concat_arrays([pa.array([""] * len(two), pa.string()), words.take(pa.array(w3[three]))])
+        columns = [pa.repeat(lang, len(first)), words.take(pa.array(first)), words.take(pa.array(second)), third, *map(pa.array, (np.append(f2[two], a[three]), f1[first], np.append(f2[two], f2[pair[three]])))]
+        return pa.table(columns, ["lang", *WORDS, "a", "f1", "f2"])
 
     def run(t: pa.Table) -> pa.Table:
-        leaf, inner = ["lang", *WORDS], ["lang", *WORDS[:2]]
-        t = t.select(["lang", "suffix", "n"]).group_by(["lang", "suffix"]).aggregate([("n", "sum")]).combine_chunks()
-        parts = pc.split_pattern(t["suffix"], " ").combine_chunks().flatten()
-        leaves = pa.table([t["lang"], *(parts.take(pa.array(np.arange(k, len(parts), DEPTH))) for k in range(DEPTH)), t["n_sum"]], [*leaf, "a"])
-        del t, parts
-        pairs = leaves.group_by(inner).aggregate([("a", "sum")]).rename_columns([*inner, "f2"])
-        words = pairs.group_by(inner[:2]).aggregate([("f2", "sum")]).rename_columns([*inner[:2], "f1"])
-        pairs = _known(pairs.filter(pc.not_equal(pairs["w2"], "")), inner, "f2", hot2)
-        pairs = pairs.filter(pc.greater_equal(pairs["f2"], min_count)).join(_known(words, inner[:2], "f1", hot1), inner[:2])
-        often = leaves.filter(pc.and_(pc.not_equal(leaves["w3"], ""), pc.greater_equal(leaves["a"], min_count)))
-        out = [*leaf, "a", "f1", "f2"]
+        out = pa.concat_tables([of_lang(lang, t.filter(pc.equal(t["lang"], lang))) for lang in pc.unique(t["lang"]).to_pylist()])
         pa.default_memory_pool().release_unused()
-        two = pairs.append_column("w3", pa.repeat(pa.scalar(""), len(pairs))).append_column("a", pairs["f2"])
-        return pa.concat_tables([two.select(out), often.join(pairs, inner).select(out)])
+        return out
 
     return run
 
@@ -219,13 +232,20 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     def run(batches):
         for lang, names, found, n in suffixes(batches):
             group = groups_of(lang, names, found, starts)
+            order = np.argsort(group, kind="stable")
+            group, found, n = group[order], found[order], n[order]
+            # A row for the suffixes of a group, cut at ROWS of them: neither words nor blanks hold a line end.
+            starts_at = np.flatnonzero(np.append(True, group[1:] != group[:-1]) | (np.arange(len(group)) % ROWS == 0))
             for at in range(0, len(n), ROWS):
+                mine = starts_at[(starts_at >= at) & (starts_at < at + ROWS)]
+                ends = pa.array(np.append(mine, min(at + ROWS, len(n))) - at, pa.int32())
                 part = slice(at, at + ROWS)
                 suffix = pc.binary_join_element_wise(*(names.take(pa.array(c)) for c in found[part].T), " ")
-                yield pa.RecordBatch.from_arrays([pa.array(group[part]), pa.repeat(lang, len(suffix)), suffix, pa.array(n[part])], ["g", "lang", "suffix", "n"])
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (suffix, pa.array(n[part]))]
+                yield pa.RecordBatch.from_arrays([pa.array(group[mine]), pa.repeat(lang, len(mine)), pc.binary_join(lists[0], "\n"), lists[1]], ["g", "lang", "suffixes", "counts"])
 
     shape = "lang string, w1 string, w2 string, w3 string"
-    leaves = texts.mapInArrow(run, "g long, lang string, suffix string, n long")
+    leaves = texts.mapInArrow(run, "g long, lang string, suffixes string, counts array<long>")
     nodes = leaves.groupBy("g").applyInArrow(_subtree(min_count, *hot), f"{shape}, a long, f1 long, f2 long").distinct()
     return words, saved(nodes, "nodes"), budget
 
