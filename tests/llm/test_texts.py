@@ -477,6 +477,16 @@ def test_nested_escapes_in_linear_memory(nested):
     assert peak < 500e6 and took < 60  # tracing slows it down several times
 
 
+def test_layers_between_are_scanned():
+    """A secret that ends where a deeper escape begins stands in the layers between only, not in the last one."""
+    for a, b in ((5, 7), (2, 9), (60, 90)):
+        text = f"é token%{'25' * a}3Dabcdefgh%{'25' * b}41 end"
+        end = text.index("abcdefgh") + 8
+        assert [x for x in secrets.scan(text)[1] if x[0] == "assign"] == [("assign", 2, end), ("assign", 2, len(text) - 4)]
+        deep = text.replace("%", "\\x5c" + "x5c" * 9 + "x25")
+        assert ("assign", 2, deep.index("abcdefgh") + 8) in secrets.scan(deep)[1]
+
+
 def test_settled_escapes():
     for text, want in [("%2541", "A"), ("%%34%31", "A"), ("a%25C3%25A9 b", "aé b"), ("\\u{5c}x41 \\u005cu{1F600}", "A \U0001f600"), ("%FFz%", "\udcffz%"), ("%5Cu00253D", "=")]:
         new, starts, ends = secrets._settled(text)
