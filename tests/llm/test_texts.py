@@ -487,6 +487,34 @@ def test_layers_between_are_scanned():
         assert ("assign", 2, deep.index("abcdefgh") + 8) in secrets.scan(deep)[1]
 
 
+def test_no_layer_between_is_left_out(monkeypatch):
+    """Thousands of layers in one another are all scanned, and steps taken at once find what steps one by one do."""
+    text = f"é token%{'25' * 3000}3Dabcdefgh%{'25' * 4500}41 end"
+    assert [x for x in secrets.scan(text)[1] if x[0] == "assign"] == [("assign", 2, text.index("abcdefgh") + 8), ("assign", 2, len(text) - 4)]
+    r = random.Random(41)
+    ends = ["3D", "41", "u003d", "x3d", "2a", "zz", "", "\\x41", "u000a", "%34%31"]
+    plain = ["token", "=", ":", " ", "abcdefgh1", "AKIAABCDEFGHIJKL", "deadbeef" * 4, "\n", "é", "-", "_", "pi_key", base64.b64encode(b"xx token%2525253Dabcdefgh12").decode(), "\n".join(["QUJD" * 15] * 3)]
+    for _ in range(300):
+        t = ""
+        for _ in range(r.randrange(1, 8)):
+            t += r.choice(["%" + "25" * r.randrange(1, 9), "\\" + r.choice(["u005c", "x5c", "u{5C}"]) * r.randrange(1, 9), "%5Cu0025" + "5Cu0025" * r.randrange(4), ""]) + r.choice(ends) if r.random() < 0.5 else r.choice(plain)
+        got = secrets.scan(t)
+        with monkeypatch.context() as m:
+            m.setattr(secrets, "_chains", lambda *_: None)
+            assert secrets.scan(t) == got, t
+
+
+def test_layers_lie_over_the_ends_of_pieces():
+    """A layer in a decompressed one is found wherever it lies and however long it is."""
+    r, b64 = random.Random(42), lambda x: base64.b64encode(x).decode()
+    inner = b64(gzip.compress("".join(r.choice("ghijklmnop qrstuv,") for _ in range(400_000)).encode() + b" password=abcdefgh1234 "))
+    for filler in ("some words, ", "no sign here\n", "wxyz"):
+        text = b64(gzip.compress((filler * 90_000)[: secrets.PIECE - 5000].encode() + b" " + inner.encode() + b" end"))
+        assert secrets.scan(text)[1] == [("assign", 0, len(text))], filler
+    pieces = list(secrets._inflated(gzip.compress(b"some words, " * 400_000)))
+    assert "".join(pieces) == "some words, " * 400_000 and max(map(len, pieces)) < 2 * secrets.PIECE
+
+
 def test_settled_escapes():
     for text, want in [("%2541", "A"), ("%%34%31", "A"), ("a%25C3%25A9 b", "aé b"), ("\\u{5c}x41 \\u005cu{1F600}", "A \U0001f600"), ("%FFz%", "\udcffz%"), ("%5Cu00253D", "=")]:
         new, starts, ends = secrets._settled(text)
