@@ -320,6 +320,24 @@ def test_many_frames_by_mass(spark):
     assert time.monotonic() - start < 25
 
 
+def test_many_windows_of_groups_take_little_disk(spark, tmp_path, monkeypatch):
+    """What a row takes does not grow with the windows of a group: they come in blocks. Repeated rows count as often as they come, with and without a broadcast."""
+    frames = spark.range(1_500).selectExpr("id frame", "cast(id % 5 as int) window_group")
+    windows = spark.range(30_000).selectExpr("cast(id % 5 as int) window_group", "id window_id")
+    calibration.dia_windows(frames, windows).select("frame", "window_id").write.parquet(str(tmp_path / "o"))
+    rows = spark.read.parquet(str(tmp_path / "o"))
+    assert rows.count() == 1_500 * 6_000 == rows.where("frame % 5 = window_id % 5").distinct().count()
+    assert sum(f.stat().st_size for f in (tmp_path / "o").glob("*.parquet")) < 0.3 * rows.count()
+    frames = spark.sql("select cast(if(id % 11 = 0, null, id % 3) as int) window_group, id div 2 frame, 'x' kind from range(1500)")
+    windows = spark.sql("select cast(if(id % 7 = 0, null, id % 4) as long) window_group, if(id % 13 = 0, null, id div 3) window_id, 0.5D width from range(900)")
+    want = frames.join(windows, "window_group")
+    for sent in (calibration.SENT, 100):
+        monkeypatch.setattr(calibration, "SENT", sent)
+        got = calibration.dia_windows(frames, windows)
+        assert got.dtypes == want.dtypes and got.exceptAll(want).count() == 0 == want.exceptAll(got).count() and want.count() > 100_000
+    assert calibration.dia_windows(frames, windows.where("false")).count() == 0 == calibration.dia_windows(frames.where("false"), windows).count()
+
+
 def test_rising_order(spark):
     rows = [(0, 0, 9.0), (0, 1, 5.0), (0, 2, 1.0), (1, 4, 2.0), (1, 7, 3.0), (2, 0, 4.0)]
     got = encode.rising(spark.createDataFrame(rows, "spectrum_index long, ordinal long, mz double")).collect()
